@@ -33,44 +33,60 @@ def as_int(x: object) -> int | None:
             return None
 
 
+def plain(x: object) -> object:
+    """An object or array that was written as JSON text, decoded; anything else as it is."""
+    while isinstance(x, str) and x.lstrip()[:1] in ("{", "["):
+        try:
+            x = json.loads(x)
+        except ValueError:
+            break
+    return x
+
+
+def _listed(x: object, key: str) -> list[dict]:
+    held = plain(x.get(key)) if isinstance(x, dict) else None
+    return [y for y in map(plain, held) if isinstance(y, dict)] if isinstance(held, list) else []
+
+
 def schemas_of(text: str | None) -> list[tuple[int, dict]]:
     """(schema id, struct) of every schema in one metadata document; nothing for text that is not valid JSON.
 
     Reads ``schemas`` and the single ``schema`` of the older layout, whose id counts as 0 where it is missing.
     """
     try:
-        doc = json.loads(text) if text else None
+        doc = plain(json.loads(text)) if text else None
     except ValueError:
         return []
     if not isinstance(doc, dict):
         return []
-    found = [s for s in doc.get("schemas") or [] if isinstance(s, dict)] if isinstance(doc.get("schemas"), list) else []
-    if isinstance(doc.get("schema"), dict):
-        found.append(doc["schema"])
+    found = _listed(doc, "schemas")
+    if isinstance(single := plain(doc.get("schema")), dict):
+        found.append(single)
     return [(i, s) for s in found if (i := as_int(s.get("schema-id", 0))) is not None]
 
 
 def children_of(t: object) -> list[tuple[int | None, str | None, object, object]]:
-    """(id, name, type, initial default) of the nodes directly inside a type."""
+    """(id, name, type, initial default) of the nodes directly inside a type; types written as text are decoded."""
+    t = plain(t)
     if not isinstance(t, dict):
         return []
-    kind = str(t.get("type")).strip().lower()
-    if isinstance(t.get("type"), dict):  # one more wrapper around the type
-        return children_of(t["type"])
+    inner = plain(t.get("type"))
+    if isinstance(inner, dict):  # one more wrapper around the type
+        return children_of(inner)
+    kind = str(inner).strip().lower()
     if kind == "list":
-        return [(as_int(t.get("element-id")), "element", t.get("element"), None)]
+        return [(as_int(t.get("element-id")), "element", plain(t.get("element")), None)]
     if kind == "map":
-        return [(as_int(t.get("key-id")), "key", t.get("key"), None), (as_int(t.get("value-id")), "value", t.get("value"), None)]
-    if kind == "struct" or isinstance(t.get("fields"), list):
-        return [(as_int(f.get("id")), None if f.get("name") is None else str(f["name"]), f.get("type"), f.get("initial-default")) for f in t.get("fields") or [] if isinstance(f, dict)]
-    return []
+        return [(as_int(t.get("key-id")), "key", plain(t.get("key")), None), (as_int(t.get("value-id")), "value", plain(t.get("value")), None)]
+    return [(as_int(f.get("id")), None if f.get("name") is None else str(f["name"]), plain(f.get("type")), f.get("initial-default")) for f in _listed(t, "fields")]
 
 
 def type_name(t: object) -> str:
     """struct, list or map for nested types, else the name without blanks in lower case."""
+    t = plain(t)
     if isinstance(t, dict):
-        inner = t.get("type")
-        return type_name(inner) if isinstance(inner, dict) else "struct" if isinstance(t.get("fields"), list) else type_name(inner)
+        inner = plain(t.get("type"))
+        return type_name(inner) if isinstance(inner, dict) else "struct" if "fields" in t else type_name(inner)
     return "".join(str(t).split()).lower()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.operators import hierarchy, nested
+from lakeloom.operators import drift, hierarchy, nested
 from lakeloom.registry import Registry
 from lakeloom.sources.tables import table
 
@@ -52,7 +52,7 @@ WITH RECURSIVE ok AS (SELECT table_name, metadata::JSON AS m FROM iceberg_metada
 s AS (SELECT table_name, unnest(CASE WHEN json_type(m->'$.schemas') = 'ARRAY' THEN (m->'$.schemas[*]')::JSON[] ELSE []::JSON[] END) AS s FROM ok
  UNION ALL SELECT table_name, m->'$.schema' FROM ok WHERE json_type(m->'$.schema') = 'OBJECT'),
 n AS (SELECT DISTINCT table_name, coalesce(s->>'$."schema-id"', '0')::INT AS schema_id, 0 AS parent_field_id, NULL::INT AS field_id, NULL::VARCHAR AS name, s AS t FROM s
- UNION SELECT table_name, schema_id, coalesce(field_id, 0), (k->>'$.id')::INT, k->>'$.name', k->'$.t'
+ UNION SELECT table_name, schema_id, coalesce(field_id, 0), (k->>'$.id')::INT, k->>'$.name', CASE WHEN json_type(k->'$.t') = 'VARCHAR' AND ltrim(k->>'$.t') LIKE '{%' THEN (k->>'$.t')::JSON ELSE k->'$.t' END
  FROM (SELECT table_name, schema_id, field_id, unnest(CASE t->>'$.type'
    WHEN 'struct' THEN [json_object('id', f->'$.id', 'name', f->'$.name', 't', f->'$.type') FOR f IN (t->'$.fields[*]')::JSON[]]
    WHEN 'list' THEN [json_object('id', t->'$."element-id"', 'name', 'element', 't', t->'$.element')]
@@ -72,3 +72,36 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_fields(spark: SparkSession, sf: str) -> DataFrame:
     """The same flat rows with each node's name and type."""
     return nested.flatten_schemas(table(spark, sf, "iceberg_metadata"))
+
+
+_DRIFT = _NODES + """
+, v AS (SELECT table_name, schema_id, lag(schema_id) OVER (PARTITION BY table_name ORDER BY schema_id) AS p FROM (SELECT DISTINCT table_name, schema_id FROM nodes)),
+c AS (SELECT v.table_name, v.schema_id, v.p, n.field_id, n.name, n.type FROM v JOIN nodes n USING (table_name, schema_id) WHERE p IS NOT NULL),
+o AS (SELECT v.table_name, v.schema_id, v.p, n.field_id, n.name, n.type FROM v JOIN nodes n ON n.table_name = v.table_name AND n.schema_id = v.p),
+j AS (SELECT coalesce(c.table_name, o.table_name) AS table_name, coalesce(c.schema_id, o.schema_id) AS schema_id, coalesce(c.p, o.p) AS previous_schema_id, coalesce(c.field_id, o.field_id) AS field_id,
+ c.field_id AS cf, o.field_id AS of, c.name AS cn, o.name AS on_, c.type AS ct, o.type AS ot
+ FROM c FULL JOIN o ON c.table_name = o.table_name AND c.schema_id = o.schema_id AND c.field_id = o.field_id),
+changes AS (SELECT table_name, schema_id, previous_schema_id, field_id, 'added' AS change_kind, NULL AS before, cn AS after FROM j WHERE of IS NULL
+ UNION ALL SELECT table_name, schema_id, previous_schema_id, field_id, 'dropped', on_, NULL FROM j WHERE cf IS NULL
+ UNION ALL SELECT table_name, schema_id, previous_schema_id, field_id, 'renamed', on_, cn FROM j WHERE cf IS NOT NULL AND of IS NOT NULL AND cn IS DISTINCT FROM on_
+ UNION ALL SELECT table_name, schema_id, previous_schema_id, field_id, 'retyped', ot, ct FROM j WHERE cf IS NOT NULL AND of IS NOT NULL AND ct <> ot)
+"""
+
+
+@R.add("p4_found", _DRIFT + "SELECT table_name, schema_id, field_id, change_kind FROM changes")
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every added, dropped, renamed or retyped field from each schema to the next."""
+    c = drift.schema_changes(table(spark, sf, "iceberg_metadata"))
+    return c.filter("change_kind <> 'moved'").select("table_name", "schema_id", "field_id", "change_kind").distinct()
+
+
+@R.add("p4_changes", _DRIFT + "SELECT * FROM changes")
+def p4_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The edit scripts with what was before and after each change."""
+    return drift.schema_changes(table(spark, sf, "iceberg_metadata")).filter("change_kind <> 'moved'")
+
+
+@R.add("p4_rows")
+def p4_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All raw rows under the latest schema of their table."""
+    return drift.unify_rows(table(spark, sf, "raw_rows"), table(spark, sf, "iceberg_metadata"), keys=["raw_id", "path", "row_pos"]).distinct()
