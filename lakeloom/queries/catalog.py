@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.operators import drift, hierarchy, nested
+from lakeloom.operators import drift, hierarchy, nested, small_files
 from lakeloom.registry import Registry
+from lakeloom.shared import fresh_path
 from lakeloom.sources.tables import table
 
 R = Registry()
@@ -105,3 +106,51 @@ def p4_changes(spark: SparkSession, sf: str) -> DataFrame:
 def p4_rows(spark: SparkSession, sf: str) -> DataFrame:
     """All raw rows under the latest schema of their table."""
     return drift.unify_rows(table(spark, sf, "raw_rows"), table(spark, sf, "iceberg_metadata"), keys=["raw_id", "path", "row_pos"]).distinct()
+
+
+_SMALL = r"""
+WITH f AS (SELECT DISTINCT *, regexp_replace(regexp_replace(regexp_replace(url_decode(replace(regexp_replace(path, '^[A-Za-z0-9]+:/*', ''), '+', '%2B')), '/\./', '//', 'g'), '/\./', '//', 'g'), '//+', '/', 'g') AS obj FROM lake_files),
+newest AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY table_name, obj ORDER BY updated_time DESC, id DESC) = 1),
+small AS (SELECT * FROM newest WHERE content = 0 AND file_size < 402653184),
+part AS (SELECT id, list_sort(list(DISTINCT {'f': partition_field_id, 'v': value}))::VARCHAR AS p FROM data_file_partition_values GROUP BY id),
+g AS (SELECT s.*, coalesce(p, '') AS p FROM small s LEFT JOIN part USING (id)),
+found AS (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY table_name, p) >= 5)
+"""
+
+
+@R.add("p2_found", _SMALL + "SELECT id FROM found")
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of the small files worth consolidating, from the consolidation plan."""
+    return small_files.small_files(table(spark, sf, "lake_files"), table(spark, sf, "data_file_partition_values")).select("id").distinct()
+
+
+@R.add(
+    "p2_plan",
+    _SMALL + "SELECT table_name, count(*) AS files, sum(file_size)::BIGINT AS bytes, sum(CASE WHEN row_count >= 0 THEN row_count END)::BIGINT AS row_count FROM found GROUP BY ALL",
+)
+def p2_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Files, bytes and known rows that the planned outputs of each table take in; equal to those of the files replaced."""
+    found = small_files.small_files(table(spark, sf, "lake_files"), table(spark, sf, "data_file_partition_values"))
+    outputs = small_files.consolidation_plan(found).groupBy("table_name", "partition", "output").agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.sum("row_count").alias("row_count"))
+    return outputs.groupBy("table_name").agg(*[F.sum(c).alias(c) for c in ("files", "bytes", "row_count")])
+
+
+@R.add("p2_outputs")
+def p2_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each file to consolidate with the output file that it goes into."""
+    found = small_files.small_files(table(spark, sf, "lake_files"), table(spark, sf, "data_file_partition_values"))
+    return small_files.consolidation_plan(found).select("table_name", "partition", "output", "id", "file_size", "row_count")
+
+
+@R.add("p2_block_copy", "SELECT * FROM lake_files")
+def p2_block_copy(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole table written as many small files, merged by copying blocks, and read again."""
+    source = table(spark, sf, "lake_files")
+    scattered, merged = fresh_path(spark, "scattered"), fresh_path(spark, "merged")
+    source.repartition(64).write.parquet(scattered)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(scattered).select("path")
+    plan = files.withColumn("output", F.pmod(F.xxhash64("path"), F.lit(4)))
+    done = small_files.consolidate_parquet(plan, merged).collect()  # one row per output file
+    if bad := [r["problem"] for r in done if r["problem"]]:
+        raise ValueError(f"not merged: {bad[:3]}")
+    return spark.read.schema(source.schema).parquet(merged)
