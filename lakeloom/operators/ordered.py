@@ -17,13 +17,12 @@ def pieces(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_total(df: DataFrame, group: list[str], order: str, weight: str, total: str = "_before", n: int | None = None) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], order: str, weight: str, total: str = "_before", tie: tuple[str, ...] = (), n: int | None = None) -> DataFrame:
     """Adds ``total``: the sum of ``weight`` over the rows of the group that come before the row.
 
     Rows are ordered by ``order``, a non-null bigint spread evenly over its range (a
     hash): the piece of a row is given by its leading digits. ``df`` must give the same
-    rows whenever it is read. Ties of ``order`` are broken arbitrarily but consistently
-    only if ``order`` is unique within the group, which callers see to.
+    rows whenever it is read. Ties of ``order`` are broken by the columns of ``tie``.
     """
     n = n or pieces(df)
     cut = df.withColumn("_piece", F.floor((F.col(order).cast("double") / 2.0**63 + 1) / 2 * n))
@@ -33,7 +32,7 @@ def running_total(df: DataFrame, group: list[str], order: str, weight: str, tota
     same: Column = F.col("_piece") == F.col("_s_piece")
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_s_{g}"))
-    inside = Window.partitionBy(*group, "_piece").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group, "_piece").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, -1)
     local = cut.withColumn("_local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     joined = local.join(starts, same)
     return joined.withColumn(total, F.col("_start") + F.col("_local")).drop("_piece", "_s_piece", "_start", "_local", *[f"_s_{g}" for g in group])

@@ -55,7 +55,7 @@ def consolidation_plan(candidates: DataFrame, *, target: int = TARGET_BYTES) ->
     exact over groups of any size without one task seeing the whole group.
     """
     kept = materialize(candidates.withColumn("_h", F.xxhash64("id")), "candidates")
-    total = running_total(kept, ["table_name", "partition"], "_h", "file_size")
+    total = running_total(kept, ["table_name", "partition"], "_h", "file_size", tie=("id",))
     return total.withColumn("output", F.floor(F.col("_before") / target).cast("bigint")).drop("_h", "_before")
 
 
