@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import contamination, mixing, packing
+from lakeloom.llm import contamination, mixing, packing, truncation
 from lakeloom.operators.lakefiles import newest_files
 from lakeloom.registry import Registry
 from lakeloom.sources.tables import table
@@ -51,3 +51,16 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 def p6_items(spark: SparkSession, sf: str) -> DataFrame:
     """Per leaked benchmark item, in how many documents it turned up."""
     return p6_found(spark, sf).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+@R.add("p8_found")
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document whose text was cut before its end."""
+    return truncation.cut_texts(table(spark, sf, "documents"))
+
+
+@R.add("p8_sources")
+def p8_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each source cuts."""
+    documents = table(spark, sf, "documents")
+    return truncation.cut_shares(documents, truncation.cut_texts(documents))
