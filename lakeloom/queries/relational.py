@@ -128,14 +128,14 @@ S("win_over_agg", "SELECT o_custkey, n, CAST(sum(n) OVER (ORDER BY o_custkey) AS
 
 
 def _excluded(name: str, exclude: str, how: str, start: int, end: int, frame: str) -> None:
-    agg = {"sum": "round(sum(p_retailprice) OVER w, 4)", "count": "count(p_retailprice) OVER w", "avg": "round(avg(p_retailprice) OVER w, 3)", "max": "max(p_retailprice) OVER w"}[how]
+    agg = {"sum": "round(sum(p_retailprice) OVER w, 4)", "count": "count(p_retailprice) OVER w", "avg": "round(avg(p_retailprice) OVER w, 8)", "max": "max(p_retailprice) OVER w"}[how]
     sql = f"SELECT p_partkey, {agg} AS x FROM part WINDOW w AS (PARTITION BY p_type ORDER BY p_size, p_brand ROWS BETWEEN {frame} EXCLUDE {exclude})"
 
     @R.add(name, sql if "UNBOUNDED" in frame else sql.replace("p_size, p_brand", "p_partkey"))
     def run(spark: SparkSession, sf: str) -> DataFrame:
         order = ["p_size", "p_brand"] if "UNBOUNDED" in frame else ["p_partkey"]
         x = rel.window_exclude(F.col("p_retailprice"), how, exclude, ["p_type"], order, start, end)
-        return table(spark, sf, "part").select("p_partkey", (x if how in ("count", "max") else F.round(x, 4 if how == "sum" else 3)).alias("x"))
+        return table(spark, sf, "part").select("p_partkey", (x if how in ("count", "max") else F.round(x, 4 if how == "sum" else 8)).alias("x"))
 
 
 _ALL = (Window.unboundedPreceding, Window.unboundedFollowing, "UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING")
