@@ -34,14 +34,15 @@ def fetch_with_ties(df: DataFrame, keys: list[tuple[str, bool]], n: int) -> Data
     top = df.select(*[F.col(c).alias(f"_k{i}") for i, (c, _) in enumerate(keys)])
     back = [F.col(f"_k{i}").asc_nulls_last() if desc else F.col(f"_k{i}").desc_nulls_first() for i, (_, desc) in enumerate(keys)]
     forth = [k for i, (_, desc) in enumerate(keys) for k in pg_order(f"_k{i}", desc=desc)]
-    last = top.orderBy(*forth).limit(n).orderBy(*back).limit(1)
-    j = df.crossJoin(F.broadcast(last))  # one row
+    last = top.orderBy(*forth).limit(n).orderBy(*back).limit(1).first()  # one row
+    if last is None:
+        return df.limit(0)
     after = F.lit(False)
     for i, (c, desc) in reversed(list(enumerate(keys))):
-        mine, theirs = F.col(c), F.col(f"_k{i}")
+        mine, theirs = F.col(c), F.lit(last[i]).cast(df.schema[c].dataType)
         beyond = F.coalesce(mine < theirs, mine.isNotNull() & theirs.isNull()) if desc else F.coalesce(mine > theirs, mine.isNull() & theirs.isNotNull())
         after = beyond | (mine.eqNullSafe(theirs) & after)
-    return j.filter(~after).drop(*[f"_k{i}" for i in range(len(keys))]).orderBy(*order)
+    return df.filter(~after).orderBy(*order)
 
 
 def limit_by_query(df: DataFrame, order: list[Column], n: DataFrame) -> DataFrame:

@@ -51,12 +51,13 @@ def consolidation_plan(candidates: DataFrame, *, target: int = TARGET_BYTES) ->
     """Adds ``output``: the number, within table and partition, of the output file that each file goes into.
 
     Files stand in the order of a hash of their id and fill outputs by their running
-    total, so an output holds about ``target`` bytes and no file is split. The total is
+    total; a file goes where its middle falls, so an output holds ``target`` bytes give or
+    take half a file at either end, and no file is split. The total is
     exact over groups of any size without one task seeing the whole group.
     """
     kept = materialize(candidates.withColumn("_h", F.xxhash64("id")), "candidates")
     total = running_total(kept, ["table_name", "partition"], "_h", "file_size", tie=("id",))
-    return total.withColumn("output", F.floor(F.col("_before") / target).cast("bigint")).drop("_h", "_before")
+    return total.withColumn("output", F.floor((F.col("_before") + F.col("file_size") / 2) / target).cast("bigint")).drop("_h", "_before")
 
 
 def consolidate_parquet(plan: DataFrame, directory: str) -> DataFrame:

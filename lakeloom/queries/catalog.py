@@ -69,6 +69,22 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return nested.flatten_schemas(table(spark, sf, "iceberg_metadata"), columns=["table_name", "schema_id", "field_id", "parent_field_id"])
 
 
+_DETAIL = "`snapshots` array<struct<`snapshot-id`:bigint, `timestamp-ms`:bigint, `summary`:struct<`operation`:string>>>"
+
+
+@R.add(
+    "p5_snapshots",
+    "SELECT DISTINCT metadata_id, (i - 1)::INT AS nth, (s->>'$.\"snapshot-id\"')::BIGINT AS snapshot_id, s->>'$.summary.operation' AS operation FROM "
+    "(SELECT metadata_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS s FROM (SELECT metadata_id, (metadata::JSON->'$.snapshots[*]')::JSON[] AS a FROM iceberg_metadata WHERE json_valid(metadata)))",
+)
+def p5_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """The snapshots nested in each record as a table of their own, with the place in the list around them."""
+    m = table(spark, sf, "iceberg_metadata").filter(F.try_parse_json("metadata").isNotNull())
+    typed = m.select("metadata_id", F.from_json("metadata", _DETAIL).alias("doc"))
+    t = nested.flatten_records(typed, ["metadata_id"])["doc.snapshots"]
+    return t.select("metadata_id", F.col("_pos")[0].alias("nth"), F.col("`doc.snapshots.snapshot-id`").alias("snapshot_id"), F.col("`doc.snapshots.summary.operation`").alias("operation")).distinct()
+
+
 @R.add("p5_fields", _NODES + "SELECT table_name, schema_id, field_id, parent_field_id, name, type FROM nodes")
 def p5_fields(spark: SparkSession, sf: str) -> DataFrame:
     """The same flat rows with each node's name and type."""
