@@ -34,12 +34,11 @@ def _prepared(documents: DataFrame, vocabulary: str, seed: int) -> DataFrame:
 def _budgets(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """Per mix and source: the wanted tokens, the source's tokens, whole epochs and the rest to cut at."""
     sizes = docs.groupBy("source").agg(F.sum("tokens").alias("_have"))
-    everything = docs.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("_all"))
+    everything = docs.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     t = targets.select("mix_id", clean_source(F.col("source")).alias("source"), "target_share", "max_repeats", "size_ratio").distinct()
-    t = t.join(F.broadcast(everything), how="cross")  # one row
     t = t.join(sizes, "source", "left").withColumn("_have", F.coalesce("_have", F.lit(0).cast("bigint")))
-    t = t.withColumn("wanted", F.col("target_share") * F.col("size_ratio") * F.col("_all"))
-    epochs = F.when(F.col("_have") > 0, F.least(F.floor(F.col("wanted") / F.col("_have")), F.col("max_repeats").cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
+    t = t.withColumn("wanted", F.coalesce(F.col("target_share") * F.col("size_ratio") * F.lit(everything), F.lit(0.0)))
+    epochs = F.when(F.col("_have") > 0, F.least(F.floor(F.col("wanted") / F.col("_have")), F.coalesce(F.col("max_repeats"), F.lit(0)).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
     t = t.withColumn("_epochs", F.coalesce(epochs, F.lit(0).cast("bigint")))
     rest = F.when(F.col("_epochs") < F.col("max_repeats"), F.col("wanted") - F.col("_epochs") * F.col("_have")).otherwise(F.lit(0.0))
     return t.withColumn("_rest", F.coalesce(rest, F.lit(0.0)))

@@ -100,7 +100,7 @@ def pack(items: DataFrame, group: str, size: str, key: str, *, capacity: int = C
     parts = F.when(known & (F.col("whole") > capacity), F.sequence(F.lit(0).cast("bigint"), F.when(F.col("whole") % capacity == 0, full - 1).otherwise(full))).otherwise(F.array(F.lit(0).cast("bigint")))
     cut = src.withColumn("piece", F.explode(parts))
     cut = cut.withColumn("s", F.when(known, F.least(F.lit(capacity).cast("bigint"), F.col("whole") - F.col("piece") * capacity)))
-    cut = cut.withColumn("bin", F.least(F.lit(capacity).cast("bigint"), rounded_up(F.col("s"), precision)))
+    cut = cut.withColumn("bin", F.when(F.col("s").isNotNull(), F.least(F.lit(capacity).cast("bigint"), rounded_up(F.col("s"), precision))))  # least skips nulls
     cut = cut.withColumn("sub", F.pmod(F.xxhash64("k", "piece"), F.lit(pieces(items))))
     cut = materialize(cut.select("g", "k", "piece", "s", "bin", "sub"), "packing")
 
