@@ -185,7 +185,7 @@ def to_char(t: Column, template: str) -> Column:
         if template.startswith("FM", i) or template.startswith("fm", i):
             fill, i = False, i + 2
             continue
-        if bad := next((p for p in _UNSUPPORTED if template.startswith(p, i)), None):
+        if bad := next((p for p in _UNSUPPORTED if template.startswith(p, i) and not template.startswith(("TZH", "TZM"), i)), None):
             raise NotImplementedError(f"to_char pattern {bad}")
         key = next((p for p in _PATTERNS if template.startswith(p, i)), None)
         if key is None and re.match("[a-z]", template[i]):  # numeric patterns work in lower case, too

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _path(key: str | int) -> str:
-    return f"$[{key}]" if isinstance(key, int) else "$['" + key.replace("'", "\\'") + "']"
+    return f"$[{key}]" if isinstance(key, int) else f"$['{key}']" if "'" not in key else f'$["{key}"]'
 
 
 def get_text(j: Column, key: str | int) -> Column:
@@ -16,6 +16,8 @@ def get_text(j: Column, key: str | int) -> Column:
         n = F.json_array_length(j) + key
         elements = F.from_json(j, "array<string>")
         return F.when(n >= 0, F.try_element_at(elements, F.lit(key)))
+    if isinstance(key, str) and "'" in key:  # such a key cannot be quoted in a path
+        return F.try_element_at(F.from_json(j, "map<string,string>"), F.lit(key))
     return F.get_json_object(j, _path(key))
 
 

@@ -104,10 +104,10 @@ def regexp_replace(s: Column, pattern: str, replacement: str, flags: str = "") -
     p, r = _pattern(pattern, flags), _replacement(replacement)
     if "g" in flags:
         return F.regexp_replace(s, p, r)
-    # Only at the first match: what stands before it is matched along, as group 1, and put back.
+    # Only at the first match: what stands before it is matched along, as group 1, and put back; group 2 is the match.
     on = p[: len(p) - len(pattern)]
-    shifted = re.sub(r"(?<!\\)\$(\d)", lambda m: f"${int(m[1]) + 1}" if m[1] != "0" else "$0", r)
-    return F.regexp_replace(s, f"(?s)\\A(.*?){on}(?:{pattern})", f"$1{shifted}")
+    shifted = re.sub(r"(?<!\\)\$(\d)", lambda m: f"${int(m[1]) + 2}", r)
+    return F.regexp_replace(s, f"(?s)\\A(.*?){on}({pattern})", f"$1{shifted}")
 
 
 def regexp_like(s: Column, pattern: str, flags: str = "") -> Column:

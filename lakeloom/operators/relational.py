@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from lakeloom.shared import materialize
@@ -138,6 +138,18 @@ def grouping_mask(*columns: str) -> Column:
     return out
 
 
+def cursor(df: DataFrame, size: int = 1000) -> Iterator[list[Row]]:
+    """A forward cursor: rows in batches, fetched partition by partition, never all at once."""
+    held: list[Row] = []
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        held.append(row)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 UNSUPPORTED = ("MERGE", "ON CONFLICT", "FOR UPDATE", "FOR SHARE", "CTID")
 
 

@@ -282,3 +282,22 @@ def fn_udf_surface(spark: SparkSession, sf: str) -> DataFrame:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION name_length(s STRING) RETURNS BIGINT RETURN length(s)")
     table(spark, sf, "part").select("p_partkey", "p_name", odd("p_size").alias("scalar")).createOrReplaceTempView("part_odd")
     return spark.sql("SELECT p_partkey, scalar, name_length(p_name) AS viasql FROM part_odd")
+
+
+@R.add("fn_udtf_and_grouped", "SELECT o_custkey, max(o_totalprice) - min(o_totalprice) AS spread, o_custkey % 3 AS i FROM orders WHERE o_custkey % 3 > 0 GROUP BY o_custkey")
+def fn_udtf_and_grouped(spark: SparkSession, sf: str) -> DataFrame:
+    """A grouped Arrow-batched aggregate and a table function."""
+
+    @F.pandas_udf("double")
+    def spread(x: pd.Series) -> float:
+        return float(x.max() - x.min())
+
+    @F.udtf(returnType="i bigint")
+    class Remainder:
+        def eval(self, k: int):
+            if k % 3:
+                yield (k % 3,)
+
+    spark.udtf.register("remainder", Remainder)
+    table(spark, sf, "orders").groupBy("o_custkey").agg(spread("o_totalprice").alias("spread")).createOrReplaceTempView("order_spread")
+    return spark.sql("SELECT o_custkey, spread, i FROM order_spread, LATERAL remainder(o_custkey)")

@@ -235,3 +235,39 @@ def tbl_modifying_cte(spark: SparkSession, sf: str) -> DataFrame:
     t, archive = _copy(spark, sf, "nation"), Table.create(spark, fresh_path(spark, "tbl-archive"), "n_nationkey int, n_name string")
     archive.append(t.delete(F.col("n_regionkey") == 2, returning=True).select("n_nationkey", "n_name"))
     return archive.read()
+
+
+@R.add("tbl_load_from", "SELECT * FROM supplier")
+def tbl_load_from(spark: SparkSession, sf: str) -> DataFrame:
+    """A table with the definition and rows of a file."""
+    return Table.from_files(spark, fresh_path(spark, "tbl-load"), f"{sf}/supplier.parquet").read()
+
+
+@R.add("tbl_vacuum", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0")
+def tbl_vacuum(spark: SparkSession, sf: str) -> DataFrame:
+    """Compaction, expiry and orphan removal, then a read."""
+    t = _copy(spark, sf, "orders")
+    t.delete(F.col("o_orderkey") % 3 == 0, mode="mor")
+    t.vacuum()
+    return t.read().select("o_orderkey")
+
+
+@R.add("tbl_transaction", "SELECT n_nationkey, n_name, 'moved' AS place FROM nation WHERE n_regionkey = 1 UNION ALL SELECT n_nationkey, n_name, 'left' FROM nation WHERE n_regionkey <> 1")
+def tbl_transaction(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows moved from one table to another in one transaction; one that fails leaves no trace."""
+    from lakeloom.table.catalog import Catalog
+
+    c, n = Catalog(spark, fresh_path(spark, "catalog")), table(spark, sf, "nation")
+    with c.transaction() as tx:
+        tx.create("a", n.schema).append(n)
+        tx.create("b", n.schema)
+    try:
+        with c.transaction() as tx:
+            tx.table("a").truncate()
+            raise KeyError("changed our mind")
+    except KeyError:
+        pass
+    with c.transaction() as tx:
+        tx.table("b").append(tx.table("a").delete(F.col("n_regionkey") == 1, returning=True))
+    place = lambda name, x: c.read(name).select("n_nationkey", "n_name", F.lit(x).alias("place"))
+    return place("b", "moved").unionAll(place("a", "left"))

@@ -115,6 +115,17 @@ class Table:
         t.append(df)
         return t
 
+    @classmethod
+    def from_files(cls, spark: SparkSession, location: str, path: str, *, load: bool = True, partition_by: str | None = None, **options: object) -> Table:
+        """CREATE TABLE with the definition of files (``load=False``), or with their rows as well."""
+        from lakeloom.sources.io import read
+
+        df = read(spark, path, **options)
+        t = cls.create(spark, location, df.schema, partition_by)
+        if load:
+            t.append(df)
+        return t
+
     def schema(self, state: dict | None = None) -> T.StructType:
         return T._parse_datatype_string(", ".join(f"`{c['name']}` {c['type']}" for c in (state or self.state())["columns"]))
 
@@ -520,5 +531,10 @@ class Table:
             n += 1
         return n
 
+    def vacuum(self, *, keep_snapshots: int = 1, orphans_older_than_ms: int | None = None) -> dict[str, int]:
+        """Compaction, snapshot expiry and orphan removal in one call."""
+        compacted = self.compact()
+        return {"compacted": int(compacted is not None), "expired": self.expire_snapshots(keep_snapshots), "removed": self.remove_orphans(orphans_older_than_ms)}
+
     def drop(self) -> None:
         delete_path(self.spark, self.location)
