@@ -102,6 +102,40 @@ def subtract_timestamps(a: Column, b: Column) -> Column:
     return interval(0, days, d - days.cast("bigint") * 86_400_000_000)
 
 
+def extract_interval(field: str, i: Column) -> Column:
+    """``EXTRACT(field FROM interval)``; a year has 365.25 days in ``epoch``, a month beyond whole years 30."""
+    m, d, us = i["months"], i["days"], i["microseconds"]
+    part = lambda x, y: F.when(x >= 0, F.floor(x / y)).otherwise(F.ceil(x / y))
+    out = {
+        "millennium": lambda: part(m, 12_000), "century": lambda: part(m, 1_200), "decade": lambda: part(m, 120), "year": lambda: part(m, 12), "month": lambda: m % 12, "quarter": lambda: part(m % 12, 3) + 1, "day": lambda: d,
+        "hour": lambda: part(us, 3_600_000_000), "minute": lambda: part(us % 3_600_000_000, 60_000_000), "second": lambda: us % 60_000_000 / 1e6, "milliseconds": lambda: us % 60_000_000 / 1e3, "microseconds": lambda: us % 60_000_000,
+        "epoch": lambda: part(m, 12) * 31_557_600 + (m % 12) * 2_592_000 + d * 86_400 + us / 1e6,
+    }
+    return out[field.lower()]().cast("double")
+
+
+def date_trunc_interval(field: str, i: Column) -> Column:
+    """``date_trunc(field, interval)``: smaller parts become zero."""
+    m, d, us = i["months"], i["days"], i["microseconds"]
+    f = field.lower()
+    months = {"millennium": 12_000, "century": 1_200, "decade": 120, "year": 12, "quarter": 3, "month": 1}
+    if f in months:
+        return interval(m - m % months[f], 0, 0)
+    small = {"hour": 3_600_000_000, "minute": 60_000_000, "second": 1_000_000, "milliseconds": 1_000, "microseconds": 1}
+    return interval(m, d, 0) if f == "day" else interval(m, d, us - us % small[f])
+
+
+def time_of_day(t: Column) -> Column:
+    """The time of a timestamp as text with microseconds; times with a zone are kept in UTC, the session's zone."""
+    return F.date_format(t, "HH:mm:ss.SSSSSS")
+
+
+def time_in_utc(local: Column, offset_minutes: Column) -> Column:
+    """A time with a zone (text and minutes east of UTC) as the UTC time of day."""
+    us = F.unix_micros(F.to_timestamp(F.concat(F.lit("1970-01-01 "), local))) - offset_minutes.cast("bigint") * 60_000_000
+    return time_of_day(F.timestamp_micros(F.pmod(us, F.lit(86_400_000_000))))
+
+
 # to_char ---------------------------------------------------------------------------
 
 # Template patterns, longest first where one begins another.

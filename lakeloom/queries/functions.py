@@ -179,6 +179,10 @@ q.add("later", lambda: c("o_orderdate") > F.lit("1998-06-01").cast("date"), "o_o
 q.add("epochdate", lambda: D.to_date_epoch(c("o_orderkey") % 20000 + 0.7), "DATE '1970-01-01' + (o_orderkey % 20000)::INT")
 q.add("epochts", lambda: D.to_timestamp_epoch(c("o_orderkey") + 0.25).cast("timestamp_ntz"), "make_timestamp((o_orderkey * 1000000 + 250000)::BIGINT)")
 
+q = _Lazy("fn_time_casts", "events", "event_id", "Times of day, with and without a zone.")
+q.add("t", lambda: D.time_of_day(c("ts")), "strftime(ts, '%H:%M:%S.%f')")
+q.add("u", lambda: D.time_in_utc(D.time_of_day(c("ts")), F.lit(150)), "strftime(ts - INTERVAL '150 minutes', '%H:%M:%S.%f')")
+
 q = _Lazy("fn_to_char", "events", "event_id", "to_char.")
 q.add("iso", lambda: D.to_char(c("ts"), "YYYY-MM-DD HH24:MI:SS.US"), "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')")
 q.add("us", lambda: D.to_char(c("ts"), "MM/DD/YY HH12:MI AM"), "strftime(ts, '%m/%d/%y %I:%M %p')")

@@ -147,7 +147,7 @@ _pruned("tbl_partition_hour_prune", "events", "hour(ts)", [("ts", "<", "2024-01-
 _pruned("tbl_partition_month_prune", "orders", "month(o_orderdate)", [("o_orderdate", "=", "1997-03-05 00:00:00")], "o_orderdate = TIMESTAMP '1997-03-05 00:00:00'")
 _pruned("tbl_partition_year_prune", "orders", "year(o_orderdate)", [("o_orderdate", ">", "2000-12-30 00:00:00")], "o_orderdate > TIMESTAMP '2000-12-30 00:00:00'")
 _pruned("tbl_partition_bucket_prune", "orders", "bucket(16, o_custkey)", [("o_custkey", "=", 42)], "o_custkey = 42")
-_pruned("tbl_partition_truncate", "customer", "truncate(500, c_custkey)", [("c_custkey", "<", 120)], "c_custkey < 120")
+_pruned("tbl_partition_truncate", "customer", "truncate(50, c_custkey)", [("c_custkey", "<", 40)], "c_custkey < 40")
 _pruned("tbl_partition_identity", "customer", "c_mktsegment", [("c_mktsegment", "in", ["BUILDING", "MACHINERY"])], "c_mktsegment IN ('BUILDING', 'MACHINERY')")
 _pruned("tbl_partition_multi", "events", "day(ts), bucket(4, user_id)", [("ts", "<", "2024-01-03 00:00:00"), ("user_id", "=", 7)], "ts < TIMESTAMP '2024-01-03 00:00:00' AND user_id = 7")
 

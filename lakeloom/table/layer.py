@@ -328,13 +328,13 @@ class Table:
         if spec:
             types = {c["id"]: c["type"] for c in state["columns"]}
             out = out.withColumns({p: transforms.value(s, F.col(f"c{s['id']}"), types[s["id"]]).cast("string") for p, s in zip(parts, spec)})
-            salt = F.pmod(F.xxhash64(*[f"c{c['id']}" for c in state["columns"]]), F.lit(16))
-            out = out.repartition(*parts, salt)  # a hot partition is written by up to 16 tasks
+            # One file per partition value where it is small; AQE splits a hot one over tasks and joins small ones in one.
+            out = out.hint("rebalance", *[F.col(p) for p in parts])
         w = out.write.option("maxRecordsPerFile", records_per_file or 0)
         if spec:
             w = w.partitionBy(*parts)
         w.parquet(f"{self.location}/{folder}")
-        return self._manifest_of(state, folder, spec, parts)
+        return materialize(self._manifest_of(state, folder, spec, parts), "manifest")
 
     def _manifest_of(self, state: dict, folder: str, spec: list, parts: list[str]) -> DataFrame:
         """Manifest rows of the files below a folder, from their footers; read by tasks, not by the driver."""
@@ -353,9 +353,8 @@ class Table:
         path = f"meta/manifest-{uuid.uuid4().hex}.parquet"
         parts = [d.select(*[c.split()[0] for c in MANIFEST.split(", ")]) for d in (keep, added) if d is not None]
         files = reduce(DataFrame.unionAll, parts) if parts else self.spark.createDataFrame([], MANIFEST)
-        base = state["next_row_id"]
-        fresh = files.filter((F.col("content") == 0) & F.col("first_row_id").isNull()).select("path", "row_count").collect() if added is not None else []
-        starts, at = [], base
+        fresh = added.filter((F.col("content") == 0) & F.col("first_row_id").isNull()).select("path", "row_count").collect() if added is not None else []
+        starts, at = [], state["next_row_id"]
         for f in sorted(fresh, key=lambda r: r["path"]):  # one row per file of this commit
             starts.append((f["path"], at))
             at += f["row_count"]
@@ -366,10 +365,13 @@ class Table:
         written = self.spark.read.schema(MANIFEST).parquet(f"{self.location}/{path}")
         before = self._snapshot(state)
         old = self.manifest(state) if before else self.spark.createDataFrame([], MANIFEST)
-        rows = written.agg(F.coalesce(F.sum(F.when(F.col("content") == 0, F.col("row_count")).otherwise(-F.col("row_count"))), F.lit(0))).first()[0]
+        held = F.when(F.col("content") == 0, F.col("row_count")).otherwise(-F.col("row_count"))
+        both = written.select("path", held.alias("r"), F.lit(1).alias("n")).unionAll(old.select("path", F.lit(0).cast("bigint").alias("r"), F.lit(-1).alias("n")))
+        each = both.groupBy("path").agg(F.sum("r").alias("r"), F.sum("n").alias("n"))
+        rows, more, less = each.agg(F.coalesce(F.sum("r"), F.lit(0)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == -1)).first()
         snap = {
             "id": (max((s["id"] for s in state["snapshots"]), default=0)) + 1, "parent": state["current"], "at": int(time.time() * 1000), "operation": operation, "manifest": path, "rows": rows,
-            "added_files": written.join(old.select("path"), "path", "left_anti").count(), "removed_files": old.join(written.select("path"), "path", "left_anti").count(),
+            "added_files": more, "removed_files": less,
         }
         state = state | {"snapshots": [*state["snapshots"], snap], "current": snap["id"], "next_row_id": at}
         for _ in range(5):
@@ -425,30 +427,29 @@ class Table:
         names = [c["name"] for c in state["columns"]]
         counts = hit.groupBy("_file").agg(F.count("*").alias("_n"))
         m = self.manifest(state).withColumn("_file", F.regexp_extract("path", "([^/]+/[^/]+)$", 1))
-        touched = m.filter("content = 0").join(counts, "_file")
-        gone = self._live_counts(state, touched)
-        whole = gone.filter("_n >= _live").select("path")
-        partial = gone.filter("_n < _live")
-        sums = partial.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("row_count"), F.lit(0))).first()
-        rewrite = mode == "cow" or (mode == "auto" and sums[1] and sums[0] * 100 > COPY_ON_WRITE_PERCENT * sums[1])
+        touched = self._live_counts(state, m.filter("content = 0").join(counts, "_file")).select("path", "_file", "row_count", "_n", "_live").collect()  # one row per file that is hit
+        whole, partial = [f for f in touched if f["_n"] >= f["_live"]], [f for f in touched if f["_n"] < f["_live"]]
+        some = self.spark.createDataFrame([(f["path"], f["_file"]) for f in partial], "path string, _file string")
+        none = self.spark.createDataFrame([(f["path"],) for f in whole], "path string")
+        rewrite = mode == "cow" or (mode == "auto" and sum(f["_n"] for f in partial) * 100 > COPY_ON_WRITE_PERCENT * sum(f["row_count"] for f in partial))
         added = []
-        keep = m.join(whole, "path", "left_anti").drop("_file")
-        if sums[1] and rewrite:
-            rows = self._rows(state, m.join(partial.select("path"), "path", "left_semi").unionAll(m.filter("content = 1")), positions=True)
+        keep = m.join(none, "path", "left_anti").drop("_file")
+        if partial and rewrite:
+            rows = self._rows(state, m.join(some.select("path"), "path", "left_semi").unionAll(m.filter("content = 1").select("path", *[c for c in m.columns if c != "path"])), positions=True)
             left = rows.join(hit.select("_file", "_pos"), ["_file", "_pos"], "left_anti").select(*names)
             added.append(self._write_data(state, left))
-            keep = keep.join(partial.select("path"), "path", "left_anti")
-        elif sums[1]:
-            places = hit.join(partial.select("_file"), "_file", "left_semi").select("_file", "_pos")
+            keep = keep.join(some.select("path"), "path", "left_anti")
+        elif partial:
+            places = hit.join(some.select("_file"), "_file", "left_semi").select("_file", "_pos")
             folder = f"deletes/{uuid.uuid4().hex[:12]}"
             places.repartition(F.col("_file")).sortWithinPartitions("_file", "_pos").write.parquet(f"{self.location}/{folder}")
             found = self._manifest_of(state, folder, [], [])
-            added.append(found.withColumn("content", F.lit(1)).filter("row_count > 0"))
+            added.append(materialize(found.withColumn("content", F.lit(1)).filter("row_count > 0"), "manifest"))
         if assignments is not None:
             new = hit.select(*[(assignments[n] if n in assignments else F.col(f"`{n}`")).alias(n) for n in names])
             added.append(self._write_data(state, new))
         more = reduce(DataFrame.unionAll, added) if added else None
-        snap = self._publish(state, "update" if assignments is not None else "delete", keep, materialize(more, "manifest") if more is not None else None)
+        snap = self._publish(state, "update" if assignments is not None else "delete", keep, more)
         if returning:
             return (hit if assignments is None else hit.select(*[(assignments[n] if n in assignments else F.col(f"`{n}`")).alias(n) for n in names])).drop("_file", "_pos")
         return snap

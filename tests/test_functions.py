@@ -148,3 +148,12 @@ def test_json_and_maps(spark):
 def test_trigonometry_in_degrees(spark):
     x = lambda make: one(spark, lambda: make(F.col("x")), "x double", (60.0,))
     assert math.isclose(x(N.cosd), 0.5) and math.isclose(x(lambda c: N.asind(c / 120)), 30) and math.isclose(x(lambda c: N.atan2d(c, c)), 45)
+
+
+def test_parts_of_intervals(spark):
+    part = lambda f, *a: one(spark, lambda: D.extract_interval(f, D.interval(*a)))
+    assert [part(f, -27, 5, 3_723_500_000) for f in ("year", "month", "day", "hour", "minute", "second")] == [-2.0, -3.0, 5.0, 1.0, 2.0, 3.5]
+    assert part("epoch", 13, 1, 500_000) == 31557600 + 2592000 + 86400 + 0.5
+    cut = one(spark, lambda: D.date_trunc_interval("hour", D.interval(14, 3, 7_300_000_000)))
+    assert tuple(cut) == (14, 3, 7_200_000_000) and tuple(one(spark, lambda: D.date_trunc_interval("year", D.interval(14, 3, 7)))) == (12, 0, 0)
+    assert one(spark, lambda: D.time_in_utc(F.lit("00:30:00"), F.lit(60))) == "23:30:00.000000"
