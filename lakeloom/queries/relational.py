@@ -239,3 +239,21 @@ S("clickbench_regex_group", "SELECT regexp_replace(s3_key, '/.*$', '') AS ns, co
 S("clickbench_minute", "SELECT date_trunc('minute', ts) AS m, count(*) AS n FROM events GROUP BY date_trunc('minute', ts)", "SELECT date_trunc('minute', ts) AS m, count(*) AS n FROM events GROUP BY 1")
 S("clickbench_like_count", "SELECT count(*) AS n FROM access_log WHERE request_uri LIKE '%device_pings%'")
 S("clickbench_wide_sums", "SELECT " + ", ".join(f"CAST(sum(user_id + {i}) AS BIGINT) AS s{i}" for i in range(20)) + " FROM events")
+
+# The suite's queries on part suppliers, with those pairs taken from the line items.
+_PS = "ps AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_extendedprice / l_quantity) AS ps_supplycost, CAST(sum(l_quantity) AS BIGINT) AS ps_availqty FROM lineitem GROUP BY l_partkey, l_suppkey)"
+S("tpch_q2", f"WITH {_PS} SELECT s_acctbal, s_name, n_name, p_partkey FROM part JOIN ps ON p_partkey = ps_partkey JOIN supplier ON s_suppkey = ps_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE p_size = 15 AND r_name = 'EUROPE' AND ps_supplycost = (SELECT min(q.ps_supplycost) FROM ps q JOIN supplier ON s_suppkey = q.ps_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE q.ps_partkey = p_partkey AND r_name = 'EUROPE')")
+S("tpch_q8", "SELECT y, round(sum(CASE WHEN nation = 'NATION_3' THEN v ELSE 0 END) / sum(v), 8) AS share FROM (SELECT year(o_orderdate) AS y, l_extendedprice * (1 - l_discount) AS v, n2.n_name AS nation FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n1 ON c_nationkey = n1.n_nationkey JOIN region ON n1.n_regionkey = r_regionkey JOIN nation n2 ON s_nationkey = n2.n_nationkey WHERE r_name = 'AMERICA' AND p_type = 'ECONOMY') t GROUP BY y")
+S("tpch_q9", f"WITH {_PS} SELECT n_name, y, round(sum(amount), 1) AS profit FROM (SELECT n_name, year(o_orderdate) AS y, l_extendedprice * (1 - l_discount) - ps_supplycost * l_quantity AS amount FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN ps ON ps_suppkey = l_suppkey AND ps_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_name LIKE '%green%' OR p_name LIKE '%red%') t GROUP BY n_name, y")
+S("tpch_q11", f"WITH {_PS}, v AS (SELECT ps_partkey, sum(CAST(ps_availqty AS DOUBLE)) AS q FROM ps JOIN supplier ON ps_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2 GROUP BY ps_partkey) SELECT ps_partkey, q FROM v WHERE q > (SELECT sum(q) * 0.001 FROM v)")
+S("tpch_q16", f"WITH {_PS} SELECT p_brand, p_type, p_size, count(DISTINCT ps_suppkey) AS suppliers FROM ps JOIN part ON p_partkey = ps_partkey WHERE p_brand <> 'Brand#4' AND p_type NOT LIKE 'MEDIUM%' AND p_size IN (9, 14, 19, 23, 36, 45, 49, 3) AND ps_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 1000) GROUP BY p_brand, p_type, p_size")
+S("tpch_q20", f"WITH {_PS} SELECT s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 3 AND s_suppkey IN (SELECT ps_suppkey FROM ps WHERE ps_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE 'b%') AND ps_availqty > (SELECT 0.5 * sum(l_quantity) FROM lineitem WHERE l_partkey = ps_partkey AND l_suppkey = ps_suppkey AND l_shipdate >= TIMESTAMP '1997-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1998-01-01 00:00:00'))")
+S("clickbench_min_max", "SELECT min(ts) AS first, max(ts) AS last FROM events")
+S("clickbench_kinds_by_day", "SELECT CAST(ts AS DATE) AS d, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY CAST(ts AS DATE), event_type")
+S("clickbench_top_values", "SELECT user_id, max(value) AS top FROM events WHERE event_type = 'purchase' GROUP BY user_id ORDER BY top DESC, user_id LIMIT 10")
+S("clickbench_search_like", "SELECT operation, count(*) AS n, count(DISTINCT remote_ip) AS ips FROM access_log WHERE user_agent LIKE '%lake%' AND http_status = '200' GROUP BY operation")
+S("clickbench_hour_of_day", "SELECT hour(request_time) AS h, count(*) AS n, CAST(sum(bytes_sent) AS BIGINT) AS bytes FROM access_log GROUP BY hour(request_time)")
+S("clickbench_case_group", "SELECT CASE WHEN http_status LIKE '2%' THEN 'ok' WHEN http_status LIKE '4%' THEN 'client' ELSE 'server' END AS kind, count(*) AS n FROM access_log GROUP BY CASE WHEN http_status LIKE '2%' THEN 'ok' WHEN http_status LIKE '4%' THEN 'client' ELSE 'server' END")
+S("clickbench_offset", "SELECT s3_key, count(*) AS n FROM access_log GROUP BY s3_key ORDER BY n DESC, s3_key LIMIT 10 OFFSET 20")
+S("lake_deleted_files", "SELECT f.table_name, count(DISTINCT f.id) AS files, count(DISTINCT d.path) AS deletes FROM lake_files f JOIN deletion_file_map d ON f.table_name = d.table_name AND f.path = d.deleted_from GROUP BY f.table_name")
+S("lake_bytes_by_table", "SELECT table_name, count(*) AS files, CAST(sum(file_size) AS BIGINT) AS bytes, CAST(sum(CASE WHEN row_count >= 0 THEN row_count END) AS BIGINT) AS rows_known FROM (SELECT DISTINCT * FROM lake_files) f WHERE content = 0 GROUP BY table_name")
