@@ -68,9 +68,9 @@ def join_range_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 # Aggregates ------------------------------------------------------------------------
 S("agg_basic", "SELECT o_orderstatus, count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(avg(o_totalprice), 4) AS mean, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY o_orderstatus")
-S("agg_ordinals_expressions", "SELECT year(o_orderdate) AS y, length(o_orderpriority) AS l, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 10")
+S("agg_ordinals_expressions", "SELECT CAST(year(o_orderdate) AS BIGINT) AS y, CAST(length(o_orderpriority) AS BIGINT) AS l, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 10")
 S("agg_distinct", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts, CAST(sum(DISTINCT l_quantity) AS DOUBLE) AS quantities FROM lineitem GROUP BY l_returnflag")
-S("agg_filter", "SELECT l_shipmode_year AS y, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_discount > 0.05) AS discounted FROM (SELECT *, year(l_shipdate) AS l_shipmode_year FROM lineitem) t GROUP BY l_shipmode_year")
+S("agg_filter", "SELECT l_shipmode_year AS y, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_discount > 0.05) AS discounted FROM (SELECT *, CAST(year(l_shipdate) AS BIGINT) AS l_shipmode_year FROM lineitem) t GROUP BY l_shipmode_year")
 S("agg_stats", "SELECT l_returnflag, round(stddev(l_quantity), 6) AS sd, round(stddev_pop(l_quantity), 6) AS sdp, round(stddev_samp(l_quantity), 6) AS sds, round(variance(l_quantity), 5) AS v, round(var_pop(l_quantity), 5) AS vp, round(var_samp(l_quantity), 5) AS vs FROM lineitem GROUP BY l_returnflag")
 S("agg_corr_covar", "SELECT l_returnflag, round(corr(l_extendedprice, l_quantity), 6) AS c, round(covar_pop(l_extendedprice, l_quantity), 2) AS cp, round(covar_samp(l_extendedprice, l_quantity), 2) AS cs FROM lineitem GROUP BY l_returnflag")
 S("agg_regr", "SELECT l_returnflag, round(regr_avgx(l_extendedprice, l_quantity), 5) AS ax, round(regr_avgy(l_extendedprice, l_quantity), 3) AS ay, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n, round(regr_intercept(l_extendedprice, l_quantity), 3) AS i, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(regr_slope(l_extendedprice, l_quantity), 4) AS s, round(regr_sxx(l_extendedprice, l_quantity), 1) AS sxx, round(regr_sxy(l_extendedprice, l_quantity), 0) AS sxy, round(regr_syy(l_extendedprice, l_quantity) / 1e6, 1) AS syy FROM lineitem GROUP BY l_returnflag")
@@ -188,7 +188,7 @@ S("sub_scalar_corr", "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WH
 S("sub_scalar_in_select", "SELECT n_name, (SELECT count(*) FROM region) AS regions FROM nation")
 S("sub_in", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 S("sub_in_case", "SELECT c_custkey, CASE WHEN c_acctbal > (SELECT avg(c_acctbal) FROM customer) THEN 'above' ELSE 'below' END AS side FROM customer")
-S("sub_from", "SELECT y, n FROM (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY year(o_orderdate)) t WHERE n > 10")
+S("sub_from", "SELECT y, n FROM (SELECT CAST(year(o_orderdate) AS BIGINT) AS y, count(*) AS n FROM orders GROUP BY year(o_orderdate)) t WHERE n > 10")
 S("cte_chain", "WITH a AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT n, count(*) AS customers FROM a GROUP BY n) SELECT n, customers FROM b WHERE customers > 3")
 S("cte_nested", "WITH a AS (WITH x AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey) SELECT r_name, n FROM x JOIN region ON r_regionkey = n_regionkey) SELECT * FROM a")
 S("cte_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n, n * n AS sq FROM t")
@@ -220,7 +220,7 @@ S("tpch_q3", "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)),
 S("tpch_q4", "SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE o_orderdate >= TIMESTAMP '1997-07-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-10-01 00:00:00' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate) GROUP BY o_orderpriority ORDER BY o_orderpriority")
 S("tpch_q5", "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY n_name")
 S("tpch_q6", "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1998-01-01 00:00:00' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
-S("tpch_q7", "SELECT supp, cust, y, round(sum(v), 2) AS revenue FROM (SELECT n1.n_name AS supp, n2.n_name AS cust, year(l_shipdate) AS y, l_extendedprice * (1 - l_discount) AS v FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE n1.n_nationkey IN (6, 7) AND n2.n_nationkey IN (6, 7) AND n1.n_nationkey <> n2.n_nationkey) t GROUP BY supp, cust, y")
+S("tpch_q7", "SELECT supp, cust, y, round(sum(v), 2) AS revenue FROM (SELECT n1.n_name AS supp, n2.n_name AS cust, CAST(year(l_shipdate) AS BIGINT) AS y, l_extendedprice * (1 - l_discount) AS v FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE n1.n_nationkey IN (6, 7) AND n2.n_nationkey IN (6, 7) AND n1.n_nationkey <> n2.n_nationkey) t GROUP BY supp, cust, y")
 S("tpch_q10", "SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, c_acctbal, n_name FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey WHERE l_returnflag = 'R' AND o_orderdate >= TIMESTAMP '1997-10-01 00:00:00' AND o_orderdate < TIMESTAMP '1998-01-01 00:00:00' GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20")
 S("tpch_q12", "SELECT l_linestatus, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS low FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate >= TIMESTAMP '1998-01-01 00:00:00' GROUP BY l_linestatus")
 S("tpch_q13", "SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '%LOW%' GROUP BY c_custkey) t GROUP BY c_count")
@@ -236,15 +236,15 @@ S("clickbench_distinct_users", "SELECT count(DISTINCT user_id) AS users, count(D
 S("clickbench_group_top", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type ORDER BY n DESC, user_id, event_type LIMIT 10")
 S("clickbench_avg_having", "SELECT user_id, round(avg(length(props)), 6) AS l, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 20")
 S("clickbench_regex_group", "SELECT regexp_replace(s3_key, '/.*$', '') AS ns, count(*) AS n, min(s3_key) AS k FROM access_log WHERE s3_key <> '-' GROUP BY regexp_replace(s3_key, '/.*$', '')", "SELECT regexp_replace(s3_key, '/.*$', '') AS ns, count(*) AS n, min(s3_key) AS k FROM access_log WHERE s3_key <> '-' GROUP BY 1")
-S("clickbench_minute", "SELECT date_trunc('minute', ts) AS m, count(*) AS n FROM events GROUP BY date_trunc('minute', ts)", "SELECT date_trunc('minute', ts) AS m, count(*) AS n FROM events GROUP BY 1")
+S("clickbench_minute", "SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP_NTZ) AS m, count(*) AS n FROM events GROUP BY CAST(date_trunc('minute', ts) AS TIMESTAMP_NTZ)", "SELECT date_trunc('minute', ts) AS m, count(*) AS n FROM events GROUP BY 1")
 S("clickbench_like_count", "SELECT count(*) AS n FROM access_log WHERE request_uri LIKE '%device_pings%'")
 S("clickbench_wide_sums", "SELECT " + ", ".join(f"CAST(sum(user_id + {i}) AS BIGINT) AS s{i}" for i in range(20)) + " FROM events")
 
 # The suite's queries on part suppliers, with those pairs taken from the line items.
 _PS = "ps AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_extendedprice / l_quantity) AS ps_supplycost, CAST(sum(l_quantity) AS BIGINT) AS ps_availqty FROM lineitem GROUP BY l_partkey, l_suppkey)"
 S("tpch_q2", f"WITH {_PS} SELECT s_acctbal, s_name, n_name, p_partkey FROM part JOIN ps ON p_partkey = ps_partkey JOIN supplier ON s_suppkey = ps_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE p_size = 15 AND r_name = 'EUROPE' AND ps_supplycost = (SELECT min(q.ps_supplycost) FROM ps q JOIN supplier ON s_suppkey = q.ps_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE q.ps_partkey = p_partkey AND r_name = 'EUROPE')")
-S("tpch_q8", "SELECT y, round(sum(CASE WHEN nation = 'NATION_3' THEN v ELSE 0 END) / sum(v), 8) AS share FROM (SELECT year(o_orderdate) AS y, l_extendedprice * (1 - l_discount) AS v, n2.n_name AS nation FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n1 ON c_nationkey = n1.n_nationkey JOIN region ON n1.n_regionkey = r_regionkey JOIN nation n2 ON s_nationkey = n2.n_nationkey WHERE r_name = 'AMERICA' AND p_type = 'ECONOMY') t GROUP BY y")
-S("tpch_q9", f"WITH {_PS} SELECT n_name, y, round(sum(amount), 1) AS profit FROM (SELECT n_name, year(o_orderdate) AS y, l_extendedprice * (1 - l_discount) - ps_supplycost * l_quantity AS amount FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN ps ON ps_suppkey = l_suppkey AND ps_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_name LIKE '%green%' OR p_name LIKE '%red%') t GROUP BY n_name, y")
+S("tpch_q8", "SELECT y, round(sum(CASE WHEN nation = 'NATION_3' THEN v ELSE 0 END) / sum(v), 8) AS share FROM (SELECT CAST(year(o_orderdate) AS BIGINT) AS y, l_extendedprice * (1 - l_discount) AS v, n2.n_name AS nation FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n1 ON c_nationkey = n1.n_nationkey JOIN region ON n1.n_regionkey = r_regionkey JOIN nation n2 ON s_nationkey = n2.n_nationkey WHERE r_name = 'AMERICA' AND p_type = 'ECONOMY') t GROUP BY y")
+S("tpch_q9", f"WITH {_PS} SELECT n_name, y, round(sum(amount), 1) AS profit FROM (SELECT n_name, CAST(year(o_orderdate) AS BIGINT) AS y, l_extendedprice * (1 - l_discount) - ps_supplycost * l_quantity AS amount FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN ps ON ps_suppkey = l_suppkey AND ps_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_name LIKE '%green%' OR p_name LIKE '%red%') t GROUP BY n_name, y")
 S("tpch_q11", f"WITH {_PS}, v AS (SELECT ps_partkey, sum(CAST(ps_availqty AS DOUBLE)) AS q FROM ps JOIN supplier ON ps_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2 GROUP BY ps_partkey) SELECT ps_partkey, q FROM v WHERE q > (SELECT sum(q) * 0.001 FROM v)")
 S("tpch_q16", f"WITH {_PS} SELECT p_brand, p_type, p_size, count(DISTINCT ps_suppkey) AS suppliers FROM ps JOIN part ON p_partkey = ps_partkey WHERE p_brand <> 'Brand#4' AND p_type NOT LIKE 'MEDIUM%' AND p_size IN (9, 14, 19, 23, 36, 45, 49, 3) AND ps_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 1000) GROUP BY p_brand, p_type, p_size")
 S("tpch_q20", f"WITH {_PS} SELECT s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 3 AND s_suppkey IN (SELECT ps_suppkey FROM ps WHERE ps_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE 'b%') AND ps_availqty > (SELECT 0.5 * sum(l_quantity) FROM lineitem WHERE l_partkey = ps_partkey AND l_suppkey = ps_suppkey AND l_shipdate >= TIMESTAMP '1997-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1998-01-01 00:00:00'))")
@@ -252,7 +252,7 @@ S("clickbench_min_max", "SELECT min(ts) AS first, max(ts) AS last FROM events")
 S("clickbench_kinds_by_day", "SELECT CAST(ts AS DATE) AS d, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY CAST(ts AS DATE), event_type")
 S("clickbench_top_values", "SELECT user_id, max(value) AS top FROM events WHERE event_type = 'purchase' GROUP BY user_id ORDER BY top DESC, user_id LIMIT 10")
 S("clickbench_search_like", "SELECT operation, count(*) AS n, count(DISTINCT remote_ip) AS ips FROM access_log WHERE user_agent LIKE '%lake%' AND http_status = '200' GROUP BY operation")
-S("clickbench_hour_of_day", "SELECT hour(request_time) AS h, count(*) AS n, CAST(sum(bytes_sent) AS BIGINT) AS bytes FROM access_log GROUP BY hour(request_time)")
+S("clickbench_hour_of_day", "SELECT CAST(hour(request_time) AS BIGINT) AS h, count(*) AS n, CAST(sum(bytes_sent) AS BIGINT) AS bytes FROM access_log GROUP BY hour(request_time)")
 S("clickbench_case_group", "SELECT CASE WHEN http_status LIKE '2%' THEN 'ok' WHEN http_status LIKE '4%' THEN 'client' ELSE 'server' END AS kind, count(*) AS n FROM access_log GROUP BY CASE WHEN http_status LIKE '2%' THEN 'ok' WHEN http_status LIKE '4%' THEN 'client' ELSE 'server' END")
 S("clickbench_offset", "SELECT s3_key, count(*) AS n FROM access_log GROUP BY s3_key ORDER BY n DESC, s3_key LIMIT 10 OFFSET 20")
 S("lake_deleted_files", "SELECT f.table_name, count(DISTINCT f.id) AS files, count(DISTINCT d.path) AS deletes FROM lake_files f JOIN deletion_file_map d ON f.table_name = d.table_name AND f.path = d.deleted_from GROUP BY f.table_name")
