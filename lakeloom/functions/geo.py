@@ -132,46 +132,27 @@ def _boundary(g):
 
 
 def _buffer(g, radius: float, quads: int = 8):
-    """Exact only for points and for convex hulls of them, which is what a point's circle and its hull are."""
-    n = 4 * int(quads)
+    """All that lies within ``radius``: circles around points and their hulls along edges, united; a circle has 4 * ``quads`` corners."""
     if radius <= 0 or G.is_empty(g):
         return ("Polygon", [])
-    if G.dimension(g) and not (len(G.runs(g)) == 1 and len(G.runs(g)[0]) == 2) and not G.equals(G.convex_hull(g), g):
-        raise NotImplementedError("buffer of a geometry that is not convex")
-    ring = [(p[0] + radius * math.cos(-2 * math.pi * i / n), p[1] + radius * math.sin(-2 * math.pi * i / n)) for p in G.all_points(g) for i in range(n)]
-    return G.convex_hull(("MultiPoint", [("Point", p) for p in ring]))
-
-
-def _clip(a, b):
-    """Intersection with a convex polygon; points and lines are kept where they lie in it."""
-    if not G.intersects(a, b):
-        return ("Polygon", []) if G.dimension(a) == 2 == G.dimension(b) else ("GeometryCollection", [])
-    if G.dimension(a) < G.dimension(b) and G.dimension(a) == 0:
-        kept = [p for p in G.parts(a) if G.locate(p[1], b) != "E"]
-        return kept[0] if len(kept) == 1 else ("MultiPoint", kept)
-    if G.dimension(b) == 0:
-        return _clip(b, a)
-    for x, y in ((a, b), (b, a)):
-        if y[0] == "Polygon" and len(y[1]) == 1 and x[0] == "Polygon" and len(x[1]) == 1 and abs(G.area(G.convex_hull(y)) - G.area(y)) <= 1e-9 * max(G.area(y), 1):
-            ring = x[1][0][:-1]
-            clip = G.turned(y[1][0], False)
-            for c, d in zip(clip, clip[1:]):
-                new: list[tuple] = []
-                for p, q in zip([ring[-1], *ring[:-1]] if ring else [], ring):
-                    inp, inq = G.cross(c, d, p) >= 0, G.cross(c, d, q) >= 0
-                    if inp != inq:
-                        u, v = G.cross(c, d, p), G.cross(c, d, q)
-                        t = u / (u - v)
-                        new.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-                    if inq:
-                        new.append(q[:2])
-                ring = new
-            return ("Polygon", [[*ring, ring[0]]] if len(ring) > 2 else [])
-    if G.covers(b, a):
-        return a
-    if G.covers(a, b):
-        return b
-    raise NotImplementedError("intersection of these geometries needs an overlay engine")
+    n = 4 * int(quads)
+    circle = lambda p: [(p[0] + radius * math.cos(2 * math.pi * i / n), p[1] + radius * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    hull = lambda ps: G.convex_hull(("MultiPoint", [("Point", q) for p in ps for q in circle(p)]))
+    out = None
+    lone = [[d] for k, d in G.parts(g) if k == "Point" and d is not None]
+    for shape in [hull(ps) for ps in [*lone, *G.segments(g)]] + [("Polygon", d) for k, d in G.parts(g) if k == "Polygon"]:
+        out = shape if out is None else G.overlay(out, shape, "union")
+    return out
+
+
+def _simplified_valid(g, tolerance: float):
+    """Simplified as far as it stays valid."""
+    for _ in range(60):
+        out = G.reshaped(g, lambda r: s if len(s := G.simplify(r, tolerance)) >= (4 if r[0] == r[-1] else 2) else r)
+        if G.is_valid(out):
+            return out
+        tolerance /= 2
+    return g
 
 
 def _transform(g, source: str, target: str):
@@ -230,12 +211,17 @@ st_normalize = _udf(_wkb(G.normalized), "binary", 1)
 st_reduceprecision = _udf(_wkb(lambda g, size: G.mapped(g, lambda p: tuple(round(v / size) * size for v in p))), "binary", 2)
 st_removerepeatedpoints = _udf(_wkb(lambda g, tolerance=0.0: G.reshaped(g, _unrepeated(tolerance))), "binary", 1, 1)
 st_simplify = _udf(_wkb(_simplified), "binary", 2)
+st_simplifypreservetopology = _udf(_wkb(_simplified_valid), "binary", 2)
 st_convexhull = _udf(_wkb(G.convex_hull), "binary", 1)
 st_centroid = _udf(_wkb(G.centroid), "binary", 1)
 st_pointonsurface = _udf(_wkb(lambda g: ("Point", G.inner_point(g))), "binary", 1)
 st_buffer = _udf(_wkb(_buffer), "binary", 2, 1)
-st_intersection = _udf(_wkb(_clip), "binary", 2)
+st_intersection = _udf(_wkb(lambda a, b, *_: G.combine(a, b, "intersection")), "binary", 2, 1)
+st_difference = _udf(_wkb(lambda a, b, *_: G.combine(a, b, "difference")), "binary", 2, 1)
+st_union = _udf(_wkb(lambda a, b: G.combine(a, b, "union")), "binary", 2)
+st_linemerge = _udf(_wkb(lambda g, *_: G.merged_lines(g)), "binary", 1, 1)
 st_transform = _udf(_wkb(_transform), "binary", 3)
+postgis_transform_geometry = _udf(_wkb(lambda g, source, target, *_: _transform(g, source, target)), "binary", 3, 1)
 # Measures
 st_area = _udf(G.area, "double", 1)
 st_length = _udf(G.length, "double", 1)
@@ -270,6 +256,27 @@ bbox_intersects = _udf(_boxes, "boolean", 2)
 _bbox = _udf(lambda g: list(G.bbox(g) or ()), "array<double>", 1)
 
 
+def union_agg(df: DataFrame, group: list[str], geom: str, salts: int = 16) -> DataFrame:
+    """``ST_Union`` as an aggregate: ``group`` columns and ``geom``, null where a group has no geometry.
+
+    Each group is united in ``salts`` parts first, so a hot group is no single task's work.
+    """
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = None
+        for w in pdf["_g"]:
+            if w is not None:
+                g = G.from_wkb(bytes(w))
+                out = g if out is None else G.combine(out, g, "union")
+        row = pdf.iloc[[0]][[c for c in pdf.columns if c != "_g"]].copy()
+        row["_g"] = [None if out is None else G.to_wkb(out)]
+        return row
+
+    src = df.select(*group, F.col(geom).alias("_g")).withColumn("_salt", F.pmod(F.xxhash64("_g"), F.lit(salts)))
+    part = src.groupBy(*group, "_salt").applyInPandas(unite, src.select(*group, "_salt", "_g").schema).drop("_salt")
+    return part.groupBy(*group).applyInPandas(unite, part.schema).withColumnRenamed("_g", geom)
+
+
 def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, predicate: Callable[[Column, Column], Column], cell: float) -> DataFrame:
     """Pairs for which ``predicate(left, right)`` holds, which must imply that bounding boxes meet.
 

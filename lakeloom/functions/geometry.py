@@ -690,3 +690,138 @@ def web_mercator(p: tuple, back: bool) -> tuple:
     if back:
         return math.degrees(p[0] / MAJOR), math.degrees(2 * math.atan(math.exp(p[1] / MAJOR)) - math.pi / 2)
     return MAJOR * math.radians(p[0]), MAJOR * math.log(math.tan(math.pi / 4 + math.radians(p[1]) / 2))
+
+
+# Overlay ----------------------------------------------------------------------------
+
+
+def _snap(p: tuple) -> tuple:
+    return round(p[0], 9) + 0.0, round(p[1], 9) + 0.0
+
+
+def _directed(g: Geometry) -> list[tuple]:
+    """Edges of polygons with the interior to their left."""
+    out = []
+    for k, d in parts(g):
+        for i, r in enumerate(d if k == "Polygon" else []):
+            r = turned(r, clockwise=i > 0)
+            out += [(_snap(a), _snap(b)) for a, b in zip(r, r[1:]) if _snap(a) != _snap(b)]
+    return out
+
+
+def _cut(edges: list[tuple], others: list[tuple]) -> list[tuple]:
+    out = []
+    for s in edges:
+        cuts = {s[0], s[1]} | {_snap(p) for t in others for p in meet(s, t)}
+        line = sorted(cuts, key=lambda p: (p[0] - s[0][0]) ** 2 + (p[1] - s[0][1]) ** 2)
+        out += list(zip(line, line[1:]))
+    return out
+
+
+def _rings(edges: list[tuple]) -> list[list[tuple]]:
+    """Closed rings of directed edges, each the tightest with its interior to the left."""
+    after: dict[tuple, list[tuple]] = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    out = []
+    for start in list(after):
+        while after.get(start):
+            ring = [start, after[start].pop()]
+            while ring[-1] != start:
+                ways = after.get(ring[-1])
+                if not ways:
+                    break  # an open end, which only rounding leaves
+                back = math.atan2(ring[-2][1] - ring[-1][1], ring[-2][0] - ring[-1][0])
+                best = min(ways, key=lambda q: (back - math.atan2(q[1] - ring[-1][1], q[0] - ring[-1][0])) % (2 * math.pi) or 2 * math.pi)
+                ways.remove(best)
+                ring.append(best)
+            if ring[-1] == start and len(ring) > 3:
+                out.append(ring)
+    return out
+
+
+def overlay(a: Geometry, b: Geometry, how: str) -> Geometry:
+    """Union, intersection or difference of two polygonal geometries that are valid in themselves."""
+    ea, eb = _directed(a), _directed(b)
+    pa, pb = _cut(ea, eb), _cut(eb, ea)
+    in_a, in_b = set(pa), set(pb)
+    middle = lambda s: ((s[0][0] + s[1][0]) / 2, (s[0][1] + s[1][1]) / 2)
+    kept = []
+    for s in pa:
+        if s in in_b:
+            w = "same"
+        elif (s[1], s[0]) in in_b:
+            w = "opposite"
+        else:
+            w = locate(middle(s), b)
+        if w in {"union": ("E", "same"), "intersection": ("I", "same"), "difference": ("E", "opposite")}[how]:
+            kept.append(s)
+    for s in pb:
+        if s in in_a or (s[1], s[0]) in in_a:
+            continue
+        w = locate(middle(s), a)
+        if how == "difference" and w == "I":
+            kept.append((s[1], s[0]))
+        elif how != "difference" and w == ("E" if how == "union" else "I"):
+            kept.append(s)
+    rings = _rings(kept)
+    outer = [[r] for r in rings if ring_area(r) > 0]
+    for h in (r for r in rings if ring_area(r) < 0):
+        around = [o for o in outer if _in_ring(inner_point(("Polygon", [h])), o[0]) != "E"]
+        if around:
+            min(around, key=lambda o: ring_area(o[0])).append(h)
+    return ("Polygon", outer[0] if outer else []) if len(outer) < 2 else ("MultiPolygon", [("Polygon", o) for o in outer])
+
+
+def _chained(pieces: list[tuple]) -> Geometry:
+    lines: list[list[tuple]] = []
+    for a, b in pieces:
+        if lines and lines[-1][-1] == a:
+            lines[-1].append(b)
+        else:
+            lines.append([a, b])
+    return ("LineString", lines[0] if lines else []) if len(lines) < 2 else ("MultiLineString", [("LineString", r) for r in lines])
+
+
+def combine(a: Geometry, b: Geometry, how: str) -> Geometry:
+    """Overlay of geometries of any one dimension each; what falls short of the result's dimension is left out."""
+    da, db = dimension(a), dimension(b)
+    if is_empty(a) or is_empty(b):
+        return {"union": b if is_empty(a) else a, "intersection": b if is_empty(b) else a, "difference": a}[how]
+    if da == db == 2:
+        return overlay(a, b, how)
+    if how == "union":
+        rest = combine(a, b, "difference") if da < db else a
+        other = b if da < db else combine(b, a, "difference") if db < da else combine(b, a, "difference")
+        both = [g for x in (rest, other) for g in parts(x) if not is_empty(g)]
+        return both[0] if len(both) == 1 else collected(both)
+    if how == "intersection" and db < da:
+        a, b, da = b, a, db
+    keep = (lambda p: locate(p, b) != "E") if how == "intersection" else (lambda p: locate(p, b) == "E")
+    if da == 0:
+        pts = [("Point", p) for p in sorted({q[:2] for q in all_points(a)}) if keep(p)]
+        return pts[0] if len(pts) == 1 else ("MultiPoint", pts)
+    if da == 1:
+        pieces = _cut([(_snap(s[0]), _snap(s[1])) for s in segments(a)], segments(b))
+        return _chained([s for s in pieces if keep(((s[0][0] + s[1][0]) / 2, (s[0][1] + s[1][1]) / 2))])
+    return a  # a surface less a line or point
+
+
+def merged_lines(g: Geometry) -> Geometry:
+    """Lines joined at ends that exactly two of them share."""
+    lines = [list(map(_snap, r)) for k, r in parts(g) if k == "LineString" and len(r) > 1]
+    joined = True
+    while joined:
+        joined, ends = False, {}
+        for i, r in enumerate(lines):
+            for p in (r[0], r[-1]):
+                ends.setdefault(p, []).append(i)
+        for p, at in ends.items():
+            if len(at) == 2 and at[0] != at[1]:
+                x, y = lines[at[0]], lines[at[1]]
+                x = x if x[-1] == p else x[::-1]
+                y = y if y[0] == p else y[::-1]
+                lines = [r for i, r in enumerate(lines) if i not in at] + [x + y[1:]]
+                joined = True
+                break
+    return ("LineString", lines[0] if lines else []) if len(lines) < 2 else ("MultiLineString", [("LineString", r) for r in lines])

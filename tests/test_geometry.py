@@ -1,6 +1,8 @@
 import math
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lakeloom.functions import geo
 from lakeloom.functions import geometry as G
@@ -51,3 +53,38 @@ def test_columns_with_nulls(spark):
     assert [r[0] for r in got] == [1.0, None, None] and [r[2] for r in got] == ["POINT", None, "LINESTRING"] and got[1][3] is None and got[0][4] == 0
     e = spark.createDataFrame([(1,)], "i int").select(geo.st_astext(geo.st_intersection(geo.st_makeenvelope(0.0, 0.0, 2.0, 2.0), geo.st_makeenvelope(1.0, 1.0, 3.0, 3.0))).alias("w")).first()[0]
     assert G.area(W(e)) == 1.0
+
+
+def _polygon(draw_points):
+    hull = G.convex_hull(("MultiPoint", [("Point", p) for p in draw_points]))
+    return hull if hull[0] == "Polygon" else None
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=3, max_size=7), st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=3, max_size=7), st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=3, max_size=5))
+def test_areas_of_overlays(x, y, z):
+    a, b, c = _polygon(x), _polygon(y), _polygon(z)
+    if not (a and b and c):
+        return
+    u, i, d = (G.combine(a, b, h) for h in ("union", "intersection", "difference"))
+    assert math.isclose(G.area(u), G.area(a) + G.area(b) - G.area(i), abs_tol=1e-6)
+    assert math.isclose(G.area(d), G.area(a) - G.area(i), abs_tol=1e-6)
+    assert math.isclose(G.area(G.combine(u, c, "intersection")) + G.area(G.combine(u, c, "difference")), G.area(u), abs_tol=1e-5)
+
+
+def test_overlays_of_other_kinds(spark):
+    assert G.to_wkt(G.combine(W("LINESTRING(-1 2,5 2)"), SQ, "intersection")) == "LINESTRING (0 2, 4 2)"
+    assert G.to_wkt(G.combine(W("LINESTRING(-1 2,5 2)"), SQ, "difference")) == "MULTILINESTRING ((-1 2, 0 2), (4 2, 5 2))"
+    assert G.to_wkt(G.combine(W("MULTIPOINT(1 1,9 9)"), SQ, "intersection")) == "POINT (1 1)" and G.combine(SQ, FAR, "intersection") == ("Polygon", [])
+    assert G.to_wkt(G.normalized(G.combine(SQ, INNER, "difference"))) == "POLYGON ((0 0, 0 4, 4 4, 4 0, 0 0), (1 1, 2 1, 2 2, 1 2, 1 1))"
+    assert G.to_wkt(G.normalized(G.combine(SQ, BESIDE, "union"))) == "POLYGON ((0 0, 0 4, 4 4, 8 4, 8 0, 4 0, 0 0))"
+    assert G.to_wkt(G.merged_lines(W("MULTILINESTRING((0 0,1 1),(2 2,1 1),(5 5,6 6))"))).startswith("MULTILINESTRING")
+    df = spark.createDataFrame([("a", "POLYGON((0 0,1 0,1 1,0 1,0 0))"), ("a", "POLYGON((1 0,2 0,2 1,1 1,1 0))"), ("a", None), ("b", None)], "k string, w string").withColumn("g", geo.st_geomfromtext("w"))
+    got = {r["k"]: r["a"] for r in geo.union_agg(df, ["k"], "g").select("k", geo.st_area("g").alias("a")).collect()}
+    assert got == {"a": 2.0, "b": None}
+
+
+def test_buffers_and_simplification(spark):
+    row = spark.createDataFrame([("POINT(0 0)", "LINESTRING(0 0,10 0)", "POLYGON((0 0,4 0,4 4,2 1,0 4,0 0))")], "p string, l string, c string")
+    a = row.select(*[geo.st_area(geo.st_buffer(geo.st_geomfromtext(x), 1.0, 64)).alias(x) for x in "plc"], geo.st_area(geo.st_simplifypreservetopology(geo.st_geomfromtext("c"), 50.0)).alias("s")).first()
+    assert math.isclose(a["p"], math.pi, rel_tol=1e-3) and math.isclose(a["l"], 20 + math.pi, rel_tol=1e-3) and a["c"] > 10 + 4 * 3 and a["s"] > 0
