@@ -134,19 +134,24 @@ class Index:
 
 
 class Verifier:
-    """Exact comparison of a passage with an item; run sets are made for items that come up."""
+    """Exact comparison of passages with items; runs are laid out for items that come up."""
 
     def __init__(self, index: Index) -> None:
-        self.index, self.sets = index, {}
+        self.index, self.places = index, {}
 
-    def shared(self, passage: list[str], item: int) -> bool:
+    def shared(self, passage: list[str], item: int) -> set[int]:
+        """Places in the item of the runs that the passage holds as well."""
         n, t = self.index.n, self.index.items[item][1]
-        if item not in self.sets:
-            self.sets[item] = {tuple(t[k : k + n]) for k in range(len(t) - n + 1)}
-        return any(tuple(passage[k : k + n]) in self.sets[item] for k in range(len(passage) - n + 1))
+        if item not in self.places:
+            at: dict[tuple, list[int]] = {}
+            for k in range(len(t) - n + 1):
+                at.setdefault(tuple(t[k : k + n]), []).append(k)
+            self.places[item] = at
+        at = self.places[item]
+        return {p for k in range(len(passage) - n + 1) for p in at.get(tuple(passage[k : k + n]), ())}
 
 
-def _search(index: Index, batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _search(index: Index, batches: Iterator[pa.RecordBatch], names: list[str], detail: bool) -> Iterator[pa.RecordBatch]:
     verifier, unknown = Verifier(index), len(index.vocabulary)
 
     def flush(held: list[tuple[object, list[str]]]) -> Iterator[pa.RecordBatch]:
@@ -154,12 +159,20 @@ def _search(index: Index, batches: Iterator[pa.RecordBatch], names: list[str]) -
         starts = np.cumsum(lengths) - lengths
         get = index.vocabulary.get
         ids = np.array([get(w, unknown) for _, t in held for w in t], np.int64)
-        seen: set[tuple[int, int]] = set()
+        seen: dict[tuple[int, int], set[int]] = {}
         for d, s, e, i in index.retrieve(ids, lengths):
-            if (d, i) not in seen and verifier.shared(held[d][1][s - starts[d] : e - starts[d]], i):
-                seen.add((d, i))
+            if detail or (d, i) not in seen:
+                runs = verifier.shared(held[d][1][s - starts[d] : e - starts[d]], i)
+                if runs:
+                    seen.setdefault((d, i), set()).update(runs)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([held[d][0] for d, _ in seen], pa.int64()), pa.array([index.items[i][0] for _, i in seen], pa.int64())], names)
+            columns = [pa.array([held[d][0] for d, _ in seen], pa.int64()), pa.array([index.items[i][0] for _, i in seen], pa.int64())]
+            if detail:
+                total = [len(index.items[i][1]) - index.n + 1 for _, i in seen]
+                covered = [len({p + j for p in runs for j in range(index.n)}) for runs in seen.values()]
+                size = [len(index.items[i][1]) for _, i in seen]
+                columns += [pa.array(covered, pa.int32()), pa.array(size, pa.int32()), pa.array([0 in runs for runs in seen.values()]), pa.array([t - 1 in runs for t, runs in zip(total, seen.values())])]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     held, size = [], 0
     for b in batches:
@@ -173,22 +186,27 @@ def _search(index: Index, batches: Iterator[pa.RecordBatch], names: list[str]) -
         yield from flush(held)
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", item_key: str = "item_id", doc_text: str = "text", item_text: str = "text", n: int = RUN_WORDS, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", item_key: str = "item_id", doc_text: str = "text", item_text: str = "text", n: int = RUN_WORDS, shard_items: int = SHARD_ITEMS, detail: bool = False) -> DataFrame:
     """(doc key, item key) of every document and item whose texts share at least ``n`` consecutive words. Keys are integers.
 
     Defined cases: null and empty texts share nothing; an item or text of fewer than ``n``
     words matches nothing; rows repeated under one key give one row; a null document key
     is kept; no items or no documents give an empty result. Whole texts are read.
+
+    ``detail`` adds how far the leak goes: words_shared (words of the item that lie in
+    shared runs), item_words, and whether the item's beginning and its end, where an answer
+    stands, are among them.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_key).cast("bigint"), F.col(doc_text))
-    schema = f"`{doc_key}` bigint, `{item_key}` bigint"
+    schema = f"`{doc_key}` bigint, `{item_key}` bigint" + ", words_shared int, item_words int, from_start boolean, to_end boolean" * detail
+    names = [c.split()[0].strip("`") for c in schema.split(", ")]
     held_out = items.select(F.col(item_key).cast("bigint"), F.col(item_text)).filter(F.col(item_text).isNotNull())
     shards = max(1, -(-held_out.count() // shard_items))
     found = None
     for s in range(shards):
         mine = held_out.filter(F.pmod(F.xxhash64(F.col(item_key), F.col(item_text)), F.lit(shards)) == s) if shards > 1 else held_out
         index = spark.sparkContext.broadcast(Index([(k, words(t)) for k, t in mine.collect()], n))  # at most about shard_items items
-        part = docs.mapInArrow(lambda it, index=index: _search(index.value, it, [doc_key, item_key]), schema)
+        part = docs.mapInArrow(lambda it, index=index: _search(index.value, it, names, detail), schema)
         found = part if found is None else found.unionAll(part)
     return found.distinct()

@@ -47,6 +47,12 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.leaked_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@R.add("p6_overlap")
+def p6_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of each leaked item a document holds, and whether its beginning and its end are in it."""
+    return contamination.leaked_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"), detail=True)
+
+
 @R.add("p6_items")
 def p6_items(spark: SparkSession, sf: str) -> DataFrame:
     """Per leaked benchmark item, in how many documents it turned up."""

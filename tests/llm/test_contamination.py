@@ -58,3 +58,12 @@ def test_retrieval_misses_no_shared_run(seed, n):
 def test_empty_tables(spark):
     assert found(spark, [], [(1, "a b c")]) == set() == found(spark, [(1, "a " * 50)], [])
     assert found(spark, [(1, "a " * 50)], [(1, None), (2, "")]) == set()
+
+
+def test_how_far_a_leak_goes(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    w = item.split()
+    docs = [(1, "x " + item + " y"), (2, " ".join(w[:14])), (3, " ".join(w[16:])), (4, " ".join(w[5:18] + ["x"] + w[9:23]))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r[0]: tuple(r)[2:] for r in C.leaked_items(df, spark.createDataFrame([(7, item)], "item_id bigint, text string"), detail=True).collect()}
+    assert got == {1: (30, 30, True, True), 2: (14, 30, True, False), 3: (14, 30, False, True), 4: (18, 30, False, False)}
