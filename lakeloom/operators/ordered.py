@@ -1,4 +1,4 @@
-"""Order-dependent results over groups of any size: prefix sums, ranks and predecessors.
+"""Results over groups of any size: prefix sums, predecessors, and joins of rows with their groups.
 
 A window over a hot group would put all its rows into one task. Here each group is cut
 into pieces first; windows run inside the pieces, and over one summary row per piece.
@@ -55,3 +55,36 @@ def predecessor(df: DataFrame, group: str, order: str, value: str, block: int =
     j = inside.join(firsts, F.col(group).eqNullSafe(F.col("_lg")) & (F.col("_block") == F.col("_lb")) & F.col("_in_order").isNull(), "left")
     j = j.withColumns({"_prev_order": F.coalesce("_in_order", "_before"), "_prev": F.coalesce("_in", "_vv")})
     return j.drop("_block", "_in_order", "_in", "_lg", "_lb", "_before", "_vg", "_vo", "_vv")
+
+
+#: A group with more rows than this is hot: it is spread over several tasks when rows meet their group.
+HOT_ROWS = 1_000_000
+#: Hot groups up to this many are sent to all executors; there are at most (rows / HOT_ROWS) of them.
+HOT_GROUPS = 100_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread_by: str, *, hot_rows: int = HOT_ROWS, salts: int | None = None) -> DataFrame:
+    """Rows with the columns of their group (inner join on ``keys``, nulls equal), however many rows one group has.
+
+    ``groups`` has one row per group with its number of rows in ``size``; it is read
+    several times, so give a written table. Hot groups are repeated once per salt and their
+    rows are dealt out by a hash of ``spread_by``; all others meet in a plain join. With
+    more hot groups than may be broadcast, the join relies on AQE's splitting alone.
+    """
+    salts = salts or pieces(rows)
+    other = [c for c in groups.columns if c not in (*keys, size)]
+    g = groups.select(*[F.col(k).alias(f"_g_{k}") for k in keys], F.col(size).alias("_g_size"), *other)
+    same: Column = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    hot = g.filter(F.col("_g_size") > hot_rows)
+    many = hot.limit(HOT_GROUPS + 1).count()
+    if 0 < many <= HOT_GROUPS:
+        flags = F.broadcast(hot.select(*[F.col(f"_g_{k}").alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot")))
+        among: Column = F.lit(True)
+        for k in keys:
+            among = among & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
+        rows = rows.join(flags, among, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(0)).drop("_hot", *[f"_h_{k}" for k in keys])
+        g = g.withColumn("_g_salt", F.explode(F.when(F.col("_g_size") > hot_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+        same = same & (F.col("_salt") == F.col("_g_salt"))
+    return rows.join(g, same).drop("_salt", "_g_salt", "_g_size", *[f"_g_{k}" for k in keys])

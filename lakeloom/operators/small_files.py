@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.operators.lakefiles import newest_files
-from lakeloom.operators.ordered import running_total
+from lakeloom.operators.ordered import join_groups, running_total
 from lakeloom.shared import materialize
 from lakeloom.sources import parquet_blocks
 
@@ -31,8 +31,8 @@ def small_files(files: DataFrame, partition_values: DataFrame, *, small_below: i
     """The files worth consolidating: small newest data files whose (table, partition) has at least ``min_group`` of them.
 
     Columns: table_name, partition (text form of the set of (field, value)), id, path,
-    file_size, row_count. Counting is combined before the shuffle; the counts, one row
-    per group, meet the files in a join that AQE splits where a group is hot.
+    file_size, row_count. Counting is combined before the shuffle; the files of a hot
+    group are dealt out over salts when they meet their group.
     Defined cases: null sizes are unknown and not small; a file without partition values
     lies in the empty partition; a null value is a value of its own, apart from any text;
     unknown row counts (negative or null) come out as null.
@@ -43,8 +43,7 @@ def small_files(files: DataFrame, partition_values: DataFrame, *, small_below: i
     placed = small.join(parts, F.col("id") == F.col("_id"), "left").withColumn("partition", F.coalesce("_partition", F.lit("[]")))
     placed = materialize(placed.select("table_name", "partition", "id", "path", "file_size", F.when(F.col("row_count") >= 0, F.col("row_count")).alias("row_count")), "small-files")
     many = placed.groupBy("table_name", "partition").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_group)
-    many = many.select(F.col("table_name").alias("_t"), F.col("partition").alias("_p"))
-    return placed.join(many, placed["table_name"].eqNullSafe(F.col("_t")) & (placed["partition"] == F.col("_p"))).drop("_t", "_p")
+    return join_groups(placed, materialize(many, "groups"), ["table_name", "partition"], "_n", "id")
 
 
 def consolidation_plan(candidates: DataFrame, *, target: int = TARGET_BYTES) -> DataFrame:

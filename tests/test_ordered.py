@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from lakeloom.operators.ordered import predecessor, running_total
 
 
@@ -28,3 +30,15 @@ def test_predecessor_over_blocks(spark):
 def test_empty(spark):
     assert running_total(spark.createDataFrame([], "g string, h bigint, w int"), ["g"], "h", "w").count() == 0
     assert predecessor(spark.createDataFrame([], "g string, o int, v string"), "g", "o", "v").count() == 0
+
+
+def test_join_of_rows_with_hot_groups(spark):
+    from lakeloom.operators.ordered import join_groups
+
+    rows = [("hot" if i % 2 else None if i % 3 else f"g{i}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, id int")
+    groups = df.groupBy("g").count().withColumnRenamed("count", "n").withColumn("tag", F.concat(F.lit("t"), F.coalesce("g", F.lit("-"))))
+    want = sorted((g or "", i, f"t{g or '-'}") for g, i in rows if g != "g0")
+    for hot in (10, 1_000):
+        got = join_groups(df, groups.filter("g is null or g <> 'g0'"), ["g"], "n", "id", hot_rows=hot, salts=5)
+        assert got.columns == ["g", "id", "tag"] and sorted((r["g"] or "", r["id"], r["tag"]) for r in got.collect()) == want
