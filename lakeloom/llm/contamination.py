@@ -99,31 +99,33 @@ class Index:
     def retrieve(self, ids: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, start, end, item) of all passages whose score reaches an item's threshold."""
         text, start, end = self.passages(ids, lengths)
-        if not len(text) or not self.blocks:
+        if not self.blocks:
             return
-        sums = np.append(0.0, np.cumsum(self.most[ids]))
-        alive = sums[end] - sums[start] >= 1 - EPS
-        text, start, end = text[alive], start[alive], end[alive]
+        padded = np.append(ids, np.full(2 * self.n, len(self.most) - 1))
         for at in range(0, len(text), CHUNK_PASSAGES):
-            yield from self._score(ids, text[at : at + CHUNK_PASSAGES], start[at : at + CHUNK_PASSAGES], end[at : at + CHUNK_PASSAGES])
-
-    def _score(self, ids: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        which, terms = self._expand(np.arange(len(text)), start, end, ids)
-        pairs = np.unique(which * np.int64(len(self.most)) + terms)  # a term counts once in a passage
-        which, terms = pairs // len(self.most), pairs % len(self.most)
-        known = terms < len(self.most) - 1
-        which, terms = which[known], terms[known]
+            t, s, e = (x[at : at + CHUNK_PASSAGES] for x in (text, start, end))
+            place = s[:, None] + np.arange(2 * self.n)[None, :]
+            terms = np.where(place < e[:, None], padded[place], len(self.most) - 1)
+            terms.sort(axis=1)
+            fresh = terms < len(self.most) - 1
+            fresh[:, 1:] &= terms[:, 1:] != terms[:, :-1]  # a term counts once in a passage
+            alive = (self.most[terms] * fresh).sum(axis=1) >= 1 - EPS
+            which, column = np.nonzero(fresh[alive])
+            yield from self._score(which, terms[alive][which, column], t[alive], s[alive], e[alive])
+
+    def _score(self, which: np.ndarray, terms: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         p, k = self._expand(which, self.term_from[terms], self.term_to[terms])
         cell = p * self.blocks + self.key[k] % self.blocks
         bound = np.bincount(cell, weights=self.key_most[k], minlength=len(text) * self.blocks)
-        left = bound[cell] >= 1 - EPS
-        p, k = p[left], k[left]
-        p, j = self._expand(p, self.key_from[k], self.key_to[k])
-        found, inverse = np.unique(p * np.int64(len(self.items)) + self.item[j], return_inverse=True)
-        score = np.bincount(inverse, weights=self.weight[j], minlength=len(found))
-        for f in found[score >= 1 - EPS].tolist():
-            q, i = divmod(f, len(self.items))
-            yield int(text[q]), int(start[q]), int(end[q]), i
+        alive = np.flatnonzero(bound >= 1 - EPS)  # passages with blocks of items that may reach the threshold
+        slot = np.full(len(bound), -1)
+        slot[alive] = np.arange(len(alive))
+        left = slot[cell] >= 0
+        at, j = self._expand(slot[cell[left]], self.key_from[k[left]], self.key_to[k[left]])
+        score = np.bincount(at * self.block + self.item[j] % self.block, weights=self.weight[j], minlength=len(alive) * self.block)
+        for h in np.flatnonzero(score >= 1 - EPS).tolist():
+            q, b = divmod(int(alive[h // self.block]), self.blocks)
+            yield int(text[q]), int(start[q]), int(end[q]), b * self.block + h % self.block
 
     @staticmethod
     def _expand(owner: np.ndarray, first: np.ndarray, last: np.ndarray, values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
