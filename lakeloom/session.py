@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -25,4 +27,21 @@ def get_session(app: str = "lakeloom", cores: str | int = "*", shuffle_partition
     b = b.config(map=SETTINGS | {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"} | extra)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", shuffle_partitions)
-    return b.getOrCreate()
+    return ship(b.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package, whatever folder they start in; returns the session.
+
+    Workers of the same machine get the package's folder on their path. Those of a cluster
+    get the package as a zip, which Spark serves to executors, also to ones that join later.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    path = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in path:
+        return spark
+    if not sc.master.startswith("local"):
+        sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "lakeloom"), "zip", root, "lakeloom"))
+    sc.environment["PYTHONPATH"] = os.pathsep.join([root, *path])
+    return spark

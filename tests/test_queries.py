@@ -32,3 +32,12 @@ def test_core_imports_without_the_optional_package(monkeypatch):
         entry.queries()
     monkeypatch.setattr(entry, "OPTIONAL", ("lakeloom.llm.absent",))
     assert set(entry.queries()) == set(CORE)
+
+
+def test_workers_can_import_the_package_from_anywhere(spark):
+    import os
+
+    from lakeloom.session import ship
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    assert root in ship(spark).sparkContext.environment["PYTHONPATH"].split(os.pathsep)
