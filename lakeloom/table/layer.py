@@ -249,7 +249,7 @@ class Table:
         for missing, paths in groups.items():
             df = self.spark.read.schema(self._physical(state)).parquet(*[f"{self.location}/{p}" for p in paths])
             keep = [F.lit(c["default"]).cast(c["type"]).alias(c["name"]) if c["id"] in missing else F.col(f"c{c['id']}").alias(c["name"]) for c in state["columns"]]
-            place = [F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1).alias("_file"), F.col("_metadata.row_index").alias("_pos")] if positions else []
+            place = [F.substring_index("_metadata.file_path", "/", -2).alias("_file"), F.col("_metadata.row_index").alias("_pos")] if positions else []
             parts.append(df.select(*keep, *place))
         return reduce(DataFrame.unionAll, parts)
 
@@ -298,7 +298,7 @@ class Table:
     def row_ids(self) -> DataFrame:
         """The rows with a stable ``_row_id``: the file's first id plus the row's place in it."""
         state = self.state()
-        first = self.manifest(state).filter("content = 0").select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("_file"), "first_row_id")
+        first = self.manifest(state).filter("content = 0").select(F.substring_index("path", "/", -2).alias("_file"), "first_row_id")
         df = self._rows(state, self.manifest(state), positions=True)
         return df.join(first, "_file").withColumn("_row_id", F.col("first_row_id") + F.col("_pos")).drop("_file", "_pos", "first_row_id")
 
@@ -426,7 +426,7 @@ class Table:
         hit = materialize(rows.filter(condition) if join_on is None else rows.join(condition, F.col(join_on) == F.col("_key"), "left_semi"), "hit")
         names = [c["name"] for c in state["columns"]]
         counts = hit.groupBy("_file").agg(F.count("*").alias("_n"))
-        m = self.manifest(state).withColumn("_file", F.regexp_extract("path", "([^/]+/[^/]+)$", 1))
+        m = self.manifest(state).withColumn("_file", F.substring_index("path", "/", -2))
         touched = self._live_counts(state, m.filter("content = 0").join(counts, "_file")).select("path", "_file", "row_count", "_n", "_live").collect()  # one row per file that is hit
         whole, partial = [f for f in touched if f["_n"] >= f["_live"]], [f for f in touched if f["_n"] < f["_live"]]
         some = self.spark.createDataFrame([(f["path"], f["_file"]) for f in partial], "path string, _file string")
