@@ -225,10 +225,14 @@ def compile_projection(source: list[Node] | None, target: list[Node]):
 
     Without a known source schema, fields are matched by name. A field that the source
     lacks takes its initial default, else null. A field that was moved to another struct
-    is fetched from where it was, unless a list or map lies between. A scalar that became
-    nested, or the other way round, has no value that fits and gives null.
+    is fetched from where it was, unless a list or map lies between. A struct, list or map
+    that became text is written as JSON, a scalar that became a list is its one element.
+    Any other value that does not fit is null in the row and goes into ``rest`` as it was,
+    under the ids on the way to it (with places in lists and keys of maps between them);
+    ``misfits`` takes the names of such fields.
     """
     places: dict[int, tuple[str, ...]] = {}
+    names = {i: n[0] for i, n in _index(target).items()}
 
     def place(nodes: list[Node], at: tuple[str, ...]) -> None:
         for i, name, kind, _, kids in nodes:
@@ -244,38 +248,65 @@ def compile_projection(source: list[Node] | None, target: list[Node]):
             x = x.get(name) if isinstance(x, dict) else None
         return x
 
-    def value(x: object, t: Node, s: Node | None, row: dict) -> object:
-        kind, kids = t[2], t[4]
-        if s is not None and (s[2] in NESTED_KINDS or kind in NESTED_KINDS) and s[2] != kind:
+    def project(row: dict, rest: dict | None = None, misfits: list | None = None) -> dict:
+        def misfit(x: object, ids: tuple) -> None:
+            if rest is not None:
+                rest[_pointer(ids)] = x
+            if misfits is not None:
+                name = ".".join(str(names.get(i, i)) for i in ids if isinstance(i, int))
+                if name not in misfits:
+                    misfits.append(name)
+
+        def value(x: object, t: Node, s: Node | None, ids: tuple) -> object:
+            kind, kids = t[2], t[4]
+            if x is None:
+                return None
+            same = s is None or s[2] == kind or (s[2] not in NESTED_KINDS and kind not in NESTED_KINDS)
+            below = s[4] if s is not None and same else None
+            if kind == "struct" and same and isinstance(x, dict):
+                return struct(x, kids, below, ids)
+            if kind == "map" and same and isinstance(x, dict):
+                e, f = _named(kids, "value"), _named(below, "value")
+                return {k: value(y, e, f, (*ids, k, e[0])) if e else y for k, y in x.items()}
+            if kind == "list" and isinstance(x, list):
+                e, f = _named(kids, "element"), _named(below, "element")
+                return [value(y, e, f, (*ids, str(n), e[0])) if e else y for n, y in enumerate(x)]
+            if kind == "list" and not isinstance(x, dict):
+                e = _named(kids, "element")
+                if e is None or e[2] not in ("struct", "map"):
+                    return [value(x, e, None, ids) if e else x]
+            elif kind not in NESTED_KINDS and (same or _is_text(kind) or not isinstance(x, (dict, list))):
+                return cast_value(x, kind)
+            misfit(x, ids)
             return None
-        below = s[4] if s is not None else None
-        if x is None:
-            return None
-        if kind == "struct":
-            return struct(x, kids, below, row) if isinstance(x, dict) else None
-        if kind == "list":
-            e, f = _named(kids, "element"), _named(below, "element")
-            return None if not isinstance(x, list) else [value(y, e, f, row) if e else y for y in x]
-        if kind == "map":
-            e, f = _named(kids, "value"), _named(below, "value")
-            return {k: value(y, e, f, row) if e else y for k, y in x.items()} if isinstance(x, dict) else None
-        return cast_value(x, kind)
-
-    def struct(x: dict, kids: list[Node], below: list[Node] | None, row: dict) -> dict:
-        by = {n[0]: n for n in below} if below is not None else None
-        out = {}
-        for t in kids:
-            if by is None:
-                out[t[1]] = value(x.get(t[1]), t, None, row)
-            elif t[0] in by:
-                out[t[1]] = value(x.get(by[t[0]][1]), t, by[t[0]], row)
-            elif t[0] in places:
-                out[t[1]] = value(fetch(row, t[0]), t, None, row)
-            else:
-                out[t[1]] = cast_value(t[3], t[2])
-        return out
-
-    return lambda row: struct(row, target, source, row)
+
+        def struct(x: dict, kids: list[Node], below: list[Node] | None, ids: tuple) -> dict:
+            by = {n[0]: n for n in below} if below is not None else None
+            out = {}
+            for t in kids:
+                at = (*ids, t[0])
+                if by is None:
+                    out[t[1]] = value(x.get(t[1]), t, None, at)
+                elif t[0] in by:
+                    out[t[1]] = value(x.get(by[t[0]][1]), t, by[t[0]], at)
+                elif t[0] in places:
+                    out[t[1]] = value(fetch(row, t[0]), t, None, at)
+                else:
+                    out[t[1]] = cast_value(t[3], t[2])
+            return out
+
+        return struct(row, target, source, ())
+
+    return project
+
+
+def _pointer(ids: tuple) -> str:
+    """A path as one text, with / and ~ in keys of maps written as in JSON pointers."""
+    return "/".join(str(i).replace("~", "~0").replace("/", "~1") for i in ids)
+
+
+def _is_text(kind: str) -> bool:
+    return kind.startswith(("string", "text", "varchar", "char", "bpchar"))
 
 
 def _named(kids: list[Node] | None, name: str) -> Node | None:
@@ -283,7 +314,7 @@ def _named(kids: list[Node] | None, name: str) -> Node | None:
 
 
 def unify_rows(rows: DataFrame, metadata: DataFrame, *, table_col: str = "table_name", schema_col: str = "schema_id", body_col: str = "body", keys: list[str], json_col: str = "metadata") -> DataFrame:
-    """All rows of each table under its latest schema: table_name, ``keys``, schema_id, latest_schema_id, row, problem.
+    """All rows of each table under its latest schema: table_name, ``keys``, schema_id, latest_schema_id, row, rest, problem.
 
     ``row`` is a JSON object with all fields of the table's highest schema id, in the
     order of their ids. Each row's own schema and its table's latest one reach it by a
@@ -292,7 +323,9 @@ def unify_rows(rows: DataFrame, metadata: DataFrame, *, table_col: str = "table_
     Defined cases: a body that is null or no JSON object gives a null row with the
     problem ``unreadable body``; a schema id that no record of the table states gives the
     problem ``unknown schema`` and fields are matched by name; a table without any schema
-    keeps its body as it is with ``unknown table``. Nothing is dropped.
+    keeps its body as it is with ``unknown table``. A value that fits its field's latest
+    type in no way is null in ``row``, stands in ``rest`` (a JSON object by paths of ids)
+    and its field is named in ``problem`` after ``no fit:``.
     """
     trees = schema_trees(metadata, table_col, json_col)
     trees = trees.select(F.col("table_name").alias("_t"), F.col("schema_id").alias("_s"), F.col("tree").alias("_tree"))
@@ -302,27 +335,29 @@ def unify_rows(rows: DataFrame, metadata: DataFrame, *, table_col: str = "table_
     j = base.join(trees, base["table_name"].eqNullSafe(F.col("_t")) & (base["schema_id"] == F.col("_s")), "left").join(latest, base["table_name"].eqNullSafe(F.col("_lt")), "left")
     names = [c for c in base.columns if c != "_body"]
     wide = j.select(*names, "latest_schema_id", "_body", "_tree", "_latest")
-    out = wide.select(*names, "latest_schema_id", F.col("_body").alias("row"), F.col("_tree").alias("problem")).schema
+    out = wide.select(*names, "latest_schema_id", F.col("_body").alias("row"), F.col("_body").alias("rest"), F.col("_tree").alias("problem")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         @lru_cache(4096)
         def projection(source: str | None, target: str):
             return compile_projection(None if source is None else json.loads(source), json.loads(target))
 
-        def one(body: str | None, source: str | None, target: str | None) -> tuple[str | None, str | None]:
+        def one(body: str | None, source: str | None, target: str | None) -> tuple[str | None, str | None, str | None]:
             try:
                 x = plain(json.loads(body)) if body else None
             except ValueError:
                 x = None
             if not isinstance(x, dict):
-                return None, "unreadable body"
+                return None, None, "unreadable body"
             if target is None:
-                return body, "unknown table"
-            said = projection(source, target)(x)
-            return json.dumps(said, ensure_ascii=False), None if source is not None else "unknown schema"
+                return body, None, "unknown table"
+            rest, misfits = {}, []
+            said = projection(source, target)(x, rest, misfits)
+            problems = ["unknown schema"] * (source is None) + ["no fit: " + ", ".join(misfits)] * bool(misfits)
+            return json.dumps(said, ensure_ascii=False), json.dumps(rest, ensure_ascii=False) if rest else None, "; ".join(problems) or None
 
         for b in batches:
             done = [one(*[None if x is None or x != x else x for x in r]) for r in zip(b["_body"], b["_tree"], b["_latest"])]
-            yield b[[*names, "latest_schema_id"]].assign(row=pd.Series([d[0] for d in done], dtype=object, index=b.index), problem=pd.Series([d[1] for d in done], dtype=object, index=b.index))
+            yield b[[*names, "latest_schema_id"]].assign(**{c: pd.Series([d[k] for d in done], dtype=object, index=b.index) for k, c in enumerate(("row", "rest", "problem"))})
 
     return wide.mapInPandas(run, out)

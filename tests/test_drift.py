@@ -72,3 +72,22 @@ def test_changes_and_rows_end_to_end(spark):
     out = {r["raw_id"]: (r["row"] and json.loads(r["row"]), r["problem"]) for r in unify_rows(rows, meta, keys=["raw_id"]).collect()}
     assert out == {1: ({"b": 1, "c": None}, None), 2: ({"b": 2, "c": "x"}, None), 3: ({"b": 3, "c": None}, "unknown schema"), 4: (None, "unreadable body"), 5: ({"a": 9}, "unknown table"), 6: ({"a": 8}, None), 7: (None, "unreadable body")}
     assert schema_changes(meta.limit(0)).count() == 0
+
+
+def test_values_of_fields_between_scalar_and_nested_are_kept():
+    m = {"type": "map", "key-id": 20, "key": "string", "value-id": 21, "value": "int"}
+    ints = lambda i: {"type": "list", "element-id": i, "element": "int"}
+    old = tree_of(struct((1, "a", struct((10, "x", "int"))), (2, "b", m), (3, "c", ints(30)), (4, "d", "int"), (5, "e", struct((50, "x", "int"))), (6, "f", "int"), (7, "g", ints(70))))
+    new = tree_of(struct((1, "a", "string"), (2, "b", "string"), (3, "c", "string"), (4, "d2", {"type": "list", "element-id": 40, "element": "string"}), (5, "e", "uuid"), (6, "f", struct((60, "x", "int"))), (7, "g", {"type": "list", "element-id": 70, "element": struct((71, "p", "int"))})))
+    rest, misfits = {}, []
+    row = compile_projection(old, new)({"a": {"x": 1}, "b": {"k": 2}, "c": [3], "d": 4, "e": {"x": 5}, "f": 6, "g": [7, None]}, rest, misfits)
+    assert row == {"a": '{"x": 1}', "b": '{"k": 2}', "c": "[3]", "d2": ["4"], "e": None, "f": None, "g": [None, None]}
+    assert rest == {"5": {"x": 5}, "6": 6, "7/0/70": 7} and misfits == ["e", "f", "g.element"]
+
+
+def test_values_that_fit_nowhere_come_out_beside_the_row(spark):
+    docs = [{"schemas": [{"schema-id": i, **struct((1, "a", t))} for i, t in enumerate([struct((2, "x", "int")), "uuid"])]}]
+    meta = spark.createDataFrame([("t", json.dumps(d)) for d in docs], "table_name string, metadata string")
+    rows = spark.createDataFrame([(1, "t", 0, '{"a": {"x": 1}}'), (2, "t", 1, '{"a": "u"}')], "raw_id int, table_name string, schema_id int, body string")
+    out = {r["raw_id"]: (json.loads(r["row"]), r["rest"] and json.loads(r["rest"])["1"], r["problem"]) for r in unify_rows(rows, meta, keys=["raw_id"]).collect()}
+    assert out == {1: ({"a": None}, {"x": 1}, "no fit: a"), 2: ({"a": "u"}, None, None)}
