@@ -141,7 +141,83 @@ def resolve_hierarchy(df: DataFrame, node: str, parent: str, group: str, *, path
 def descendants(resolved: DataFrame, node: str, group: str) -> DataFrame:
     """(group, ancestor, descendant, steps) for every node under every node, from the paths of :func:`resolve_hierarchy`.
 
-    As many rows as the sum of the depths. Nodes whose links never end have no path and give none.
+    As many rows as the sum of the depths. Nodes whose links never end have no path and give none;
+    :func:`all_descendants` has them.
     """
     at = resolved.filter(F.col("path").isNotNull()).select(group, F.col(node).alias("descendant"), "depth", F.posexplode(F.slice("path", 1, F.col("depth"))).alias("pos", "ancestor"))
     return at.select(group, "ancestor", "descendant", (F.col("depth") - F.col("pos")).cast("int").alias("steps"))
+
+
+def _cycles(links: DataFrame) -> DataFrame:
+    """(g, n, p) of the nodes on cycles, of links (g, n, p) that never end.
+
+    The image of the parent function taken 2^k times shrinks until only the cycles are
+    left; it is followed by doubling, so there are as many rounds as the logarithm of the
+    longest tail.
+    """
+    at, left, level = links.select("g", "n", F.col("p").alias("to")), links.count(), 0
+    while left:
+        image = at.select(F.col("g").alias("ig"), F.col("to").alias("im")).distinct()
+        there = at.select(F.col("g").alias("tg"), F.col("n").alias("tn"), F.col("to").alias("far"))
+        kept = at.join(image, at["g"].eqNullSafe(F.col("ig")) & (at["n"] == F.col("im")), "left_semi")
+        at = materialize(kept.join(there, kept["g"].eqNullSafe(F.col("tg")) & (F.col("to") == F.col("tn"))).select("g", "n", F.col("far").alias("to")), f"image-{level}")
+        before, left, level = left, at.count(), level + 1
+        if left == before:
+            break
+    on = at.select(F.col("g").alias("ig"), F.col("n").alias("im"))
+    return links.join(on, links["g"].eqNullSafe(F.col("ig")) & (links["n"] == F.col("im")), "left_semi")
+
+
+def _least_members(cycles: DataFrame) -> DataFrame:
+    """(g, n) of the node with the smallest id on each cycle of links (g, n, p)."""
+    at, level, changed = cycles.select("g", "n", F.col("p").alias("to"), F.least("n", "p").alias("low")), 0, 1
+    while changed:
+        there = at.select(F.col("g").alias("tg"), F.col("n").alias("tn"), F.col("to").alias("far"), F.col("low").alias("flow"))
+        j = at.join(there, at["g"].eqNullSafe(F.col("tg")) & (F.col("to") == F.col("tn")))
+        at = materialize(j.select("g", "n", F.col("far").alias("to"), F.least("low", "flow").alias("low"), (F.col("flow") < F.col("low")).alias("changed")), f"least-{level}")
+        changed, level, at = at.filter("changed").count(), level + 1, at.drop("changed")
+    return at.filter(F.col("low") == F.col("n")).select("g", "n")
+
+
+def _cut_links(links: DataFrame, tops: DataFrame, fragment_rows: int) -> DataFrame:
+    """The hierarchy of links (g, n, p) with the nodes of ``tops`` (g, n) as roots."""
+    t = tops.select(F.col("g").alias("ig"), F.col("n").alias("im"))
+    cut = links.join(t, links["g"].eqNullSafe(F.col("ig")) & (links["n"] == F.col("im")), "left").select("g", "n", F.expr("if(im is null, p, null)").alias("p"))
+    return materialize(resolve_hierarchy(cut, "n", "p", "g", paths=True, fragment_rows=fragment_rows), "cut")
+
+
+def all_descendants(df: DataFrame, node: str, parent: str, group: str, *, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
+    """(group, ancestor, descendant, steps, in_cycle) for every node under every node, on and below cycles too.
+
+    Of a node whose links never end, the ancestors are the nodes on its chain up to the
+    cycle and all others on the cycle; no node counts as its own descendant. Steps are
+    the fewest. ``in_cycle`` says that the ancestor lies on a cycle. Rows are read as by
+    :func:`resolve_hierarchy`. As many rows as all chains have steps, up to their first
+    repeated node.
+    """
+    kind = df.schema[node].dataType
+    resolved = materialize(resolve_hierarchy(df, node, parent, group, paths=True, fragment_rows=fragment_rows), "resolved")
+    ended = descendants(resolved, node, group).withColumn("in_cycle", F.lit(False))
+
+    base = df.select(F.col(group).alias("g"), F.col(node).cast("bigint").alias("n"), F.col(parent).cast("bigint").alias("p"))
+    base = base.filter(F.col("n").isNotNull()).groupBy("g", "n").agg(F.min("p").alias("p"))
+    endless = resolved.filter(F.col("root").isNull()).select(F.col(group).alias("ig"), F.col(node).cast("bigint").alias("im"))
+    links = materialize(base.join(endless, base["g"].eqNullSafe(F.col("ig")) & (base["n"] == F.col("im")), "left_semi"), "endless")
+    cycles = materialize(_cycles(links), "cycles")
+
+    hung = _cut_links(links, cycles, fragment_rows)  # the root of each node is where its chain meets the cycle
+    chains = descendants(hung, "n", "g").join(cycles.select(F.col("g").alias("cg"), F.col("n").alias("cn")), F.col("g").eqNullSafe(F.col("cg")) & (F.col("ancestor") == F.col("cn")), "left")
+    chains = chains.select("g", "ancestor", "descendant", "steps", F.col("cn").isNotNull().alias("in_cycle"))
+
+    ring = _cut_links(cycles, _least_members(cycles), fragment_rows).select("g", "n", F.col("root").alias("ring"), F.col("depth").alias("place"))
+    size = ring.groupBy("g", "ring").agg((F.max("place") + 1).alias("size"))
+    size = size.select(F.col("g").alias("sg"), F.col("ring").alias("sr"), "size")
+    ring = ring.join(size, ring["g"].eqNullSafe(F.col("sg")) & (F.col("ring") == F.col("sr"))).select("g", "n", "ring", "place", "size")
+    other = ring.select(F.col("g").alias("og"), F.col("ring").alias("or"), F.col("n").alias("ancestor"), F.col("place").alias("oplace"))
+    around = ring.join(other, ring["g"].eqNullSafe(F.col("og")) & (F.col("ring") == F.col("or")) & (F.col("n") != F.col("ancestor")))
+    around = around.select(F.col("g").alias("ag"), F.col("n").alias("entry"), "ancestor", F.pmod(F.col("place") - F.col("oplace"), F.col("size")).alias("away"))
+    beyond = hung.join(around, hung["g"].eqNullSafe(F.col("ag")) & (F.col("root") == F.col("entry")))
+    beyond = beyond.select("g", "ancestor", F.col("n").alias("descendant"), (F.col("depth") + F.col("away")).cast("int").alias("steps"), F.lit(True).alias("in_cycle"))
+
+    below = chains.unionAll(beyond).select(F.col("g").alias(group), F.col("ancestor").cast(kind).alias("ancestor"), F.col("descendant").cast(kind).alias("descendant"), "steps", "in_cycle")
+    return ended.unionAll(below)

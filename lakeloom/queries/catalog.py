@@ -43,11 +43,21 @@ def p3_paths(spark: SparkSession, sf: str) -> DataFrame:
     _CLIMB + "SELECT * FROM (SELECT table_name, unnest(path)::INT AS ancestor, field_id AS descendant, unnest(range(d, -1, -1))::INT AS steps FROM done) WHERE steps > 0",
 )
 def p3_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    """Every field below every field, with the number of steps between them."""
+    """Every field below every field whose links end at a root, with the number of steps between them."""
     r = hierarchy.resolve_hierarchy(table(spark, sf, "field_id_mappings"), "field_id", "parent_field_id", "table_name", paths=True)
     return hierarchy.descendants(r, "field_id", "table_name")
 
 
+@R.add(
+    "p3_all_descendants",
+    _CLIMB + ", ring AS (SELECT DISTINCT up.table_name, up.field_id FROM up JOIN l ON l.table_name = up.table_name AND l.field_id = up.cur WHERE l.p = up.field_id) "
+    "SELECT up.table_name, cur::INT AS ancestor, up.field_id AS descendant, d::INT AS steps, ring.field_id IS NOT NULL AS in_cycle FROM up LEFT JOIN ring ON ring.table_name = up.table_name AND ring.field_id = cur WHERE d > 0",
+)
+def p3_all_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every field below every field, on and below cycles too, with the fewest steps between them."""
+    return hierarchy.all_descendants(table(spark, sf, "field_id_mappings"), "field_id", "parent_field_id", "table_name")
+
+
 _NODES = """
 WITH RECURSIVE ok AS (SELECT table_name, metadata::JSON AS m FROM iceberg_metadata WHERE json_valid(metadata)),
 s AS (SELECT table_name, unnest(CASE WHEN json_type(m->'$.schemas') = 'ARRAY' THEN (m->'$.schemas[*]')::JSON[] ELSE []::JSON[] END) AS s FROM ok

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from lakeloom.operators.hierarchy import descendants, resolve_hierarchy
+from lakeloom.operators.hierarchy import all_descendants, descendants, resolve_hierarchy
 
 SCHEMA = "t string, id int, up int, n string, p string, g string"
 
@@ -67,3 +67,21 @@ def test_empty_and_descendants(spark):
 def test_star(spark, k):
     rows = [("s", 0, None), *[("s", i, 0) for i in range(1, 40)]]
     assert solve(spark, rows, k) == brute(rows)
+
+
+@pytest.mark.parametrize("k", [3, 1000])
+def test_descendants_on_and_below_cycles(spark, k):
+    rows = [("a", 1, 2), ("a", 2, 1), ("a", 3, 2), ("a", 4, 3), ("a", 9, None), ("a", 10, 9), ("b", 5, 5), ("b", 6, 5), (None, 7, 8), (None, 8, 7), *[("u", i, (i + 1) % 12) for i in range(12)], *[("u", i, i - 7) for i in range(12, 30)]]
+    parent = {(t, i): u for t, i, u in rows}
+    pairs = {}
+    for t, i in parent:
+        seen, at = [i], parent[t, i]
+        while at is not None and at not in seen:
+            pairs[t, at, i] = len(seen)
+            seen.append(at)
+            at = parent[t, at]
+    ring = {(t, at) for t, at, i in pairs if (t, i, at) in pairs} | {("b", 5)}
+    df = spark.createDataFrame(rows, "t string, id int, up int")
+    got = all_descendants(df, "id", "up", "t", fragment_rows=k).collect()
+    assert len(got) == len(pairs) and {tuple(r)[:4] for r in got} == {(*key, n) for key, n in pairs.items()}
+    assert pairs["a", 3, 4] == 1 and all(r["in_cycle"] == ((r["t"], r["ancestor"]) in ring) for r in got)
