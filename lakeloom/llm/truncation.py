@@ -4,7 +4,8 @@ Two ways, in this order:
 
 * Near-copies. Min-hash bands over the shingles of each text's head, at head lengths of
   16, 32, 64, ... words, bring a cut text and its longer copy into one bucket whatever was
-  cut off. Each text is compared with the longest text of its buckets only. Pairs whose
+  cut off. Within a bucket each text meets every longer one that holds the words before
+  its end at about that place and goes on there, found by a hash of these words. Pairs whose
   heads have a similarity of 0.8 or more in five-word shingles are aligned at the shorter
   one's end; where the longer copy goes on in the middle of a word or sentence, the
   shorter one was cut.
@@ -295,23 +296,114 @@ def sketch(w: list[str]) -> list[int]:
     return sketches([w])[1].tolist()
 
 
+BUCKET, TAIL, ASKED = 0, 1, 2
+#: Words before the last one that a longer copy must hold.
+TAIL_WORDS = 4
+_INSIDE = np.uint64(0xA24BAED4963EE407)
+_GOES_ON = re.compile(r"[ \t]+\w")
+
+
+def _tails(h: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of TAIL_WORDS words, by their beginning."""
+    out = np.zeros(max(len(h) - TAIL_WORDS + 1, 0), np.uint64)
+    for j in range(TAIL_WORDS):
+        out = out * np.uint64(0x100000001B3) + h[j : j + len(out)]
+    return _mix(out)
+
+
+def _end_keys(tail: np.ndarray, word: np.ndarray, inside: bool) -> np.ndarray:
+    """Keys of a tail and the word after it; ``inside``: of a tail and the beginning of the word after it."""
+    return _mix(tail * np.uint64(_P) + word + (_INSIDE if inside else np.uint64(0)))
+
+
+def _asked(w: list[str], text: str) -> list[tuple[int, np.uint64]]:
+    """(kind, key) of what a longer copy of a text must hold: the tail, and the tail with the last word as a part or, unless the text closes, as a whole."""
+    if len(w) < FIRST_HEAD:
+        return []
+    tail = _tails(np.array([*map(_WORDS.__getitem__, w[-TAIL_WORDS - 1 : -1])], np.uint64))
+    last = np.array([_WORDS[w[-1]]], np.uint64)
+    out = [(TAIL, tail[0]), (ASKED, _end_keys(tail, last, True)[0])]
+    return out if _CLOSED.search(text.rstrip()) else [*out, (ASKED, _end_keys(tail, last, False)[0])]
+
+
+def _content(w: list[str], text: str) -> int:
+    return _hash(*w)
+
+
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def flush(ids: list, texts: list[list[str]]) -> pd.DataFrame:
+    def flush(ids: list, texts: list[list[str]], asked: list[list], contents: list[int]) -> pd.DataFrame:
         at, key = sketches(texts)
-        n, content, ids = np.array([len(w) for w in texts], np.int64), np.array([_hash(*w) for w in texts], np.int64), np.array(ids, np.int64)
-        return pd.DataFrame({"bucket": key, "words": n[at], "content": content[at], "doc_id": ids[at]}, dtype="int64")
-
-    ids, texts, size = [], [], 0
+        n, content, ids = np.array([len(w) for w in texts], np.int64), np.array(contents, np.int64), np.array(ids, np.int64)
+        kind = np.array([k for x in asked for k, _ in x], np.int64)
+        at = np.concatenate([at, np.repeat(np.arange(len(asked)), [len(x) for x in asked])])
+        key = np.concatenate([key, np.array([k for x in asked for _, k in x], np.uint64).view(np.int64)])
+        kind = np.concatenate([np.zeros(len(key) - len(kind), np.int64), kind])
+        return pd.DataFrame({"kind": kind, "bucket": key, "words": n[at], "content": content[at], "doc_id": ids[at]}, dtype="int64")
+
+    ids, texts, asked, contents, size = [], [], [], [], 0
     for b in batches:
         for doc, text in zip(b["doc_id"], b["text"]):
             ids.append(doc)
             texts.append(words(text))
+            asked.append(_asked(texts[-1], text or ""))
+            contents.append(_content(texts[-1], text or ""))
             size += len(texts[-1])
             if size > CHUNK_WORDS:
-                yield flush(ids, texts)
-                ids, texts, size = [], [], 0
+                yield flush(ids, texts, asked, contents)
+                ids, texts, asked, contents, size = [], [], [], [], 0
     if ids:
-        yield flush(ids, texts)
+        yield flush(ids, texts, asked, contents)
+
+
+def _bit_map(keys: DataFrame) -> np.ndarray:
+    """Bits of the keys of the column ``key``."""
+    at = keys.select(F.pmod("key", F.lit(MAP_BITS)).cast("int").alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)  # at most MAP_BITS numbers
+    bits = np.zeros(MAP_BITS >> 3, np.uint8)
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return bits
+
+
+def _mapped(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    place = key.view(np.int64) % MAP_BITS
+    return ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _holders(bits: np.ndarray):
+    """(key, place of the word, words, content, doc_id) wherever a text holds, and goes on after, what the bit map says is asked for."""
+
+    def places(text: str, w: list[str], bits: np.ndarray) -> tuple[list[int], list[int]]:
+        h = np.array([*map(_WORDS.__getitem__, w)], np.uint64)
+        tail = _tails(h)[: len(w) - TAIL_WORDS]  # before each word from the fifth on
+        hit = np.flatnonzero(_mapped(tail, bits))
+        if not len(hit):
+            return [], []
+        key = _end_keys(tail[hit], h[hit + TAIL_WORDS], False)
+        held = _mapped(key, bits)
+        at, keys = (hit[held] + TAIL_WORDS).tolist(), key[held].view(np.int64).tolist()
+        if at:
+            ends = [m.end() for m in re.finditer(r"[^\W_]+", text)]
+            on = [bool(p < len(ends) and _GOES_ON.match(text, ends[p])) for p in at]
+            at, keys = [p for p, x in zip(at, on) if x], [k for k, x in zip(keys, on) if x]
+        parts = [(p, w[p][:k]) for p in (hit + TAIL_WORDS).tolist() for k in range(1, len(w[p]))]
+        if parts:
+            of = np.array([p for p, _ in parts])
+            key = _end_keys(tail[of - TAIL_WORDS], np.array([_WORDS[x] for _, x in parts], np.uint64), True)
+            held = _mapped(key, bits)
+            at, keys = at + of[held].tolist(), keys + key[held].view(np.int64).tolist()
+        return at, keys
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc, text in zip(b["doc_id"], b["text"]):
+                w = words(text)
+                if len(w) > FIRST_HEAD:
+                    at, keys = places(text, w, bits)
+                    content = _content(w, text) if at else 0
+                    rows += [(k, p, len(w), content, doc) for p, k in zip(at, keys)]
+            yield pd.DataFrame(rows, columns=["key", "at", "words", "content", "doc_id"], dtype="int64")
+
+    return run
 
 
 def ends_early(short: str, long: str) -> bool:
@@ -346,12 +438,25 @@ def _position(text: str, nth: int) -> int:
 def cut_by_copies(documents: DataFrame) -> DataFrame:
     """doc_id of texts that stop early beside a longer near-copy."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null")
-    sketched = materialize(docs.mapInPandas(_sketches, "bucket bigint, words bigint, content bigint, doc_id bigint"), "sketches")
-    one = F.struct("words", "content", "doc_id")
-    spread = sketched.groupBy("bucket").agg(F.max(one).alias("longest"), F.min(one).alias("shortest")).filter("longest.words > shortest.words")
-    spread = spread.select(F.col("bucket").alias("_b"), F.col("longest.words").alias("_w"), F.col("longest.content").alias("_c"), F.col("longest.doc_id").alias("long_id"))
-    pairs = sketched.join(spread, F.col("bucket") == F.col("_b")).filter(F.col("words") < F.col("_w"))
+    sketched = materialize(docs.mapInPandas(_sketches, "kind bigint, bucket bigint, words bigint, content bigint, doc_id bigint"), "sketches")
     # copies of one text count once; what is found for one holds for all
+    texts = sketched.groupBy("kind", "bucket", "words", "content").agg(F.min("doc_id").alias("doc_id"))
+    shared = texts.filter(F.col("kind") == BUCKET).groupBy(F.col("bucket").alias("_b")).agg(F.min("words").alias("least"), F.max("words").alias("most")).filter("most > least")
+    members = texts.filter(F.col("kind") == BUCKET).join(shared, F.col("bucket") == F.col("_b"))
+    members = materialize(members.select("bucket", "content", "doc_id", (F.col("words") < F.col("most")).alias("shorter"), (F.col("words") > F.col("least")).alias("longer")), "members")
+    short_texts = members.filter("shorter").select(F.col("content").alias("_of")).distinct()
+    asks = texts.filter(F.col("kind") != BUCKET).join(short_texts, F.col("content") == F.col("_of"), "left_semi").withColumnRenamed("bucket", "key")
+    asks = materialize(asks.select("kind", "key", "words", "content", "doc_id"), "asks")
+    bits = _bit_map(asks)
+    asks = asks.filter(F.col("kind") == ASKED).drop("kind")
+    long_texts = members.filter("longer").groupBy("content").agg(F.min("doc_id").alias("_d")).select("_d")
+    held = docs.join(long_texts, F.col("doc_id") == F.col("_d"), "left_semi").mapInPandas(_holders(bits), "key bigint, at bigint, words bigint, content bigint, doc_id bigint").distinct()
+    wanted = asks.groupBy(F.col("key").alias("_k")).agg(F.min("words").alias("_least"))
+    held = materialize(held.join(wanted, F.col("key") == F.col("_k")).filter(F.col("words") > F.col("_least")).drop("_k", "_least"), "held")
+    slack = F.greatest(F.lit(8), F.floor(F.col("words") / 5))
+    place = lambda d, which: d.join(members.filter(which).select(F.col("content").alias("_of"), "bucket").distinct(), F.col("content") == F.col("_of")).drop("_of")
+    longer = place(held, "longer").select(F.col("key").alias("_k"), F.col("bucket").alias("_b"), "at", F.col("words").alias("_w"), F.col("content").alias("_c"), F.col("doc_id").alias("long_id"))
+    pairs = place(asks, "shorter").join(longer, (F.col("key") == F.col("_k")) & (F.col("bucket") == F.col("_b"))).filter((F.col("words") < F.col("_w")) & (F.abs(F.col("at") - F.col("words") + 1) <= slack))
     pairs = materialize(pairs.groupBy("content", "_c").agg(F.min("doc_id").alias("short_id"), F.min("long_id").alias("long_id")), "pairs")
     short = docs.select(F.col("doc_id").alias("_s"), F.col("text").alias("short"))
     long = docs.select(F.col("doc_id").alias("_l"), F.col("text").alias("long"))
@@ -362,7 +467,7 @@ def cut_by_copies(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame({"content": [c for c, s, t in zip(b["content"], b["short"], b["long"]) if ends_early(s, t)]}, dtype="int64")
 
     early = both.mapInPandas(verify, "content bigint").distinct().withColumnRenamed("content", "_e")
-    return sketched.select("content", "doc_id").join(early, F.col("content") == F.col("_e"), "left_semi").select("doc_id").distinct()
+    return sketched.filter(F.col("kind") == BUCKET).select("content", "doc_id").join(early, F.col("content") == F.col("_e"), "left_semi").select("doc_id").distinct()
 
 
 def cut_by_ending(documents: DataFrame) -> DataFrame:
@@ -379,9 +484,7 @@ def cut_by_ending(documents: DataFrame) -> DataFrame:
     doubt = materialize(doubt.select("doc_id", "known", asks.alias("runs")), "doubt")
 
     wanted = doubt.select(F.explode("runs").alias("run")).distinct()
-    at = wanted.select(F.pmod("run", F.lit(MAP_BITS)).cast("int").alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)  # at most MAP_BITS numbers
-    bits = np.zeros(MAP_BITS >> 3, np.uint8)
-    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    bits = _bit_map(wanted.withColumnRenamed("run", "key"))
     counted = docs.select("text").mapInPandas(_count_runs(bits), "run bigint, closes bigint, goes_on bigint")
     counted = counted.groupBy("run").agg(F.sum("closes").alias("closes"), F.sum("goes_on").alias("goes_on"))
     seen = wanted.withColumnRenamed("run", "_run").join(counted, F.col("_run") == F.col("run")).select("run", "closes", "goes_on")

@@ -86,5 +86,15 @@ def test_near_copies_tell_list_entries_that_look_whole(spark):
     assert sorted(r[0] for r in T.cut_by_copies(df).collect()) == [2, 3]
 
 
+def test_a_copy_is_found_behind_a_longer_text_with_the_same_head(spark):
+    rng = random.Random(3)
+    w = lambda c, n: " ".join(f"{c}{rng.randint(0, 9999)}" for _ in range(n))
+    head = w("h", 32)
+    copy = head + " " + w("b", 28)
+    rows = [(1, " ".join(copy.split()[:40])), (2, copy), (3, " ".join(copy.split()[:39]) + " " + copy.split()[39][:-1]), *[(10 + i, head + " " + w(f"c{i}x", 168 + i)) for i in range(5)]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r[0] for r in T.cut_by_copies(df).collect()) == [1, 3]
+
+
 def test_empty_table(spark):
     assert T.cut_texts(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
