@@ -326,8 +326,9 @@ def _asked(w: list[str], text: str) -> list[tuple[int, np.uint64]]:
     return out if _CLOSED.search(text.rstrip()) else [*out, (ASKED, _end_keys(tail, last, False)[0])]
 
 
-def _content(w: list[str], text: str) -> int:
-    return _hash(*w)
+def _content(text: str) -> int:
+    """Key of texts that are alike to their last mark; the words alone would not tell a closed end from an open one."""
+    return _hash(text.rstrip())
 
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -346,7 +347,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids.append(doc)
             texts.append(words(text))
             asked.append(_asked(texts[-1], text or ""))
-            contents.append(_content(texts[-1], text or ""))
+            contents.append(_content(text or ""))
             size += len(texts[-1])
             if size > CHUNK_WORDS:
                 yield flush(ids, texts, asked, contents)
@@ -399,7 +400,7 @@ def _holders(bits: np.ndarray):
                 w = words(text)
                 if len(w) > FIRST_HEAD:
                     at, keys = places(text, w, bits)
-                    content = _content(w, text) if at else 0
+                    content = _content(text) if at else 0
                     rows += [(k, p, len(w), content, doc) for p, k in zip(at, keys)]
             yield pd.DataFrame(rows, columns=["key", "at", "words", "content", "doc_id"], dtype="int64")
 

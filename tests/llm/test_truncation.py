@@ -96,5 +96,13 @@ def test_a_copy_is_found_behind_a_longer_text_with_the_same_head(spark):
     assert sorted(r[0] for r in T.cut_by_copies(df).collect()) == [1, 3]
 
 
+def test_a_closed_text_is_not_judged_by_a_cut_one_of_the_same_words(spark):
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randint(0, 9999)}" for _ in range(60))
+    cut = " ".join(text.split()[:40])
+    df = spark.createDataFrame([(1, cut + "."), (2, cut), (3, text), (4, cut)], "doc_id bigint, text string")
+    assert sorted(r[0] for r in T.cut_by_copies(df).collect()) == [2, 4]
+
+
 def test_empty_table(spark):
     assert T.cut_texts(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
