@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeloom.registry import Registry
 from lakeloom.shared import fresh_path
@@ -57,24 +58,69 @@ def tbl_delete_returning(spark: SparkSession, sf: str) -> DataFrame:
     return _copy(spark, sf, "orders").delete(F.col("o_orderkey") % 500 == 0, returning=True).select("o_orderkey", "o_totalprice")
 
 
-@R.add("tbl_delete_using", "SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+@R.add("tbl_delete_using", "SELECT * FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING' AND o_totalprice > c_acctbal * 20)")
 def tbl_delete_using(spark: SparkSession, sf: str) -> DataFrame:
-    """DELETE USING another table: the keys to delete come by a join, then positions are taken."""
+    """DELETE USING another table, with a join condition beyond equality."""
     t = _copy(spark, sf, "orders")
-    keys = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
-    doomed = t.read().join(keys, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
-    t.delete_matching(doomed, "o_orderkey")
+    building = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'")
+    t.delete_using(building, "t.o_custkey = s.c_custkey AND t.o_totalprice > s.c_acctbal * 20")
     return t.read()
 
 
-@R.add("tbl_update_from", "SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders")
-def tbl_update_from(spark: SparkSession, sf: str) -> DataFrame:
+@R.add("tbl_update", "SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def tbl_update(spark: SparkSession, sf: str) -> DataFrame:
     """UPDATE: expressions see the old values."""
     t = _copy(spark, sf, "orders")
     t.update({"o_orderstatus": F.lit("X"), "o_totalprice": F.col("o_totalprice") + 1}, F.col("o_orderstatus") == "P")
     return t.read()
 
 
+@R.add(
+    "tbl_update_from",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN c_mktsegment = 'MACHINERY' THEN o_totalprice + c_acctbal ELSE o_totalprice END AS o_totalprice, o_orderdate, "
+    "CASE WHEN c_mktsegment = 'MACHINERY' THEN c_mktsegment ELSE o_orderpriority END AS o_orderpriority FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
+)
+def tbl_update_from(spark: SparkSession, sf: str) -> DataFrame:
+    """UPDATE ... FROM another table, whose columns the new values use."""
+    t = _copy(spark, sf, "orders")
+    machinery = table(spark, sf, "customer").filter("c_mktsegment = 'MACHINERY'")
+    t.update_from(machinery, {"o_totalprice": F.col("t.o_totalprice") + F.col("s.c_acctbal"), "o_orderpriority": F.col("s.c_mktsegment")}, "t.o_custkey = s.c_custkey")
+    return t.read()
+
+
+def _multi(name: str, sql: str, change) -> None:
+    """Row-level changes of tables with two partition columns, written by one task, so that file names repeat across folders."""
+
+    @R.add(name, sql.replace("$t", "events") + " UNION ALL " + sql.replace("$t", "events"))
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        parts = []
+        for spec in ("day(ts), bucket(4, user_id)", "event_type, user_id"):
+            t = Table.create(spark, fresh_path(spark, "tbl-multi"), table(spark, sf, "events").schema, spec)
+            t.append(table(spark, sf, "events").withColumn("user_id", F.col("user_id") % 7).coalesce(1))
+            parts.append(change(t))
+        return parts[0].unionAll(parts[1])
+
+    run.__doc__ = f"{name[10:]} under two partition columns."
+
+
+_EVENTS = "SELECT event_id, ts, user_id % 7 AS user_id, event_type, value, props FROM $t"
+
+
+def _after(change):
+    def run(t: Table) -> DataFrame:
+        change(t)
+        return t.read()
+
+    return run
+
+
+_multi("tbl_multi_delete_mor", _EVENTS + " WHERE event_id % 50 <> 3", _after(lambda t: t.delete("event_id % 50 = 3", mode="mor")))
+_multi("tbl_multi_delete_cow", _EVENTS + " WHERE event_id % 50 <> 3 AND event_id % 77 <> 5", _after(lambda t: [t.delete("event_id % 50 = 3", mode="cow"), t.delete("event_id % 77 = 5", mode="cow")]))
+_multi("tbl_multi_update", "SELECT event_id, ts, user_id % 7 AS user_id, CASE WHEN event_id % 40 = 1 THEN 'seen' ELSE event_type END AS event_type, value, props FROM $t", _after(lambda t: t.update({"event_type": F.lit("seen")}, "event_id % 40 = 1", mode="mor")))
+_multi("tbl_multi_row_ids", "SELECT count(*) AS n, count(*) AS ids, count(*) - 1 AS top FROM $t", lambda t: t.row_ids().agg(F.count("*").alias("n"), F.count_distinct("_row_id").alias("ids"), F.max("_row_id").alias("top")))
+_multi("tbl_multi_compact", _EVENTS + " WHERE event_id % 9 <> 2", _after(lambda t: [t.append(t.read("event_id % 2 = 1")), t.delete("event_id % 9 = 2", mode="mor"), t.compact(), t.delete("event_id % 2 = 1"), t.append(t.read(snapshot_id=1).filter("event_id % 2 = 1 AND event_id % 9 <> 2"))]))
+
+
 @R.add("tbl_truncate", "SELECT * FROM nation WHERE n_regionkey = 1")
 def tbl_truncate(spark: SparkSession, sf: str) -> DataFrame:
     """TRUNCATE, then INSERT."""
@@ -132,7 +178,7 @@ def tbl_widen_column(spark: SparkSession, sf: str) -> DataFrame:
     return t.read()
 
 
-def _pruned(name: str, source: str, spec: str, where: list, sql: str) -> None:
+def _pruned(name: str, source: str, spec: str, where, sql: str) -> None:
     @R.add(name, f"SELECT *, true AS pruned FROM {source} WHERE {sql}")
     def run(spark: SparkSession, sf: str) -> DataFrame:
         t = _copy(spark, sf, source, spec)
@@ -150,6 +196,25 @@ _pruned("tbl_partition_bucket_prune", "orders", "bucket(16, o_custkey)", [("o_cu
 _pruned("tbl_partition_truncate", "customer", "truncate(50, c_custkey)", [("c_custkey", "<", 40)], "c_custkey < 40")
 _pruned("tbl_partition_identity", "customer", "c_mktsegment", [("c_mktsegment", "in", ["BUILDING", "MACHINERY"])], "c_mktsegment IN ('BUILDING', 'MACHINERY')")
 _pruned("tbl_partition_multi", "events", "day(ts), bucket(4, user_id)", [("ts", "<", "2024-01-03 00:00:00"), ("user_id", "=", 7)], "ts < TIMESTAMP '2024-01-03 00:00:00' AND user_id = 7")
+_pruned("tbl_condition_prune", "events", "day(ts)", "ts BETWEEN TIMESTAMP_NTZ '2024-01-04 00:00:00' AND TIMESTAMP_NTZ '2024-01-03 00:00:00' + INTERVAL '2' DAY OR (NOT ts < TIMESTAMP_NTZ '2024-01-20 00:00:00' AND upper(event_type) = 'CLICK')", "ts BETWEEN TIMESTAMP '2024-01-04 00:00:00' AND TIMESTAMP '2024-01-05 00:00:00' OR (ts >= TIMESTAMP '2024-01-20 00:00:00' AND upper(event_type) = 'CLICK')")
+_pruned("tbl_partition_truncate_text", "customer", "truncate(4, c_mktsegment)", "c_mktsegment LIKE 'BUIL%' OR c_mktsegment = 'FURNITURE'", "c_mktsegment LIKE 'BUIL%' OR c_mktsegment = 'FURNITURE'")
+
+
+@R.add("tbl_partition_void", "SELECT *, 1 AS parts FROM nation WHERE n_nationkey < 4")
+def tbl_partition_void(spark: SparkSession, sf: str) -> DataFrame:
+    """A void transform puts every row into one partition and prunes nothing away."""
+    t = _copy(spark, sf, "nation", "void(n_regionkey)")
+    return t.read("n_nationkey < 4").withColumn("parts", F.lit(t.files().select(F.to_json("partition")).distinct().count()))
+
+
+@R.add("tbl_delete_prune", "SELECT *, true AS few FROM orders WHERE o_orderkey NOT BETWEEN 100 AND 120")
+def tbl_delete_prune(spark: SparkSession, sf: str) -> DataFrame:
+    """A delete opens only the files that its own condition may hit."""
+    t = Table.create(spark, fresh_path(spark, "tbl-prune"), table(spark, sf, "orders").schema)
+    t.append(table(spark, sf, "orders").repartitionByRange(8, "o_orderkey"))
+    few = t.plan_files("o_orderkey BETWEEN 100 AND 120").count() <= 2
+    t.delete("o_orderkey BETWEEN 100 AND 120", mode="mor")
+    return t.read().withColumn("few", F.lit(few))
 
 
 @R.add("tbl_bounds_prune", "SELECT *, true AS pruned FROM orders WHERE o_orderkey BETWEEN 100 AND 120")
@@ -207,10 +272,94 @@ def tbl_clamp_out_of_range(spark: SparkSession, sf: str) -> DataFrame:
     return t.read()
 
 
-@R.add("tbl_files_metadata")
+@R.add("tbl_files_metadata", "SELECT (date_trunc('day', ts)::DATE - DATE '1970-01-01')::VARCHAR AS day, count(*) AS row_count, true AS sized FROM events GROUP BY ALL")
 def tbl_files_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    """The files of a table with their partition values and sizes."""
-    return _copy(spark, sf, "events", "day(ts)").files().select("path", "partition", "row_count", "file_size")
+    """The files of a table with their partition values, rows and sizes, by partition."""
+    f = _copy(spark, sf, "events", "day(ts)").files()
+    return f.groupBy(F.col("partition")["ts_day"].alias("day")).agg(F.sum("row_count").alias("row_count"), (F.min("file_size") > 0).alias("sized"))
+
+
+@R.add("tbl_size", "SELECT true AS same, true AS some")
+def tbl_size(spark: SparkSession, sf: str) -> DataFrame:
+    """Size of a table: the sum over its files as they are on disk."""
+    t = _copy(spark, sf, "orders")
+    disk = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{t.location}/data").agg(F.sum("length").alias("n"))
+    return disk.select((F.col("n") == t.size()).alias("same"), (F.col("n") > 0).alias("some"))
+
+
+@R.add("tbl_set_default", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 100, 'NEW' UNION ALL SELECT 101, NULL")
+def tbl_set_default(spark: SparkSession, sf: str) -> DataFrame:
+    """SET DEFAULT holds for later inserts only; DROP DEFAULT ends it."""
+    t = _copy(spark, sf, "region")
+    t.set_default("r_name", "NEW")
+    t.append(spark.createDataFrame([(100,)], "r_regionkey int"))
+    t.set_default("r_name", None)
+    t.append(spark.createDataFrame([(101,)], "r_regionkey int"))
+    return t.read()
+
+
+@R.add("tbl_drop_not_null", "SELECT r_regionkey, r_name, true AS refused FROM region UNION ALL SELECT NULL, 'NOWHERE', true")
+def tbl_drop_not_null(spark: SparkSession, sf: str) -> DataFrame:
+    """NOT NULL is kept until it is dropped."""
+    r = table(spark, sf, "region")
+    kind = T.StructType([T.StructField("r_regionkey", T.IntegerType(), False), T.StructField("r_name", T.StringType())])
+    t, nowhere = Table.create(spark, fresh_path(spark, "tbl-null"), kind), spark.createDataFrame([(None, "NOWHERE")], "r_regionkey int, r_name string")
+    t.append(r)
+    try:
+        t.append(nowhere)
+        refused = False
+    except Exception as e:  # noqa: BLE001
+        refused = "null value" in str(e)
+    t.drop_not_null("r_regionkey")
+    t.append(nowhere)
+    return t.read().withColumn("refused", F.lit(refused))
+
+
+@R.add("tbl_drop", "SELECT 2 AS before, 1 AS after, 1 AS purged, true AS gone, count(*) AS n FROM nation")
+def tbl_drop(spark: SparkSession, sf: str) -> DataFrame:
+    """DROP TABLE: the name goes at once, the files with the next purge, other tables stay."""
+    from lakeloom.sources.io import file_exists
+    from lakeloom.table.catalog import Catalog
+
+    c, n = Catalog(spark, fresh_path(spark, "catalog")), table(spark, sf, "nation")
+    with c.transaction() as tx:
+        tx.create("keep", n.schema).append(n)
+        tx.create("lose", n.schema).append(n)
+    place, before = c.table("lose").location, len(c.names())
+    c.drop("lose")
+    after, purged = len(c.names()), c.purge()
+    return c.read("keep").agg(F.count("*").alias("n")).withColumns({"before": F.lit(before), "after": F.lit(after), "purged": F.lit(purged), "gone": F.lit(not file_exists(spark, place))})
+
+
+@R.add("tbl_unsupported", "SELECT * FROM (VALUES ('merge', 'NotImplementedError'), ('narrow a type', 'ValueError'), ('unknown column', 'ValueError'), ('unknown table', 'ValueError'), ('unknown transform', 'ValueError')) v(statement, raised)")
+def tbl_unsupported(spark: SparkSession, sf: str) -> DataFrame:
+    """Statements that tables do not take raise, and change nothing."""
+    from lakeloom.table.catalog import Catalog
+
+    t = _copy(spark, sf, "region")
+    tries = {
+        "merge": lambda: t.merge(), "narrow a type": lambda: t.widen_column("r_regionkey", "smallint"), "unknown column": lambda: t.update({"zz": F.lit(1)}, F.lit(True)),
+        "unknown table": lambda: Catalog(spark, fresh_path(spark, "catalog")).table("none"), "unknown transform": lambda: t.set_partitioning("week(r_name)"),
+    }
+    said = []
+    for what, do in tries.items():
+        try:
+            do()
+            said.append((what, "nothing"))
+        except Exception as e:  # noqa: BLE001
+            said.append((what, type(e).__name__))
+    return spark.createDataFrame(said, "statement string, raised string")
+
+
+@R.add("tbl_many_commits", "SELECT n_nationkey, count(*) AS n, true AS merged FROM nation, range(7) GROUP BY ALL")
+def tbl_many_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """Manifests of many small commits are merged on the way."""
+    n = table(spark, sf, "nation")
+    t = Table.create(spark, fresh_path(spark, "tbl-many"), n.schema, properties={"merge_manifests": 3})
+    for _ in range(7):
+        t.append(n)
+    held = len(t._snapshot(t.state())["manifests"])
+    return t.read().groupBy("n_nationkey").agg(F.count("*").alias("n")).withColumn("merged", F.lit(held <= 3))
 
 
 @R.add("tbl_column_stats", "SELECT 'o_orderkey' AS column, min(o_orderkey)::VARCHAR AS lower, max(o_orderkey)::VARCHAR AS upper, 0::BIGINT AS nulls FROM orders")
@@ -231,10 +380,16 @@ def tbl_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("tbl_modifying_cte", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
 def tbl_modifying_cte(spark: SparkSession, sf: str) -> DataFrame:
-    """DELETE ... RETURNING into another table."""
-    t, archive = _copy(spark, sf, "nation"), Table.create(spark, fresh_path(spark, "tbl-archive"), "n_nationkey int, n_name string")
-    archive.append(t.delete(F.col("n_regionkey") == 2, returning=True).select("n_nationkey", "n_name"))
-    return archive.read()
+    """DELETE ... RETURNING into another table, in one transaction."""
+    from lakeloom.table.catalog import Catalog
+
+    c, n = Catalog(spark, fresh_path(spark, "catalog")), table(spark, sf, "nation")
+    with c.transaction() as tx:
+        tx.create("t", n.schema).append(n)
+        tx.create("archive", "n_nationkey int, n_name string")
+    with c.transaction() as tx:
+        tx.table("archive").append(tx.table("t").delete(F.col("n_regionkey") == 2, returning=True).select("n_nationkey", "n_name"))
+    return c.read("archive")
 
 
 @R.add("tbl_load_from", "SELECT * FROM supplier")

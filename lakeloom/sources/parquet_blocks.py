@@ -156,8 +156,15 @@ def drop(fields: list, ids: tuple[int, ...]) -> list:
 
 
 def _open(path: str):
-    fs, p = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-    return fs, p
+    """(file system, path in it). Paths are taken as they are: a percent sign in a name is no escape."""
+    scheme, mark, rest = path.partition("://")
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    if not mark:
+        return pafs.LocalFileSystem(), path
+    place, _, key = rest.partition("/")
+    fs, root = pafs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{place}/")
+    return fs, f"{root.rstrip('/')}/{key}"
 
 
 def read_footer(path: str) -> tuple[list, int]:

@@ -14,19 +14,17 @@ def stream_files(spark: SparkSession, path: str, schema, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def append_stream(stream: DataFrame, table: Table, checkpoint: str, *, available_now: bool = True):
-    """Append each micro-batch as one commit.
+def append_stream(stream: DataFrame, table: Table, checkpoint: str, *, name: str | None = None, available_now: bool = True):
+    """Append each micro-batch as one commit, each row exactly once.
 
-    A batch that is run again after a failure is skipped if the table's properties say
-    that its id was committed, so each row arrives once.
+    The number of the batch is committed in the same document as its rows, under the
+    stream's name (by default its checkpoint folder): a batch that is run again after a
+    failure, wherever that struck, is either seen there and skipped, or left no trace.
     """
+    name = name or checkpoint
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = table.state()["properties"].get("stream_batch", -1)
-        if batch_id <= done:
-            return
-        table.append(batch)
-        table._alter(lambda s: s["properties"].__setitem__("stream_batch", batch_id))
+        table.append(batch, stream=(name, batch_id))
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()

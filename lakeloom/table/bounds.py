@@ -1,4 +1,4 @@
-"""File statistics from Parquet footers, and pruning by them."""
+"""File statistics from Parquet footers."""
 
 from __future__ import annotations
 
@@ -8,13 +8,11 @@ from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow.parquet as pq
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from lakeloom.sources.parquet_blocks import _open
-from lakeloom.table import transforms
 
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+COLUMNS = ["path", "content", "spec_id", "schema_id", "partition", "row_count", "file_size", "lower", "upper", "nulls", "first_row_id"]
 
 
 def as_text(v: object) -> str | None:
@@ -22,24 +20,26 @@ def as_text(v: object) -> str | None:
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None).isoformat(sep=" ")
     if isinstance(v, (int, float, str, datetime.date, decimal.Decimal)):
-        return str(v)
+        return None if v != v else str(v)
     return None
 
 
-def footer_rows(files: pd.DataFrame, root: str, folder: str, ids: list[int], parts: list[str], names: list[str], spec_id: int, schema_id: int) -> pd.DataFrame:
-    """Manifest rows of files given by path and length."""
+def footer_rows(files: pd.DataFrame, folder: str, columns: dict[int, str], parts: list[str], names: list[str], content: int, spec_id: int, schema_id: int) -> pd.DataFrame:
+    """Manifest rows of files given by path and length; ``columns`` gives the stored name of each column id. Files without rows are left out."""
     rows = []
     for path, length in zip(files["path"], files["length"]):
-        fs, p = _open(path if "://" in path else path.replace("file:", "file://"))
+        fs, p = _open(path)
         with fs.open_input_file(p) as f:
             meta = pq.ParquetFile(f).metadata
+        if not meta.num_rows:
+            continue
         rel = folder + path.rpartition(folder)[2]
         values = dict(x.split("=", 1) for x in rel.split("/")[:-1] if "=" in x)
-        partition = {n: (None if (v := unquote(values.get(p, NULL_PARTITION))) == NULL_PARTITION else v) for p, n in zip(parts, names)}
+        partition = {n: (None if (v := unquote(values.get(p, NULL_PARTITION))) == NULL_PARTITION else v[1:]) for p, n in zip(parts, names)}
         lower, upper, nulls = {}, {}, {}
         order = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
-        for i in ids:
-            at = order.get(f"c{i}")
+        for i, stored in columns.items():
+            at = order.get(stored)
             stats = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)] if at is not None else []
             if not stats or any(s is None for s in stats):
                 continue
@@ -48,49 +48,7 @@ def footer_rows(files: pd.DataFrame, root: str, folder: str, ids: list[int], par
             held = [s for s in stats if s.has_min_max]
             if held and len(held) == sum(1 for s in stats if s.num_values):
                 lo, hi = as_text(min(s.min for s in held)), as_text(max(s.max for s in held))
-                if lo is not None and hi is not None and hi == hi:
+                if lo is not None and hi is not None:
                     lower[i], upper[i] = lo, hi
-        rows.append((rel, 0, spec_id, schema_id, partition, meta.num_rows, length, lower, upper, nulls, None))
-    out = pd.DataFrame(rows, columns=["path", "content", "spec_id", "schema_id", "partition", "row_count", "file_size", "lower", "upper", "nulls", "first_row_id"])
-    return out.astype({"first_row_id": "Int64"})
-
-
-def may_match(column: dict, op: str, v: object, specs: list[list[dict]]) -> Column:
-    """Whether a file may hold a row with ``column op v``, by its bounds and by its partition values."""
-    i, kind = column["id"], column["type"]
-    if column["default"] is not None:
-        kind_known = F.col("schema_id") >= column["since"]
-    else:
-        kind_known = F.lit(True)
-    lo, hi = F.try_element_at("lower", F.lit(i)).cast(kind), F.try_element_at("upper", F.lit(i)).cast(kind)
-    nulls = F.try_element_at("nulls", F.lit(i))
-    if op == "isnull":
-        return F.coalesce(nulls > 0, F.lit(True)) | ~kind_known
-    if op == "notnull":
-        return F.coalesce(nulls < F.col("row_count"), F.lit(True)) | ~kind_known
-    lit = lambda x: F.lit(x).cast(kind)
-    if op == "in":
-        out = F.lit(False)
-        for x in v:
-            out = out | may_match(column, "=", x, specs)
-        return out
-    ranges = {
-        "=": lambda: (lo <= lit(v)) & (hi >= lit(v)), "<": lambda: lo < lit(v), "<=": lambda: lo <= lit(v), ">": lambda: hi > lit(v), ">=": lambda: hi >= lit(v),
-        "<>": lambda: ~((lo == lit(v)) & (hi == lit(v))),
-    }
-    fits = F.coalesce(ranges[op](), F.lit(True)) | ~kind_known
-    for n, spec in enumerate(specs):
-        for p in spec:
-            if p["id"] != i or p["transform"] == "void":
-                continue
-            have = F.try_element_at("partition", F.lit(p["name"]))
-            if op == "=":
-                want = F.lit(transforms.bucket_of(v, p["arg"])) if p["transform"] == "bucket" else transforms.value(p, lit(v), kind)
-                ok = have == want.cast("string")
-            elif p["transform"] in ("bucket", "truncate", "identity") or op == "<>":
-                continue  # bounds say as much
-            else:
-                want = transforms.value(p, lit(v), kind).cast("bigint")
-                ok = have.cast("bigint") <= want if op in ("<", "<=") else have.cast("bigint") >= want
-            fits = fits & ((F.col("spec_id") != n) | F.coalesce(ok, F.lit(False)))
-    return fits
+        rows.append((rel, content, spec_id, schema_id, partition, meta.num_rows, length, lower, upper, nulls, None))
+    return pd.DataFrame(rows, columns=COLUMNS).astype({"row_count": "int64", "file_size": "int64", "first_row_id": "Int64"})

@@ -1,11 +1,20 @@
 """Snapshot tables on Parquet: a small transactional table layer.
 
-A table is a folder. ``meta/v000001.json``, ... are its versions, each made by an
-exclusive create, so of two writers only one makes the next version; a version names the
-schema (columns with ids), the partition specs and all snapshots. A snapshot names its
-manifest, a Parquet table with one row per file: content (0 data, 1 position deletes),
-partition values, row count, size and column bounds. Data columns carry physical names
-made of their ids (``c7``), so renaming, dropping and adding touch no file.
+A table is a folder. ``meta/v000001.json``, ... are its versions. A version is written
+aside and published under its name in one atomic step that fails if the name is taken, so
+of two writers only one makes the next version and none is ever seen half written. It
+names the schema (columns with ids), the partition specs, how far each stream got, and all
+snapshots. A snapshot names a list of manifests, Parquet tables with one row per file:
+content (0 data, 1 position deletes), partition values, row count, size and column bounds.
+A commit adds a manifest of its own files; only manifests that name removed files are
+written anew, and short ones are merged once there are many. Data columns carry physical
+names made of their ids (``c7``), so renaming, dropping and adding touch no file.
+
+Position deletes name a data file by its path below ``data/``, which is unique whatever
+the partition folders are called.
+
+While a writer is at work, ``open/`` holds a mark with the name that all its files begin
+with; orphan removal leaves such files alone.
 
 Manifests stay DataFrames: pruning, statistics and orphan search are queries over them,
 and only the paths that a scan reads come to the driver.
@@ -13,27 +22,39 @@ and only the paths that a scan reads come to the driver.
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import json
+import os
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeloom.shared import delete_path, materialize
-from lakeloom.table import transforms
-from lakeloom.table.bounds import footer_rows, may_match
+from lakeloom.sources.parquet_blocks import _open
+from lakeloom.table import pruning, transforms
+from lakeloom.table.bounds import footer_rows
 
 MANIFEST = "path string, content int, spec_id int, schema_id int, partition map<string,string>, row_count bigint, file_size bigint, lower map<int,string>, upper map<int,string>, nulls map<int,bigint>, first_row_id bigint"
+DELETES = "_file string, _pos bigint"
 #: Rewrite a file instead of writing position deletes if more than this percentage of its rows go.
 COPY_ON_WRITE_PERCENT = 20
 TARGET_BYTES = 536_870_912
+#: More manifests than this in a snapshot are merged into one by the commit; the table property ``merge_manifests`` overrides it.
+MERGE_MANIFESTS = 40
+#: Footers of up to so many files are read by one task; those of more, by one task for each so many.
+FOOTERS_A_TASK = 64
+#: Positions up to this number are broadcast when deleted rows are taken out; beyond it the join is a shuffle.
+BROADCAST_POSITIONS = 1_000_000
+#: A writer's mark older than this is that of a writer that died.
+OPEN_MS = 24 * 3600 * 1000
 
 #: Type changes that keep every value.
 WIDENING = {("int", "bigint"), ("smallint", "int"), ("smallint", "bigint"), ("float", "double"), ("date", "timestamp_ntz")}
@@ -63,6 +84,12 @@ class Table:
         finally:
             stream.close()
 
+    def _write(self, path: str, body: str) -> None:
+        fs, p = self._fs(path)
+        out = fs.create(p, True)
+        out.write(bytearray(body.encode()))
+        out.close()
+
     def _names(self, folder: str) -> list[str]:
         fs, p = self._fs(f"{self.location}/{folder}")
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
@@ -80,31 +107,75 @@ class Table:
             raise FileNotFoundError(f"no table in {self.location}")
         return json.loads(self._read(f"{self.location}/meta/v{v:06d}.json")) | {"version": v}
 
+    def _publish_file(self, path: str, body: str) -> bool:
+        """Make a file with this content in one step, unless there is one of its name; says whether it did.
+
+        Local folders: a hard link, which is exclusive, to a file written aside. Object
+        stores: a file shows only once it is closed, and is created on the condition that
+        there is none. Other file systems: written aside and renamed, which fails if the
+        name is taken.
+        """
+        scheme = path.partition(":")[0] if ":" in path else self._fs(path)[0].getScheme()
+        aside = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}.tmp"
+        fs, p = self._fs(path)
+        if scheme == "file":
+            local, there = _open(aside)[1], _open(path)[1]
+            os.makedirs(os.path.dirname(local), exist_ok=True)
+            with open(local, "w", encoding="utf-8") as f:
+                f.write(body)
+                f.flush()
+                os.fsync(f.fileno())
+            try:
+                os.link(local, there)
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(local)
+            return True
+        if scheme in ("s3", "s3a", "s3n", "gs", "az", "abfs", "abfss", "wasb"):
+            try:
+                out = fs.createFile(p).overwrite(False).opt("fs.option.create.conditional.overwrite", True).recursive().build()
+                out.write(bytearray(body.encode()))
+                out.close()
+            except Py4JJavaError:
+                if fs.exists(p):
+                    return False
+                raise
+            return True
+        self._write(aside, body)
+        done = not fs.exists(p) and fs.rename(self._fs(aside)[1], p)
+        if not done:
+            delete_path(self.spark, aside)
+        return done
+
     def _commit(self, state: dict) -> dict:
         """Publish the next version; raises :class:`ConcurrentWrite` if it is there already."""
         v = state["version"] + 1
-        body = json.dumps({k: x for k, x in state.items() if k != "version"})
-        fs, p = self._fs(f"{self.location}/meta/v{v:06d}.json")
-        try:
-            out = fs.create(p, False)
-        except Py4JJavaError as e:
-            raise ConcurrentWrite(f"version {v} of {self.location} exists") from e
-        out.write(bytearray(body.encode()))
-        out.close()
+        if not self._publish_file(f"{self.location}/meta/v{v:06d}.json", json.dumps({k: x for k, x in state.items() if k != "version"})):
+            raise ConcurrentWrite(f"version {v} of {self.location} exists")
         return state | {"version": v}
 
+    @contextlib.contextmanager
+    def _writing(self) -> Iterator[str]:
+        """The name that all files of one writer begin with, marked as in use until it is done."""
+        op = uuid.uuid4().hex[:16]
+        mark = f"{self.location}/open/{op}"
+        self._write(mark, str(int(time.time() * 1000)))
+        yield op
+        delete_path(self.spark, mark)  # after a failure the mark stays, and loses its force with age
+
     # Schema -------------------------------------------------------------------------
 
     @classmethod
     def create(cls, spark: SparkSession, location: str, schema: T.StructType | str, partition_by: str | None = None, properties: dict | None = None) -> Table:
         t = cls(spark, location)
         schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-        columns = [{"id": i, "name": f.name, "type": f.dataType.simpleString(), "required": not f.nullable, "default": None, "since": 0} for i, f in enumerate(schema, 1)]
+        columns = [{"id": i, "name": f.name, "type": f.dataType.simpleString(), "required": not f.nullable, "default": None, "fill": None, "since": 0} for i, f in enumerate(schema, 1)]
         specs = [transforms.parse(partition_by, [f.name for f in schema])] if partition_by else [[]]
         for s in specs[0]:
             name = s.pop("column")
             s["id"] = next(c["id"] for c in columns if c["name"] == name)
-        state = {"uuid": uuid.uuid4().hex, "columns": columns, "last_id": len(columns), "schema_id": 0, "specs": specs, "spec": 0, "snapshots": [], "current": None, "next_row_id": 0, "properties": properties or {}, "version": 0}
+        state = {"uuid": uuid.uuid4().hex, "columns": columns, "last_id": len(columns), "schema_id": 0, "specs": specs, "spec": 0, "snapshots": [], "current": None, "next_row_id": 0, "streams": {}, "properties": properties or {}, "version": 0}
         t._commit(state)
         return t
 
@@ -155,10 +226,14 @@ class Table:
             if any(c["name"] == name for c in s["columns"]):
                 raise ValueError(f'column "{name}" already exists')
             s["last_id"] += 1
-            s["columns"].append({"id": s["last_id"], "name": name, "type": T._parse_datatype_string(f"x {kind}")[0].dataType.simpleString(), "required": False, "default": default, "since": s["schema_id"] + 1})
+            s["columns"].append({"id": s["last_id"], "name": name, "type": T._parse_datatype_string(f"x {kind}")[0].dataType.simpleString(), "required": False, "default": default, "fill": default, "since": s["schema_id"] + 1})
 
         self._alter(change)
 
+    def set_default(self, name: str, default: object) -> None:
+        """ALTER COLUMN SET DEFAULT (null drops it): what later inserts without the column get; rows that are there stay as they are."""
+        self._alter(lambda s: self._column(s, name).__setitem__("fill", default))
+
     def drop_column(self, name: str) -> None:
         def change(s: dict) -> None:
             gone = self._column(s, name)
@@ -216,28 +291,42 @@ class Table:
 
     def manifest(self, state: dict | None = None, snapshot: dict | None = None) -> DataFrame:
         """One row per file of a snapshot."""
+        return self._entries(state, snapshot).drop("_m")
+
+    def _entries(self, state: dict | None = None, snapshot: dict | None = None, only: list[dict] | None = None) -> DataFrame:
+        """The manifests' rows, with the manifest's name in ``_m``; row ids are counted from that of the manifest."""
         state = state or self.state()
         snapshot = snapshot or self._snapshot(state)
-        if snapshot is None or snapshot["manifest"] is None:
-            return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.location}/{snapshot['manifest']}")
+        held = only if only is not None else snapshot["manifests"] if snapshot else []
+        if not held:
+            return self.spark.createDataFrame([], MANIFEST + ", _m string")
+        m = self.spark.read.schema(MANIFEST).parquet(*[f"{self.location}/manifests/{x['name']}" for x in held])
+        m = m.withColumn("_m", F.element_at(F.split("_metadata.file_path", "/"), -2))
+        base = F.create_map(*[F.lit(y) for x in held for y in (x["name"], x["first_row_id"])])
+        return m.withColumn("first_row_id", F.col("first_row_id") + base[F.col("_m")])
 
-    def plan_files(self, where: list[tuple[str, str, object]] | None = None, state: dict | None = None, snapshot: dict | None = None) -> DataFrame:
-        """The manifest rows that may hold rows meeting all of ``where``: (column, operator, value) with = <> < <= > >= in isnull notnull.
+    def plan_files(self, where: Column | str | list[tuple[str, str, object]] | None = None, state: dict | None = None, snapshot: dict | None = None) -> DataFrame:
+        """The manifest rows that may hold rows meeting ``where``: a condition, SQL text, or triples (column, operator, value) with = <> < <= > >= in isnull notnull.
 
         Bounds of columns and values of hidden partition transforms are both used.
         """
-        state = state or self.state()
-        files = self.manifest(state, snapshot)
-        for name, op, value in where or []:
-            column = self._column(state, name)
-            files = files.filter((F.col("content") == 1) | may_match(column, op, value, state["specs"]))
-        return files
+        return self._planned(state or self.state(), snapshot, where).drop("_m")
+
+    def _planned(self, state: dict, snapshot: dict | None, where: Column | str | list | None) -> DataFrame:
+        return pruning.pruned(self._entries(state, snapshot), self.schema(state), state, pruning.as_condition(where))
+
+    def _listed(self, files: DataFrame) -> list[Row]:
+        return files.select("path", "content", "schema_id", "row_count", "file_size", "_m").collect()  # one row per file that is read
 
     def _physical(self, state: dict) -> T.StructType:
         return T._parse_datatype_string(", ".join(f"c{c['id']} {c['type']}" for c in state["columns"])) if state["columns"] else T.StructType([])
 
-    def _data(self, state: dict, files: list, *, positions: bool = False) -> DataFrame | None:
+    @staticmethod
+    def _key(path: str) -> str:
+        """How position deletes name a data file: its path below ``data/``."""
+        return path.partition("/")[2]
+
+    def _data(self, state: dict, files: list[Row], *, positions: bool = False) -> DataFrame | None:
         """Rows of data files under the current schema, as they are stored. Files older than a column with a default are read apart."""
         if not files:
             return None
@@ -245,38 +334,42 @@ class Table:
         for f in files:
             missing = tuple(c["id"] for c in state["columns"] if c["default"] is not None and c["since"] > f["schema_id"])
             groups.setdefault(missing, []).append(f["path"])
+        url = F.col("_metadata.file_path")  # names are percent-encoded once in it
+        whole = F.when(F.contains(url, F.lit("%")), F.url_decode(F.replace(url, F.lit("+"), F.lit("%2B")))).otherwise(url)
         parts = []
         for missing, paths in groups.items():
             df = self.spark.read.schema(self._physical(state)).parquet(*[f"{self.location}/{p}" for p in paths])
             keep = [F.lit(c["default"]).cast(c["type"]).alias(c["name"]) if c["id"] in missing else F.col(f"c{c['id']}").alias(c["name"]) for c in state["columns"]]
-            place = [F.substring_index("_metadata.file_path", "/", -2).alias("_file"), F.col("_metadata.row_index").alias("_pos")] if positions else []
+            place = [F.substring_index(whole, "/data/", -1).alias("_file"), F.col("_metadata.row_index").alias("_pos")] if positions else []
             parts.append(df.select(*keep, *place))
         return reduce(DataFrame.unionAll, parts)
 
-    def _rows(self, state: dict, files: DataFrame, *, positions: bool = False) -> DataFrame:
-        listed = files.select("path", "content", "schema_id", "row_count").collect()  # one row per file that the scan reads
+    def _deleted(self, files: list[Row]) -> DataFrame:
+        return self.spark.read.schema(DELETES).parquet(*[f"{self.location}/{f['path']}" for f in files])
+
+    def _rows(self, state: dict, listed: list[Row], *, positions: bool = False) -> DataFrame:
+        """The live rows of listed data files; listed position deletes are taken out."""
         data, deletes = [f for f in listed if f["content"] == 0], [f for f in listed if f["content"] == 1]
         df = self._data(state, data, positions=positions or bool(deletes))
         if df is None:
             empty = self.spark.createDataFrame([], self.schema(state))
             return empty.withColumns({"_file": F.lit(""), "_pos": F.lit(0).cast("bigint")}) if positions else empty
         if deletes:
-            d = self.spark.read.schema("_file string, _pos bigint").parquet(*[f"{self.location}/{f['path']}" for f in deletes])
-            small = sum(f["row_count"] or 0 for f in deletes) <= 1_000_000
+            d = self._deleted(deletes)
+            small = sum(f["row_count"] or 0 for f in deletes) <= BROADCAST_POSITIONS
             df = df.join(F.broadcast(d) if small else d, ["_file", "_pos"], "left_anti")
-        names = [c["name"] for c in state["columns"]]
+        names = [F.col(f"`{c['name']}`") for c in state["columns"]]
         return df.select(*names, "_file", "_pos") if positions else df.select(*names)
 
-    def read(self, where: list[tuple[str, str, object]] | None = None, *, snapshot_id: int | None = None, as_of: datetime.datetime | None = None) -> DataFrame:
-        """The table's rows, now or as of a snapshot or time; ``where`` prunes files and filters rows."""
+    def read(self, where: Column | str | list[tuple[str, str, object]] | None = None, *, snapshot_id: int | None = None, as_of: datetime.datetime | None = None) -> DataFrame:
+        """The table's rows, now or as of a snapshot or time; ``where`` (see :meth:`plan_files`) prunes files and filters rows."""
         state = self.state()
         snap = self._snapshot(state, snapshot_id, as_of)
         if snap is None and (snapshot_id is not None or as_of is not None):
             return self.spark.createDataFrame([], self.schema(state))
-        df = self._rows(state, self.plan_files(where, state, snap))
-        for name, op, value in where or []:
-            df = df.filter(transforms.condition(F.col(name), op, value))
-        return df
+        df = self._rows(state, self._listed(self._planned(state, snap, where)))
+        condition = pruning.as_condition(where)
+        return df if condition is None else df.filter(condition)
 
     def snapshots(self) -> DataFrame:
         rows = [(s["id"], s["parent"], datetime.datetime.fromtimestamp(s["at"] / 1000, datetime.UTC).replace(tzinfo=None), s["operation"], s["added_files"], s["removed_files"], s["rows"]) for s in self.state()["snapshots"]]
@@ -298,174 +391,248 @@ class Table:
     def row_ids(self) -> DataFrame:
         """The rows with a stable ``_row_id``: the file's first id plus the row's place in it."""
         state = self.state()
-        first = self.manifest(state).filter("content = 0").select(F.substring_index("path", "/", -2).alias("_file"), "first_row_id")
-        df = self._rows(state, self.manifest(state), positions=True)
+        entries = self._entries(state)
+        first = entries.filter("content = 0").select(F.expr("substring(path, 6)").alias("_file"), "first_row_id")
+        df = self._rows(state, self._listed(entries), positions=True)
         return df.join(first, "_file").withColumn("_row_id", F.col("first_row_id") + F.col("_pos")).drop("_file", "_pos", "first_row_id")
 
     def changes(self, after: int, to: int | None = None) -> DataFrame:
         """Rows inserted and deleted between two snapshots, with ``_change``; only files that differ are read."""
         state = self.state()
         a, b = (self._snapshot(state, s) if s is not None else self._snapshot(state) for s in (after, to))
-        old, new = self.manifest(state, a), self.manifest(state, b)
-        deletes = old.filter("content = 1").select("path").exceptAll(new.filter("content = 1").select("path")).isEmpty() and new.filter("content = 1").select("path").exceptAll(old.filter("content = 1").select("path")).isEmpty()
-        if deletes:  # position deletes are the same on both sides: only changed data files can differ
-            old, new = (x.join(y.filter("content = 0").select("path"), "path", "left_anti") for x, y in ((old, new), (new, old)))
-        before, now = self._rows(state, old), self._rows(state, new)
+        old, new = ({f["path"]: f for f in self._listed(self._entries(state, s))} for s in (a, b))
+        if {p for p, f in old.items() if f["content"]} == {p for p, f in new.items() if f["content"]}:
+            # position deletes are the same on both sides: only changed data files can differ
+            both = {p for p in old.keys() & new.keys() if not old[p]["content"]}
+            old, new = ({p: f for p, f in x.items() if p not in both} for x in (old, new))
+        before, now = self._rows(state, [*old.values()]), self._rows(state, [*new.values()])
         return now.exceptAll(before).withColumn("_change", F.lit("insert")).unionAll(before.exceptAll(now).withColumn("_change", F.lit("delete")))
 
     # Writing ------------------------------------------------------------------------
 
-    def _write_data(self, state: dict, df: DataFrame, records_per_file: int | None = None) -> DataFrame:
-        """Write rows as data files under the current spec; returns their manifest rows."""
+    def _write_data(self, state: dict, df: DataFrame, op: str, records_per_file: int | None = None) -> dict | None:
+        """Write rows as data files under the current spec; returns their manifest, if there are any."""
         spec = state["specs"][state["spec"]]
-        by_name = {c["name"]: c for c in state["columns"]}
         for c in state["columns"]:
             if c["required"]:
                 df = df.withColumn(c["name"], F.coalesce(F.col(f"`{c['name']}`"), F.raise_error(F.lit(f"null value in column \"{c['name']}\"")).cast(c["type"])))
-        out = df.select(*[F.col(f"`{c['name']}`").cast(c["type"]).alias(f"c{c['id']}") for c in by_name.values()])
-        folder = f"data/{uuid.uuid4().hex[:12]}"
+        out = df.select(*[F.col(f"`{c['name']}`").cast(c["type"]).alias(f"c{c['id']}") for c in state["columns"]])
+        folder = f"data/{op}-{uuid.uuid4().hex[:6]}"
         parts = [f"p{i}" for i in range(len(spec))]
         if spec:
             types = {c["id"]: c["type"] for c in state["columns"]}
-            out = out.withColumns({p: transforms.value(s, F.col(f"c{s['id']}"), types[s["id"]]).cast("string") for p, s in zip(parts, spec)})
+            out = out.withColumns({p: F.concat(F.lit("="), transforms.value(s, F.col(f"c{s['id']}"), types[s["id"]]).cast("string")) for p, s in zip(parts, spec)})  # the sign tells an empty text from null
             # One file per partition value where it is small; AQE splits a hot one over tasks and joins small ones in one.
             out = out.hint("rebalance", *[F.col(p) for p in parts])
         w = out.write.option("maxRecordsPerFile", records_per_file or 0)
         if spec:
             w = w.partitionBy(*parts)
         w.parquet(f"{self.location}/{folder}")
-        return materialize(self._manifest_of(state, folder, spec, parts), "manifest")
+        return self._write_manifest(state, folder, op, parts, [s["name"] for s in spec], {c["id"]: f"c{c['id']}" for c in state["columns"]}, 0)
 
-    def _manifest_of(self, state: dict, folder: str, spec: list, parts: list[str]) -> DataFrame:
-        """Manifest rows of the files below a folder, from their footers; read by tasks, not by the driver."""
+    def _write_manifest(self, state: dict, folder: str, op: str, parts: list[str], names: list[str], columns: dict[int, str], content: int) -> dict | None:
+        """A manifest of the files below a folder, from their footers, which tasks read; None if there are no rows.
+
+        Data files are numbered in the order of their paths by the rows before them: a
+        prefix sum over one row per file of this commit.
+        """
         found = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{self.location}/{folder}").select("path", "length")
-        root, spec_id, schema_id = self.location, state["spec"], state["schema_id"]
-        ids = [c["id"] for c in state["columns"]]
+        many = len(found.inputFiles())
+        found = found.coalesce(-(-many // FOOTERS_A_TASK) or 1)
+        spec_id, schema_id = state["spec"], state["schema_id"]
+
+        def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield footer_rows(b, folder, columns, parts, names, content, spec_id, schema_id)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at = 0
             for b in batches:
-                yield footer_rows(b, root, folder, ids, parts, [s["name"] for s in spec], spec_id, schema_id)
-
-        return found.mapInPandas(run, MANIFEST)
-
-    def _publish(self, state: dict, operation: str, keep: DataFrame | None, added: DataFrame | None, retry=None) -> int:
-        """Write the new manifest and commit it as a snapshot."""
-        path = f"meta/manifest-{uuid.uuid4().hex}.parquet"
-        parts = [d.select(*[c.split()[0] for c in MANIFEST.split(", ")]) for d in (keep, added) if d is not None]
-        files = reduce(DataFrame.unionAll, parts) if parts else self.spark.createDataFrame([], MANIFEST)
-        fresh = added.filter((F.col("content") == 0) & F.col("first_row_id").isNull()).select("path", "row_count").collect() if added is not None else []
-        starts, at = [], state["next_row_id"]
-        for f in sorted(fresh, key=lambda r: r["path"]):  # one row per file of this commit
-            starts.append((f["path"], at))
-            at += f["row_count"]
-        if starts:
-            s = self.spark.createDataFrame(starts, "_p string, _first bigint")
-            files = files.join(s, F.col("path") == F.col("_p"), "left").withColumn("first_row_id", F.coalesce("first_row_id", "_first")).drop("_p", "_first")
-        files.coalesce(1).write.parquet(f"{self.location}/{path}")
-        written = self.spark.read.schema(MANIFEST).parquet(f"{self.location}/{path}")
+                before = at + b["row_count"].cumsum() - b["row_count"]
+                at += int(b["row_count"].sum())
+                yield b.assign(first_row_id=before.astype("Int64"))
+
+        rows = found.mapInPandas(footers, MANIFEST)
+        rows = rows if many <= FOOTERS_A_TASK else rows.coalesce(1)
+        if content == 0:
+            rows = rows.sortWithinPartitions("path").mapInPandas(numbered, MANIFEST)
+        return self._save_manifest(rows, op, state["next_row_id"])
+
+    def _save_manifest(self, rows: DataFrame, op: str, first_row_id: int) -> dict | None:
+        name, seen = f"{op}-{uuid.uuid4().hex[:6]}", Observation()
+        rows = rows.observe(seen, F.count("*").alias("files"), F.coalesce(F.sum("content"), F.lit(0)).alias("deletes"), F.coalesce(F.sum(F.when(F.col("content") == 0, F.col("row_count"))), F.lit(0)).alias("rows"))
+        rows.write.parquet(f"{self.location}/manifests/{name}")
+        return {"name": name, "first_row_id": first_row_id} | seen.get if seen.get["files"] else None
+
+    def _publish(self, state: dict, operation: str, op: str, added: list[dict], rows: int, removed: list[Row] | None = None, *, stream: tuple[str, int] | None = None) -> int:
+        """Commit a snapshot: manifests ``added``, files ``removed`` (all if None), ``rows`` more or fewer."""
         before = self._snapshot(state)
-        old = self.manifest(state) if before else self.spark.createDataFrame([], MANIFEST)
-        held = F.when(F.col("content") == 0, F.col("row_count")).otherwise(-F.col("row_count"))
-        both = written.select("path", held.alias("r"), F.lit(1).alias("n")).unionAll(old.select("path", F.lit(0).cast("bigint").alias("r"), F.lit(-1).alias("n")))
-        each = both.groupBy("path").agg(F.sum("r").alias("r"), F.sum("n").alias("n"))
-        rows, more, less = each.agg(F.coalesce(F.sum("r"), F.lit(0)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == -1)).first()
+        held = before["manifests"] if before else []
+        gone = sum(m["files"] for m in held) if removed is None else len(removed)
+        if removed is None:
+            held = []
+        elif removed:
+            per: dict[str, int] = {}
+            for f in removed:
+                per[f["_m"]] = per.get(f["_m"], 0) + 1
+            touched = [m for m in held if m["name"] in per]
+            held = [m for m in held if m["name"] not in per]
+            left = [m for m in touched if per[m["name"]] < m["files"]]  # of the others nothing is left
+            if left:
+                out = self.spark.createDataFrame([(f["path"],) for f in removed], "path string")
+                rest = self._entries(state, only=left).join(F.broadcast(out) if len(removed) <= 100_000 else out, "path", "left_anti")
+                held = [*held, *filter(None, [self._save_manifest(self._plain(rest), op, 0)])]
+        added = [m for m in added if m is not None]
+        next_id = state["next_row_id"]
+        for m in added:
+            m["first_row_id"] = next_id
+            next_id += m["rows"]
+        kept = [*held, *added]
+        if len(kept) > state["properties"].get("merge_manifests", MERGE_MANIFESTS):
+            kept = [m for m in [self._save_manifest(self._plain(self._entries(state, only=kept)), op, 0)] if m]
         snap = {
-            "id": (max((s["id"] for s in state["snapshots"]), default=0)) + 1, "parent": state["current"], "at": int(time.time() * 1000), "operation": operation, "manifest": path, "rows": rows,
-            "added_files": more, "removed_files": less,
+            "id": max((s["id"] for s in state["snapshots"]), default=0) + 1, "parent": state["current"], "at": int(time.time() * 1000), "operation": operation, "manifests": kept,
+            "rows": rows + (before["rows"] if before and removed is not None else 0), "added_files": sum(m["files"] for m in added), "removed_files": gone,
         }
-        state = state | {"snapshots": [*state["snapshots"], snap], "current": snap["id"], "next_row_id": at}
-        for _ in range(5):
-            try:
-                self._commit(state)
-                return snap["id"]
-            except ConcurrentWrite:
-                if retry is None:
-                    raise
-                return retry()
+        streams = state["streams"] | ({stream[0]: stream[1]} if stream else {})
+        self._commit(state | {"snapshots": [*state["snapshots"], snap], "current": snap["id"], "next_row_id": next_id, "streams": streams})
         return snap["id"]
 
-    def append(self, df: DataFrame, *, records_per_file: int | None = None) -> int:
-        """INSERT: add rows; columns are matched by name, missing ones are null. Returns the snapshot id. A lost race is retried."""
+    @staticmethod
+    def _plain(entries: DataFrame) -> DataFrame:
+        return entries.select(*[c.split()[0] for c in MANIFEST.split(", ")]).coalesce(1)
+
+    def append(self, df: DataFrame, *, records_per_file: int | None = None, stream: tuple[str, int] | None = None) -> int:
+        """INSERT: add rows; columns are matched by name, missing ones get their default. Returns the snapshot id. A lost race is retried.
+
+        ``stream`` is (name of a stream, number of its batch): a batch that is not above
+        the last one committed is skipped. The number stands in the same document as the
+        snapshot, so there is no moment at which one is there without the other.
+        """
         state = self.state()
         unknown = [c for c in df.columns if c not in {x["name"] for x in state["columns"]}]
         if unknown:
             raise ValueError(f"no such columns: {unknown}")
-        df = df.withColumns({c["name"]: F.lit(c["default"]).cast(c["type"]) for c in state["columns"] if c["name"] not in df.columns})
-        added = self._write_data(state, df, records_per_file)
-
-        def again() -> int:
-            latest = self.state()
-            return self._publish(latest, "append", self.manifest(latest), added, again)
-
-        return self._publish(state, "append", self.manifest(state), added, again)
+        if stream and stream[1] <= state["streams"].get(stream[0], -1):
+            return state["current"]
+        df = df.withColumns({c["name"]: F.lit(c["fill"]).cast(c["type"]) for c in state["columns"] if c["name"] not in df.columns})
+        with self._writing() as op:
+            added = self._write_data(state, df, op, records_per_file)
+            for _ in range(20):
+                try:
+                    return self._publish(state, "append", op, [added], added["rows"] if added else 0, [], stream=stream)
+                except ConcurrentWrite:
+                    time.sleep(0.05)
+                    state = self.state()
+                    if stream and stream[1] <= state["streams"].get(stream[0], -1):
+                        return state["current"]
+        raise ConcurrentWrite(self.location)
 
     def overwrite(self, df: DataFrame) -> int:
         state = self.state()
-        return self._publish(state, "overwrite", None, self._write_data(state, df))
+        with self._writing() as op:
+            added = self._write_data(state, df, op)
+            return self._publish(state, "overwrite", op, [added], added["rows"] if added else 0)
 
     def truncate(self) -> int:
-        return self._publish(self.state(), "truncate", None, None)
+        return self._publish(self.state(), "truncate", "", [], 0)
 
-    def delete(self, condition: Column, *, where: list | None = None, mode: str = "auto", returning: bool = False) -> DataFrame | int:
-        """DELETE. ``where`` (see :meth:`plan_files`) must follow from ``condition`` and only prunes files.
+    def delete(self, condition: Column | str, *, where: Column | str | list | None = None, mode: str = "auto", returning: bool = False) -> DataFrame | int:
+        """DELETE. Files are pruned by the condition itself; ``where`` may add what follows from it but cannot be seen in it.
 
         Files of which every row goes are dropped by metadata alone. Of the others, mode
         ``cow`` rewrites, ``mor`` writes position deletes, and ``auto`` rewrites where more
-        than 20 percent of the rows of the touched files go. Returns the snapshot id, or with
-        ``returning`` the deleted rows.
+        than 20 percent of the rows of the touched files go. Returns the snapshot id (the
+        current one if no row is hit), or with ``returning`` the deleted rows.
         """
-        return self._change(condition, None, where, mode, returning)
+        c = pruning.as_condition(condition)
+        return self._change("delete", lambda rows: rows.filter(c), self._narrow(c, where), None, mode, returning)
 
-    def update(self, assignments: dict[str, Column], condition: Column, *, where: list | None = None, mode: str = "auto", returning: bool = False) -> DataFrame | int:
+    def update(self, assignments: dict[str, Column], condition: Column | str, *, where: Column | str | list | None = None, mode: str = "auto", returning: bool = False) -> DataFrame | int:
         """UPDATE: the hit rows are deleted and written anew. Expressions see the old values."""
-        return self._change(condition, assignments, where, mode, returning)
+        c = pruning.as_condition(condition)
+        return self._change("update", lambda rows: rows.filter(c), self._narrow(c, where), assignments, mode, returning)
+
+    def delete_using(self, source: DataFrame, on: Column | str, *, where: Column | str | list | None = None, mode: str = "auto", returning: bool = False) -> DataFrame | int:
+        """DELETE USING: rows that ``on`` joins with at least one row of ``source``; it names columns as ``t.column`` and ``s.column``."""
+        on = pruning.as_condition(on)
+        return self._change("delete", lambda rows: rows.alias("t").join(source.alias("s"), on, "left_semi"), where, None, mode, returning)
+
+    def update_from(self, source: DataFrame, assignments: dict[str, Column], on: Column | str, *, where: Column | str | list | None = None, mode: str = "auto", returning: bool = False) -> DataFrame | int:
+        """UPDATE ... FROM: rows that ``on`` joins with ``source`` take the assigned values; both name columns as ``t.column`` and ``s.column``.
+
+        Of several source rows that join with one row, one is used; which one is not said.
+        """
+        on, names = pruning.as_condition(on), self.schema().names
+        unknown = [n for n in assignments if n not in names]
+        if unknown:
+            raise ValueError(f"no such columns: {unknown}")
+
+        def pick(rows: DataFrame) -> DataFrame:
+            joined = rows.alias("t").join(source.alias("s"), on)
+            new = [(assignments[n] if n in assignments else F.col(f"t.`{n}`")).alias(n) for n in names]
+            return joined.select(*new, F.col("t._file").alias("_file"), F.col("t._pos").alias("_pos")).dropDuplicates(["_file", "_pos"])
 
-    def _change(self, condition: Column | DataFrame, assignments: dict[str, Column] | None, where: list | None, mode: str, returning: bool, join_on: str | None = None):
+        return self._change("update", pick, where, {}, mode, returning)
+
+    @staticmethod
+    def _narrow(condition: Column, where: Column | str | list | None) -> Column:
+        more = pruning.as_condition(where)
+        return condition if more is None else condition & more
+
+    def _change(self, operation: str, pick: Callable[[DataFrame], DataFrame], where: Column | str | list | None, assignments: dict[str, Column] | None, mode: str, returning: bool) -> DataFrame | int:
         state = self.state()
-        rows = self._rows(state, self.plan_files(where, state), positions=True)
-        hit = materialize(rows.filter(condition) if join_on is None else rows.join(condition, F.col(join_on) == F.col("_key"), "left_semi"), "hit")
+        for n in assignments or {}:
+            self._column(state, n)
         names = [c["name"] for c in state["columns"]]
-        counts = hit.groupBy("_file").agg(F.count("*").alias("_n"))
-        m = self.manifest(state).withColumn("_file", F.substring_index("path", "/", -2))
-        touched = self._live_counts(state, m.filter("content = 0").join(counts, "_file")).select("path", "_file", "row_count", "_n", "_live").collect()  # one row per file that is hit
-        whole, partial = [f for f in touched if f["_n"] >= f["_live"]], [f for f in touched if f["_n"] < f["_live"]]
-        some = self.spark.createDataFrame([(f["path"], f["_file"]) for f in partial], "path string, _file string")
-        none = self.spark.createDataFrame([(f["path"],) for f in whole], "path string")
-        rewrite = mode == "cow" or (mode == "auto" and sum(f["_n"] for f in partial) * 100 > COPY_ON_WRITE_PERCENT * sum(f["row_count"] for f in partial))
-        added = []
-        keep = m.join(none, "path", "left_anti").drop("_file")
-        if partial and rewrite:
-            rows = self._rows(state, m.join(some.select("path"), "path", "left_semi").unionAll(m.filter("content = 1").select("path", *[c for c in m.columns if c != "path"])), positions=True)
-            left = rows.join(hit.select("_file", "_pos"), ["_file", "_pos"], "left_anti").select(*names)
-            added.append(self._write_data(state, left))
-            keep = keep.join(some.select("path"), "path", "left_anti")
-        elif partial:
-            places = hit.join(some.select("_file"), "_file", "left_semi").select("_file", "_pos")
-            folder = f"deletes/{uuid.uuid4().hex[:12]}"
-            places.repartition(F.col("_file")).sortWithinPartitions("_file", "_pos").write.parquet(f"{self.location}/{folder}")
-            found = self._manifest_of(state, folder, [], [])
-            added.append(materialize(found.withColumn("content", F.lit(1)).filter("row_count > 0"), "manifest"))
-        if assignments is not None:
-            new = hit.select(*[(assignments[n] if n in assignments else F.col(f"`{n}`")).alias(n) for n in names])
-            added.append(self._write_data(state, new))
-        more = reduce(DataFrame.unionAll, added) if added else None
-        snap = self._publish(state, "update" if assignments is not None else "delete", keep, more)
-        if returning:
-            return (hit if assignments is None else hit.select(*[(assignments[n] if n in assignments else F.col(f"`{n}`")).alias(n) for n in names])).drop("_file", "_pos")
-        return snap
-
-    def _live_counts(self, state: dict, touched: DataFrame) -> DataFrame:
-        """Adds ``_live``: rows of each file that no position delete has taken yet."""
-        deletes = [r["path"] for r in self.manifest(state).filter("content = 1").select("path").collect()]
+        listed = self._listed(self._planned(state, None, where))
+        deletes = [f for f in listed if f["content"] == 1]
+        found = pick(self._rows(state, listed, positions=True))
+        if assignments:
+            found = found.select(*[(assignments[n] if n in assignments else F.col(f"`{n}`")).alias(n) for n in names], "_file", "_pos")
+        whole_rows = returning or assignments is not None
+        hit = materialize(found if whole_rows else found.select("_file", "_pos"), "hit")
+        count = {r["_file"]: r["count"] for r in hit.groupBy("_file").count().collect()}  # one row per file that is hit
+        if not count:
+            return hit.drop("_file", "_pos") if returning else state["current"]
+        touched = [f for f in listed if f["content"] == 0 and self._key(f["path"]) in count]
+        n = lambda f: count[self._key(f["path"])]
+        before = sum(f["row_count"] for f in deletes)  # all of them may lie in one file
+        dead = self._dead(deletes, touched) if any(n(f) >= f["row_count"] - before for f in touched) else {}
+        partial = [f for f in touched if n(f) < f["row_count"] - dead.get(self._key(f["path"]), 0)]
+        gone = [f for f in touched if f not in partial]
+        total = sum(count.values())
+        rewrite = mode == "cow" or (mode == "auto" and sum(map(n, partial)) * 100 > COPY_ON_WRITE_PERCENT * sum(f["row_count"] for f in partial))
+        with self._writing() as op:
+            new, added = [], []
+            if assignments is not None:
+                new.append(hit.select(*[F.col(f"`{x}`") for x in names]))
+            places = hit.select("_file", "_pos")
+            if partial and rewrite:
+                rows = self._rows(state, [*partial, *deletes], positions=True)
+                left = rows.join(F.broadcast(places) if total <= BROADCAST_POSITIONS else places, ["_file", "_pos"], "left_anti")
+                new.append(left.select(*[F.col(f"`{x}`") for x in names]))
+                gone = touched
+            elif partial:
+                if gone:
+                    some = self.spark.createDataFrame([(self._key(f["path"]),) for f in partial], "_file string")
+                    places = places.join(F.broadcast(some) if len(partial) <= 100_000 else some, "_file", "left_semi")
+                folder = f"deletes/{op}"
+                placed = places.coalesce(1) if total <= BROADCAST_POSITIONS else places.repartition(F.col("_file"))
+                placed.sortWithinPartitions("_file", "_pos").write.parquet(f"{self.location}/{folder}")
+                added.append(self._write_manifest(state, folder, op, [], [], {0: "_file"}, 1))
+            if new:
+                added.append(self._write_data(state, reduce(DataFrame.unionAll, new), op))
+            snap = self._publish(state, operation, op, added, 0 if assignments is not None else -total, gone)
+        return hit.drop("_file", "_pos") if returning else snap
+
+    def _dead(self, deletes: list[Row], touched: list[Row]) -> dict[str, int]:
+        """How many rows of the touched files position deletes have taken already."""
         if not deletes:
-            return touched.withColumn("_live", F.col("row_count"))
-        d = self.spark.read.schema("_file string, _pos bigint").parquet(*[f"{self.location}/{p}" for p in deletes]).distinct().groupBy(F.col("_file").alias("_df")).agg(F.count("*").alias("_dead"))
-        return touched.join(d, F.col("_file") == F.col("_df"), "left").withColumn("_live", F.col("row_count") - F.coalesce("_dead", F.lit(0))).drop("_df", "_dead")
-
-    def delete_matching(self, keys: DataFrame, column: str, *, mode: str = "auto") -> int:
-        """DELETE USING: rows whose ``column`` is among ``keys`` (one column)."""
-        wanted = keys.select(F.col(keys.columns[0]).alias("_key")).distinct()
-        return self._change(wanted, None, None, mode, False, join_on=column)
+            return {}
+        of = self.spark.createDataFrame([(self._key(f["path"]),) for f in touched], "_file string")
+        d = self._deleted(deletes).join(F.broadcast(of) if len(touched) <= 100_000 else of, "_file", "left_semi")  # no position is ever deleted twice
+        return {r["_file"]: r["count"] for r in d.groupBy("_file").count().collect()}  # one row per file that is hit
 
     def merge(self, *_: object, **__: object) -> None:
         raise NotImplementedError("MERGE is not supported on lake tables")
@@ -473,29 +640,58 @@ class Table:
     # Maintenance --------------------------------------------------------------------
 
     def compact(self, *, target: int = TARGET_BYTES, min_files: int = 2) -> int | None:
-        """VACUUM: per partition, rewrite small files and files with position deletes into files of about ``target`` bytes."""
+        """VACUUM: per partition, rewrite small files into files of about ``target`` bytes, and files that position deletes name without their dead rows.
+
+        Other files stay as they are. Position deletes are gone afterwards, as every file
+        that they name is written anew. A group of small files that would not become fewer
+        is left alone. Returns the snapshot id, or None if there was nothing to do.
+        """
         state = self.state()
-        m = self.manifest(state)
-        deletes = m.filter("content = 1")
-        data = m.filter("content = 0")
-        dirty = not deletes.isEmpty()
-        key = F.to_json("partition")
-        small = data.filter(F.col("file_size") < target * 3 // 4) if not dirty else data
-        groups = small.groupBy("spec_id", key.alias("_k")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= (1 if dirty else min_files))
-        chosen = small.join(groups.select(F.col("spec_id").alias("_s"), "_k"), (F.col("spec_id") == F.col("_s")) & (key == F.col("_k")), "left_semi")
-        if chosen.isEmpty():
+        entries = self._entries(state)
+        deletes = self._listed(entries.filter("content = 1"))
+        data = entries.filter("content = 0").withColumn("_k", F.to_json("partition")).withColumn("_file", F.expr("substring(path, 6)"))
+        if deletes:
+            named = self._deleted(deletes).select("_file").distinct().withColumn("_dirty", F.lit(True))
+            data = data.join(named, "_file", "left").withColumn("_dirty", F.coalesce("_dirty", F.lit(False)))
+        else:
+            data = data.withColumn("_dirty", F.lit(False))
+        small = data.filter(F.col("_dirty") | (F.col("file_size") < target * 3 // 4))
+        groups = small.groupBy(F.col("spec_id").alias("_s"), F.col("_k").alias("_g")).agg(F.count("*").alias("_n"), F.sum("file_size").alias("_b"))
+        groups = groups.withColumn("_merge", (F.col("_n") >= min_files) & (F.ceil(F.col("_b") / target) < F.col("_n")))
+        j = small.join(groups, (F.col("spec_id") == F.col("_s")) & (F.col("_k") == F.col("_g"))).filter(F.col("_dirty") | F.col("_merge"))
+        chosen = self._listed(j)
+        if not chosen and not deletes:
             return None
-        size, rows = chosen.agg(F.sum("file_size"), F.sum("row_count")).first()
-        df = self._rows(state, chosen.unionAll(deletes))
-        outputs = max(1, -(-size // target))
-        added = self._write_data(state, df.coalesce(outputs) if not state["specs"][state["spec"]] and outputs < df.rdd.getNumPartitions() else df, records_per_file=max(1, rows * target // max(size, 1)))
-        keep = m.join(chosen.select("path"), "path", "left_anti")
-        return self._publish(state, "compact", keep.filter("content = 0") if dirty else keep, added)
+        with self._writing() as op:
+            added = None
+            if chosen:
+                size, rows = sum(f["file_size"] for f in chosen), sum(f["row_count"] for f in chosen)
+                # Rebalanced pieces should be as large as the outputs; the setting is that of a session of its own.
+                t = Table(self._session({"spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target)}), self.location)
+                df = t._rows(state, [*chosen, *deletes])
+                if not state["specs"][state["spec"]]:
+                    df = df.coalesce(max(1, -(-size // target)))
+                added = t._write_data(state, df, op, max(1, rows * target // max(size, 1)))
+            return self._publish(state, "compact", op, [added], 0, [*chosen, *deletes])
+
+    def _session(self, settings: dict[str, str]) -> SparkSession:
+        """A session like this one with other settings."""
+        s = self.spark.newSession()
+        for k, v in (self.spark.conf.getAll | settings).items():
+            if k.startswith("spark.sql.") and s.conf.isModifiable(k):
+                s.conf.set(k, v)
+        return s
 
     def rewrite_manifest(self) -> int:
         """One manifest file, in the order of partitions."""
         state = self.state()
-        return self._publish(state, "manifest", self.manifest(state).orderBy(F.to_json("partition"), "path"), None)
+        before = self._snapshot(state)
+        with self._writing() as op:
+            m = self._save_manifest(self._plain(self._entries(state)).sortWithinPartitions(F.to_json("partition"), "path"), op, 0) if before else None
+            held = [m] if m else []
+            snap = {"id": max((s["id"] for s in state["snapshots"]), default=0) + 1, "parent": state["current"], "at": int(time.time() * 1000), "operation": "manifest", "manifests": held, "rows": before["rows"] if before else 0, "added_files": 0, "removed_files": 0}
+            self._commit(state | {"snapshots": [*state["snapshots"], snap], "current": snap["id"]})
+        return snap["id"]
 
     def expire_snapshots(self, keep_last: int = 1, older_than_ms: int | None = None) -> int:
         """Forget old snapshots (never the current one); returns how many went. Files are removed by :meth:`remove_orphans`."""
@@ -507,30 +703,59 @@ class Table:
             self._commit(state | {"snapshots": kept})
         return gone
 
+    def _manifests_in_use(self) -> list[dict]:
+        """Manifests of all kept snapshots, and of versions beyond this one, which a transaction under way may have made."""
+        states = [self.state(), *[self.state(v) for v in range(self.version() + 1, Table.version(self) + 1)]]
+        return [*{m["name"]: m for st in states for s in st["snapshots"] for m in s["manifests"]}.values()]
+
     def referenced_files(self) -> DataFrame:
         """Paths that any kept snapshot names."""
-        state = self.state()
-        parts = [self.manifest(state, s).select("path") for s in state["snapshots"]]
-        return reduce(DataFrame.unionAll, parts).distinct() if parts else self.spark.createDataFrame([], "path string")
+        return self._entries(only=self._manifests_in_use()).select("path").distinct()
 
-    def remove_orphans(self, older_than_ms: int | None = None) -> int:
-        """Delete files that no kept snapshot names; returns how many. Files newer than ``older_than_ms`` may belong to a commit under way and stay."""
+    def _open_writers(self, age_ms: int) -> list[str]:
+        now, out = time.time() * 1000, []
+        for name in self._names("open"):
+            try:
+                if now - int(self._read(f"{self.location}/open/{name}")) < age_ms:
+                    out.append(name)
+            except (Py4JJavaError, ValueError):  # gone meanwhile, or just being made
+                out.append(name)
+        return out
+
+    def remove_orphans(self, older_than_ms: int | None = None, *, open_ms: int = OPEN_MS) -> int:
+        """Delete files that no kept snapshot names; returns how many.
+
+        Files of writers at work stay: those whose mark is younger than ``open_ms``. Files
+        newer than ``older_than_ms`` (milliseconds since 1970) stay too if that is given. The
+        order of looking (files, marks, snapshots) leaves no gap: a writer not yet seen among
+        the marks has no listed file, one no longer seen has its snapshot.
+        """
         have = []
-        for folder in ("data", "deletes"):
+        for folder in ("data", "deletes", "manifests"):
             if self._names(folder):
-                have.append(self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{self.location}/{folder}").select("path", "modificationTime", F.regexp_extract("path", f"({folder}/.*)$", 1).alias("rel")))
+                have.append(self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{self.location}/{folder}").select("path", "modificationTime", F.concat(F.lit(f"{folder}/"), F.substring_index("path", f"/{folder}/", -1)).alias("rel")))
         if not have:
             return 0
         files = reduce(DataFrame.unionAll, have)
+        busy = self._open_writers(open_ms)
+        used = self._manifests_in_use()
+        if busy:
+            files = files.filter(~F.substring(F.split("rel", "/")[1], 1, 16).isin(busy))
         if older_than_ms is not None:
             files = files.filter(F.unix_millis("modificationTime") < older_than_ms)
-        known = self.referenced_files().withColumnRenamed("path", "_known")
-        orphans = files.join(known, F.col("rel") == F.col("_known"), "left_anti").select("path")
-        n = 0
-        for r in orphans.toLocalIterator():
-            delete_path(self.spark, r["path"])
-            n += 1
-        return n
+        known = self._entries(only=used).select(F.col("path").alias("_known")).distinct()
+        orphans = files.join(known, F.col("rel") == F.col("_known"), "left_anti").filter(~F.col("rel").startswith("manifests/") | ~F.split("rel", "/")[1].isin([m["name"] for m in used]))
+
+        def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for path in b["path"]:
+                    fs, p = _open(path)
+                    for one in (p, "/.".join(p.rsplit("/", 1)) + ".crc"):  # the second is the checksum that local folders hold
+                        with contextlib.suppress(FileNotFoundError, OSError):
+                            fs.delete_file(one)
+                yield pd.DataFrame({"n": [len(b)]})
+
+        return orphans.select("path").mapInPandas(remove, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def vacuum(self, *, keep_snapshots: int = 1, orphans_older_than_ms: int | None = None) -> dict[str, int]:
         """Compaction, snapshot expiry and orphan removal in one call."""

@@ -31,7 +31,7 @@ def test_of_two_writers_one_wins_and_appends_are_retried(spark, table):
     state = table.state()
     table.append(spark.createDataFrame([(100, "x")], "id int, s string"))
     with pytest.raises(ConcurrentWrite):
-        table._publish(state, "overwrite", None, None)
+        table._publish(state, "overwrite", "", [], 0)
     assert table.read().count() == 21
     real, calls = table.state, []
 
@@ -195,3 +195,130 @@ def test_cursor(spark):
     from lakeloom.operators.relational import cursor
 
     assert [len(b) for b in cursor(spark.range(10), 4)] == [4, 4, 2] and list(cursor(spark.range(0))) == []
+
+
+def test_file_keys_are_unique_under_two_partition_columns_and_odd_values(spark, tmp_path):
+    odd = ["a b", "x:y/z", "50%", "100%25", "ü+ü", "", None, "{q}", "data", "a=b", "'"]
+    df = spark.createDataFrame([(i, odd[i % 11], i % 3) for i in range(330)], "id int, k string, g int")
+    for mode in ("mor", "cow"):
+        t = Table.create(spark, f"file://{tmp_path}/data/{mode}", df.schema, "k, g")
+        t.append(df.coalesce(1))
+        keys = [t._key(r["path"]) for r in t.files().collect()]
+        assert len(keys) == len(set(keys)) >= 33
+        t.delete(F.col("id") == 0, mode=mode)
+        t.delete("id between 11 and 15", mode=mode)
+        t.update({"g": F.lit(9)}, F.col("id") == 20, mode=mode)
+        want = sorted((i, 9 if i == 20 else i % 3) for i in range(330) if i != 0 and not 11 <= i <= 15)
+        assert rows(t.read().select("id", "g")) == want, mode
+        ids = [r["_row_id"] for r in t.row_ids().collect()]
+        assert len(ids) == len(set(ids)) == 324
+        assert t.snapshots().orderBy("snapshot_id").collect()[-1]["total_rows"] == 324
+        t.compact()
+        assert rows(t.read().select("id", "g")) == want and t.files().filter("content = 1").count() == 0
+        assert rows(t.read([("k", "=", "50%")]).select("id")) == [(i,) for i in range(330) if i % 11 == 2 and not 11 <= i <= 15]
+
+
+def test_conditions_prune_and_lose_no_row(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else i * 3 - 50, f"k{i % 5}", i / 4, None) for i in range(80)], "id int, v int, k string, f double, d date").withColumn("d", F.date_add(F.lit("2024-01-01").cast("date"), F.col("id")))
+    conditions = [
+        "v > 20", "NOT v > 20", "v BETWEEN 3 AND 9 OR k LIKE 'k4%'", "v IN (1, 4, 7)", "v NOT IN (1, 4, 7)", "NOT (v IS NULL OR id < 5)", "v <=> 4", "NOT v <=> 4", "30 >= v", "f < 3", "CAST(id AS bigint) = 70L",
+        "d = DATE '2024-02-03'", "d > DATE '2024-01-31' - INTERVAL 3 DAYS AND d < TIMESTAMP '2024-02-10 12:00:00'", "v + 1 = 5", "v = id", "length(k) = 2 AND id = 9", "v = NULL", "id IN (0,1,2,3,4,5,6,7,8,9,10,11,12)", "rand() < 2 AND id = 3", "true", "false",
+    ]
+    for n, spec in enumerate([None, "k, bucket(3, v)", "truncate(10, v), truncate(1, k)", "bucket(5, d)", "month(d)"]):
+        t = Table.create(spark, f"file://{tmp_path}/c{n}", df.schema, spec)
+        t.append(df.repartitionByRange(6, "id"))
+        for c in conditions:
+            assert rows(t.read(c).select("id")) == rows(df.filter(c).select("id")), (spec, c)
+    t = Table(spark, f"file://{tmp_path}/c0")
+    files = t.files().count()
+    assert all(t.plan_files(c).count() < files for c in ("id < 10", "id BETWEEN 3 AND 9", "NOT id > 9", "d < DATE '2024-01-05'", "CAST(id AS bigint) = 70L", "id IN (1, 2) AND length(k) = 2"))
+    assert Table(spark, f"file://{tmp_path}/c4").plan_files("d > DATE '2024-03-02'").count() == 1 and Table(spark, f"file://{tmp_path}/c3").plan_files("d = DATE '2024-02-03'").count() <= 20
+
+
+def test_vacuum_beside_an_open_write_and_a_dead_one(spark, table):
+    state = table.state()
+    with table._writing() as op:
+        added = table._write_data(state, spark.createDataFrame([(500, "late")], "id int, s string"), op)
+        assert table.remove_orphans() == 0
+        table.vacuum()
+        table._publish(table.state(), "append", op, [added], 1, [])
+    assert table.read().filter("id = 500").count() == 1 and table._names("open") == []
+    with pytest.raises(KeyError), table._writing() as op:  # a writer that dies
+        table._write_data(table.state(), spark.createDataFrame([(501, "dead")], "id int, s string"), op)
+        raise KeyError
+    table.vacuum()
+    assert table._names("open") and table.remove_orphans() == 0
+    assert table.remove_orphans(open_ms=0) >= 2 and table.read().count() == 21
+
+
+def test_a_version_is_published_whole_or_not_at_all(spark, table, monkeypatch):
+    import os
+
+    def crash(*_):
+        raise OSError("power cut")
+
+    before = table.version()
+    monkeypatch.setattr(os, "link", crash)
+    with pytest.raises(OSError):
+        table.append(spark.createDataFrame([(1, "x")], "id int, s string"))
+    monkeypatch.undo()
+    assert table.version() == before and table.read().count() == 20
+    assert not table._publish_file(f"{table.location}/meta/v{before:06d}.json", "{}") and table.state()["version"] == before
+
+
+def test_a_stream_that_crashes_anywhere_gives_each_row_once(spark, table, tmp_path, monkeypatch):
+    from lakeloom.streaming import ingest
+
+    source = f"file://{tmp_path}/in"
+    spark.createDataFrame([(i, "s") for i in range(1000, 1010)], "id int, s string").repartition(2).write.parquet(source)
+    run = lambda: ingest.append_stream(ingest.stream_files(spark, source, "id int, s string"), table, f"file://{tmp_path}/cp").awaitTermination()
+    real_commit, real_write = Table._commit, Table._write_data
+
+    def after_commit(self, state):
+        real_commit(self, state)
+        raise RuntimeError("crash after the commit")
+
+    def before_commit(self, *a, **k):
+        real_write(self, *a, **k)
+        raise RuntimeError("crash before the commit")
+
+    for place, broken in (("_write_data", before_commit), ("_commit", after_commit), ("_commit", after_commit)):
+        monkeypatch.setattr(Table, place, broken)
+        with pytest.raises(Exception, match="crash"):
+            run()
+        monkeypatch.undo()
+    run()
+    run()
+    assert table.read().filter("id >= 1000").count() == 10 == table.read().filter("id >= 1000").distinct().count()
+
+
+def test_update_from_and_delete_using(spark, table):
+    s = spark.createDataFrame([(1, "one"), (1, "uno"), (2, "two"), (99, "x"), (None, "y")], "id int, s string")
+    assert rows(table.update_from(s, {"s": F.col("s.s")}, "t.id = s.id", returning=True))[1] == (2, "two")
+    got = dict(rows(table.read()))
+    assert got[1] in ("one", "uno") and got[2] == "two" and len(got) == 20
+    assert rows(table.delete_using(s, "t.id < s.id AND s.id < 3", returning=True)) == [(0, "v0"), (1, got[1])]
+    assert table.read().count() == 18
+    with pytest.raises(ValueError):
+        table.update_from(s, {"zz": F.lit(1)}, "t.id = s.id")
+
+
+def test_a_delete_takes_few_jobs(spark, table):
+    table.delete("id = 3", mode="mor")
+    spark.sparkContext.setJobGroup("few-jobs", "delete")
+    table.delete("id = 4", mode="mor")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert jobs < 10 and table.read().count() == 18
+
+
+def test_compaction_leaves_untouched_files_alone(spark, tmp_path):
+    df = spark.createDataFrame([(i, i % 4) for i in range(400)], "id int, g int")
+    t = Table.create(spark, f"file://{tmp_path}/c", df.schema, "g")
+    t.append(df)
+    before = {r["path"]: r["partition"]["g"] for r in t.files().collect()}
+    t.delete("id = 6", mode="mor")
+    t.compact()
+    after = {r["path"] for r in t.files().collect()}
+    assert {g for p, g in before.items() if p not in after} == {"2"} and t.read().count() == 399
+    assert t.compact() is None
