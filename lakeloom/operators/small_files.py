@@ -9,6 +9,7 @@ totals are validated before an output is published by a rename.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -60,24 +61,36 @@ def consolidation_plan(candidates: DataFrame, *, target: int = TARGET_BYTES) ->
 
 
 def consolidate_parquet(plan: DataFrame, directory: str) -> DataFrame:
-    """Copy the files of each ``output`` group (columns: output, path) into one new file in ``directory``.
-
-    Returns output, path, files, blocks, rows, bytes, problem: one row per output file.
-    Files whose schema differs from the first of the group go to a further output of the
-    same group, so nothing is lost. A file that cannot be read as Parquet is named in
-    ``problem`` and left where it is. One task makes one output at a time and streams the
-    blocks, so memory is that of a footer. Outputs are written under a temporary name and
-    renamed after validation; a repeated task makes the same file again.
+    """Copy the files of each output of a plan into one new file in ``directory``.
+
+    Takes the columns of :func:`consolidation_plan` (table_name, partition, output, path,
+    row_count). Returns table_name, partition, output, path, files, blocks, rows, bytes,
+    problem: one row per output file, and one per file that was left where it is.
+
+    Validated are schemas (files whose schema differs from the first of the output go to a
+    further file of the same output, so nothing is lost), the number of blocks and of rows
+    of each output against its inputs, and each file's rows against the catalog's
+    ``row_count`` where that is known. A file that cannot be read as Parquet, or whose
+    rows the catalog counts otherwise, is named in ``problem`` and not copied. One task
+    makes one output at a time and streams the blocks, so memory is that of a footer.
+    Outputs are written under a temporary name and renamed after validation; a repeated
+    task makes the same file again. Files of different tables or partitions never meet; a
+    plan that lacks either column is refused. A null table name is a table of its own.
     """
-    schema = "output bigint, path string, files int, blocks int, rows bigint, bytes bigint, problem string"
+    if lacking := [c for c in ("table_name", "partition", "output", "path", "row_count") if c not in plan.columns]:
+        raise ValueError(f"not a consolidation plan, it lacks {lacking}")
+    schema = "table_name string, partition string, output bigint, path string, files int, blocks int, rows bigint, bytes bigint, problem string"
     run_id = uuid.uuid4().hex[:12]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        output = int(pdf["output"].iloc[0])
-        made = parquet_blocks.merge_files(sorted(set(pdf["path"])), directory, f"part-{output:06d}-{run_id}")
-        return pd.DataFrame([(output, *m) for m in made], columns=[c.split()[0] for c in schema.split(", ")]).astype({"output": "int64"})
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        name, part, output = (None if x is None or x != x else x for x in key)
+        known = {p: None if n != n or n is None else int(n) for p, n in zip(pdf["path"], pdf["row_count"])}
+        group = hashlib.sha256(repr((name, part)).encode()).hexdigest()[:16]
+        made = parquet_blocks.merge_files(sorted(known), directory, f"part-{group}-{int(output):06d}-{run_id}", known)
+        return pd.DataFrame([(name, part, output, *m) for m in made], columns=[c.split()[0] for c in schema.split(", ")]).astype({"output": "int64"})
 
-    return plan.select(F.col("output").cast("bigint").alias("output"), "path").groupBy("output").applyInPandas(one, schema)
+    kept = plan.select(F.col("table_name").cast("string"), F.col("partition").cast("string"), F.col("output").cast("bigint"), "path", F.col("row_count").cast("bigint"))
+    return kept.groupBy("table_name", "partition", "output").applyInPandas(one, schema)
 
 
 def list_footers(paths: DataFrame) -> DataFrame:

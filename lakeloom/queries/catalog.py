@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators import drift, hierarchy, nested, small_files
 from lakeloom.registry import Registry
-from lakeloom.shared import fresh_path
+from lakeloom.shared import fresh_path, materialize
 from lakeloom.sources.tables import table
 
 R = Registry()
@@ -144,10 +144,14 @@ found AS (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY table_name, p) >=
 """
 
 
+def _plan(spark: SparkSession, sf: str) -> DataFrame:
+    return small_files.consolidation_plan(small_files.small_files(table(spark, sf, "lake_files"), table(spark, sf, "data_file_partition_values")))
+
+
 @R.add("p2_found", _SMALL + "SELECT id FROM found")
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Ids of the small files worth consolidating, from the consolidation plan."""
-    return small_files.small_files(table(spark, sf, "lake_files"), table(spark, sf, "data_file_partition_values")).select("id").distinct()
+    """Ids of the files whose blocks the consolidation plan copies into larger ones."""
+    return _plan(spark, sf).select("id").distinct()
 
 
 @R.add(
@@ -156,27 +160,44 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 )
 def p2_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Files, bytes and known rows that the planned outputs of each table take in; equal to those of the files replaced."""
-    found = small_files.small_files(table(spark, sf, "lake_files"), table(spark, sf, "data_file_partition_values"))
-    outputs = small_files.consolidation_plan(found).groupBy("table_name", "partition", "output").agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.sum("row_count").alias("row_count"))
+    outputs = _plan(spark, sf).groupBy("table_name", "partition", "output").agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.sum("row_count").alias("row_count"))
     return outputs.groupBy("table_name").agg(*[F.sum(c).alias(c) for c in ("files", "bytes", "row_count")])
 
 
-@R.add("p2_outputs")
+@R.add(
+    "p2_outputs",
+    _SMALL + "SELECT table_name, count(*) AS files, count(*) AS placed, true AS bounded, true AS few FROM found GROUP BY ALL",
+)
 def p2_outputs(spark: SparkSession, sf: str) -> DataFrame:
-    """Each file to consolidate with the output file that it goes into."""
-    found = small_files.small_files(table(spark, sf, "lake_files"), table(spark, sf, "data_file_partition_values"))
-    return small_files.consolidation_plan(found).select("table_name", "partition", "output", "id", "file_size", "row_count")
+    """The planned outputs by table: every file placed once, none above the target by more than half of its two outer files, and no more outputs than one beyond the bytes of each partition."""
+    each = _plan(spark, sf).groupBy("table_name", "partition", "output").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.sum("file_size").alias("bytes"))
+    parts = each.groupBy("table_name", "partition").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"), F.max("bytes").alias("most"), F.count("*").alias("outputs"), F.sum("bytes").alias("bytes"))
+    ok = F.bool_and(F.col("most") <= small_files.TARGET_BYTES + small_files.SMALL_BELOW), F.bool_and(F.col("outputs") <= F.floor(F.col("bytes") / small_files.TARGET_BYTES) + 1)
+    return parts.groupBy("table_name").agg(F.sum("n").alias("files"), F.sum("ids").alias("placed"), ok[0].alias("bounded"), ok[1].alias("few"))
 
 
-@R.add("p2_block_copy", "SELECT * FROM lake_files")
+@R.add(
+    "p2_block_copy",
+    "SELECT 'orders' AS table_name, o_orderstatus AS part, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, 0::BIGINT AS problems, true AS fewer, true AS counted FROM orders GROUP BY ALL "
+    "UNION ALL SELECT 'customer', c_mktsegment, count(*), sum(c_custkey)::BIGINT, 0, true, true FROM customer GROUP BY ALL",
+)
 def p2_block_copy(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole table written as many small files, merged by copying blocks, and read again."""
-    source = table(spark, sf, "lake_files")
-    scattered, merged = fresh_path(spark, "scattered"), fresh_path(spark, "merged")
-    source.repartition(64).write.parquet(scattered)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(scattered).select("path")
-    plan = files.withColumn("output", F.pmod(F.xxhash64("path"), F.lit(4)))
-    done = small_files.consolidate_parquet(plan, merged).collect()  # one row per output file
-    if bad := [r["problem"] for r in done if r["problem"]]:
-        raise ValueError(f"not merged: {bad[:3]}")
-    return spark.read.schema(source.schema).parquet(merged)
+    """Two partitioned tables written as many small files, registered, planned, merged by copying blocks, and read again by table and partition."""
+    where, merged = fresh_path(spark, "scattered"), fresh_path(spark, "merged")
+    tables = {"orders": ("o_orderstatus", "o_orderkey"), "customer": ("c_mktsegment", "c_custkey")}
+    for name, (part, _) in tables.items():
+        t = table(spark, sf, name)
+        t.withColumn("p", F.col(part)).repartition(9).write.partitionBy("p").parquet(f"{where}/{name}")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(where).select("path")
+    files = files.join(small_files.list_footers(files), "path").select(F.xxhash64("path").alias("id"), "path", F.col("rows").alias("row_count"), F.col("bytes").alias("file_size"), F.regexp_extract("path", "/(orders|customer)/p=", 1).alias("table_name"), F.regexp_extract("path", "/p=([^/]*)/", 1).alias("value"))
+    files = materialize(files.withColumns({"content": F.lit(0), "updated_time": F.lit(None).cast("timestamp_ntz")}), "registered")
+    plan = materialize(small_files.consolidation_plan(small_files.small_files(files, files.select("id", F.lit(1).alias("partition_field_id"), "value"))), "plan")
+    done = materialize(small_files.consolidate_parquet(plan, merged), "merged")
+    made = done.groupBy("table_name", "partition").agg(F.count("path").alias("outputs"), F.sum("files").alias("inputs"), F.sum("rows").alias("rows"), F.count("problem").alias("problems"))
+    paths, parts = {r["table_name"]: r["paths"] for r in done.groupBy("table_name").agg(F.collect_list("path").alias("paths")).collect()}, []  # one row per table
+    for name, (part, key) in tables.items():
+        t = spark.read.schema(table(spark, sf, name).schema).parquet(*paths[name])
+        found = t.groupBy(F.col(part).alias("part")).agg(F.count("*").alias("n"), F.sum(key).alias("keys")).withColumn("table_name", F.lit(name))
+        one = made.filter(F.col("table_name") == name).select(F.get_json_object("partition", "$[0].v").alias("v"), "outputs", "inputs", "rows", "problems")
+        parts.append(found.join(one, F.col("v") == F.concat(F.lit("="), F.col("part"))).select("table_name", "part", "n", "keys", "problems", (F.col("outputs") < F.col("inputs")).alias("fewer"), (F.col("rows") == F.col("n")).alias("counted")))
+    return parts[0].unionAll(parts[1])

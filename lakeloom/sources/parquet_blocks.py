@@ -224,17 +224,19 @@ def _moved(group: list, by: int, ordinal: int) -> list:
     return put(out, GROUP_ORDINAL, ordinal) if ordinal < 1 << 15 else drop(out, (GROUP_ORDINAL,))
 
 
-def merge_files(paths: list[str], directory: str, name: str) -> list[tuple[str | None, int, int, int, int, str | None]]:
+def merge_files(paths: list[str], directory: str, name: str, known: dict[str, int | None] | None = None) -> list[tuple[str | None, int, int, int, int, str | None]]:
     """Merge files into as few as their schemas allow: (path, files, blocks, rows, bytes, problem) each.
 
     The order of files is that of ``paths``. Files without rows add no block but count
-    as merged. Raises if a written file does not hold the blocks and rows of its inputs.
+    as merged. A file whose rows differ from those in ``known`` is not merged. Raises if a written file does not hold the blocks and rows of its inputs.
     """
     by_schema: dict[bytes, list] = {}
     out = []
     for p in paths:
         try:
             footer, _ = read_footer(p)
+            if known and known.get(p) is not None and known[p] != get(footer, FILE_ROWS):
+                raise ValueError(f"{get(footer, FILE_ROWS)} rows instead of {known[p]}")
             for g in get(footer, FILE_GROUPS)[1]:
                 _span(g)
             by_schema.setdefault(_schema_bytes(footer), []).append((p, footer))

@@ -97,8 +97,26 @@ def test_other_schemas_and_broken_files_are_kept_apart(tmp_path):
 def test_consolidate_on_tasks(spark, tmp_path):
     for i in range(12):
         _write(str(tmp_path / f"{i}.parquet"), range(i * 10, i * 10 + 10))
-    plan = spark.createDataFrame([(i % 2, str(tmp_path / f"{i}.parquet")) for i in range(12)], "output int, path string")
+    plan = spark.createDataFrame([("t", "[]", i % 2, str(tmp_path / f"{i}.parquet"), None) for i in range(12)], "table_name string, partition string, output int, path string, row_count bigint")
     done = consolidate_parquet(plan, str(tmp_path / "out")).collect()
     assert sorted(r["rows"] for r in done) == [60, 60]
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).select("a").collect()) == list(range(120))
     assert list_footers(spark.createDataFrame([(r["path"],) for r in done], "path string")).agg(F.sum("rows")).first()[0] == 120
+
+
+def test_tables_and_partitions_never_meet_and_catalog_counts_hold(spark, tmp_path):
+    plan = []
+    for n, (t, p) in enumerate([("a", "[]"), ("a", '[{"f":1,"v":"=x"}]'), ("b", "[]"), (None, "[]")]):
+        for k in range(3):
+            path = str(tmp_path / f"{n}-{k}.parquet")
+            pq.write_table(pa.table({"owner": [n] * (k + 1)}), path)
+            plan.append((t, p, 0, path, None if k == 0 else k + 1))
+    plan[5] = (*plan[5][:4], 99)  # the catalog counts this file otherwise
+    df = spark.createDataFrame(plan, "table_name string, partition string, output bigint, path string, row_count bigint")
+    done = consolidate_parquet(df, str(tmp_path / "out")).collect()
+    outputs, left = [r for r in done if r["path"]], [r for r in done if r["problem"]]
+    assert len(outputs) == 4 and sum(r["rows"] for r in outputs) == 6 * 4 - 3 and len(left) == 1 and "3 rows instead of 99" in left[0]["problem"]
+    for r in outputs:
+        assert len(set(pq.read_table(r["path"])["owner"].to_pylist())) == 1
+    with pytest.raises(ValueError, match="not a consolidation plan"):
+        consolidate_parquet(df.drop("table_name"), str(tmp_path))
