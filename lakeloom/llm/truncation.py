@@ -9,12 +9,17 @@ Two ways, in this order:
   heads have a similarity of 0.8 or more in five-word shingles are aligned at the shorter
   one's end; where the longer copy goes on in the middle of a word or sentence, the
   shorter one was cut.
-* Closing words. A text without such a copy is judged by its end: markup or a code block
-  left open, a cut mark, or a last line that does not close. Whether words close a
-  sentence is counted over all texts: how often the last five words (or as many of them
-  as were ever seen together) stand before a full stop or a line's end, and how often
-  something follows them. Closing lines, such as sign-offs, are known by being the last
-  line of many texts, after many different lines.
+* Closing words. A text without such a copy is judged by its end. Markup, a table row or
+  a code block left open is a cut. A last line with a full stop is none. Every other
+  text, prose and list entries alike, is judged by its closing words, the last five
+  tokens of its last line and what is known of them from all lines of all texts. A list
+  entry is whole if its words, or as many of them as were seen often enough, mostly stand
+  before the end of a line or sentence. Prose without a full stop is whole if the line
+  mostly ends there, wherever the words before the last one stand: a sign-off is always
+  said to its end, a sentence cut short goes on elsewhere, and half a word is finished
+  elsewhere. The ends of other texts count for that too, as sign-offs stand nowhere
+  else, but not those with the same words before, which are copies of the text itself.
+  All of these are shares of counts, so they do not depend on how many texts there are.
 
 Counting is done in batches and combined before each shuffle. Which word runs are worth
 counting is told by a bit map of fixed size over the runs that end a text in doubt; a
@@ -41,8 +46,6 @@ BANDS, ROWS = 8, 4
 FIRST_HEAD = 16
 #: Bits of the map of word runs that are worth counting.
 MAP_BITS = 1 << 22
-#: A last line is a closing line if it follows so many different lines: this share of the number of texts, and at least two.
-CLOSING_SHARE, CLOSING_LEAST = 5e-4, 2
 #: Of the times that words were seen, the share in which they closed a sentence; below it they do not close.
 CLOSES = 0.5
 FLUSH = 200_000
@@ -50,83 +53,81 @@ FLUSH = 200_000
 CHUNK_TOKENS = 300_000
 #: Words sketched at a time.
 CHUNK_WORDS = 50_000
-#: A run seen less often says nothing; the next shorter one is asked.
+#: A run seen less often is asked only if no shorter one was seen so often.
 SEEN_LEAST = 3
-#: Longest run of closing words.
-RUN = 5
+#: Longest run of closing tokens (the beginning of the line counts as one), and how many tokens before it tell one text's end from another's.
+RUN, BEFORE = 6, 12
 
 _TOKEN = re.compile(r"[^\W\d_]\w*(?:\.[^\W\d_]\w*)+|\w+(?:['’]\w+)*['’]?|[^\w\s]")
-_NAME = re.compile(r"[^\W\d_]\w*\.\w*_\d{6}")
-_HEX = re.compile(r"(?=[a-f]*\d)[0-9a-f]{6,}")
-_DIGITS = re.compile(r"\d+")
-_DOTTED = re.compile(r"[^\W\d_]\w*\.\w+")
+_DIGIT = re.compile(r"\d")
+_PART = re.compile(r"[^\W_]+")
+_IDENTIFIER = re.compile(r"\w.*[._]|\d")
 _LIST = re.compile(r"\s*(?:[-*•+]|\d+[.)])\s+\S")
 _FENCE = re.compile(r"^\s*(?:```|~~~)", re.M)
 _OPEN_TAG = re.compile(r"<[A-Za-z/!][^<>]*$")
 _OPEN_ENTITY = re.compile(r"&#?\w{0,8}$")
-# Marks that a cut may leave behind.
-_MARK = re.compile(r"\s*(?:…|\.\.\.|\[…\]|\[\.\.\.\]|\[more\]|\(more\)|\[truncated\]|\(truncated\)|\[cut\])\s*$", re.I)
-_CLOSED = re.compile(r"[.!?。！？]['\"”’»)\]*_`]*$")
+#: A short remark in brackets or an ellipsis behind the last words; it decides nothing, the words before it are judged.
+_TAIL = re.compile(r"\s*(?:\[[^\[\]\n]{0,20}\]|\([^()\n]{0,20}\)|\.{2,}|…)$")
+#: A full stop; the last of several dots is none.
+_CLOSED = re.compile(r"(?:(?<!\.)[.!?]|[。！？])['\"”’»)\]*_`]*$")
 _ENDING = frozenset(".!?")
 
-WHOLE, CUT, CLOSING, LISTED = 0, 1, 2, 3
+#: Verdicts by form; prose and list entries wait for their closing words.
+WHOLE, CUT, PROSE, LISTED = 0, 1, 2, 3
+
+
+def _shape(m: re.Match) -> str:
+    t = m[0]
+    return "0" * len(t) if t.isdigit() and len(t) <= LONG_NUMBER else "a" if not _DIGIT.search(t) else f"<mixed {len(t)}>"
 
 
 def token(t: str) -> str:
-    """A token with what varies freely taken out: digits, hexadecimal names, numbered table names."""
-    if _NAME.fullmatch(t):
-        return "<name>"
-    if _HEX.fullmatch(t):
-        return f"<hex{len(t)}>"
-    return _DIGITS.sub("0", t)
+    """A token as it is, or its shape if it has digits: identifiers are alike if their parts are of one kind and, with digits, of one length."""
+    return _PART.sub(_shape, t) if _DIGIT.search(t) else t
 
 
-_KNOWN: dict[str, str] = {}
+#: Longer rows of digits are identifiers, not numbers.
+LONG_NUMBER = 7
+NUMBER, NAME = "<number>", "<name>"
 
 
-def tokens(line: str) -> list[str]:
-    if len(_KNOWN) > FLUSH:
-        _KNOWN.clear()
-    out = []
-    for t in _TOKEN.findall(line.lower()):
-        if t not in _KNOWN:
-            _KNOWN[t] = token(t)
-        out.append(_KNOWN[t])
-    return out
+def kind(t: str) -> str:
+    """A token as it counts among closing words: words and marks as they are, numbers as one, identifiers (with digits, dots or underscores) as one."""
+    if t.isdigit() and len(t) <= LONG_NUMBER:
+        return NUMBER
+    return NAME if _IDENTIFIER.search(t) else t
 
 
-def line_key(line: str) -> str:
-    """A line with what varies freely taken out, names with dots included."""
-    return " ".join("<name>" if _DOTTED.fullmatch(t) else t for t in tokens(line))
+def tokens(line: str) -> list[str]:
+    return _TOKEN.findall(line.lower())
 
 
-def look(text: str) -> tuple[int, str, list[str]]:
-    """(verdict, last line, its last tokens) of a text by its form alone.
+def ended(text: str) -> str:
+    """A text up to its last words: without blanks, an ellipsis or a remark in brackets behind them, also on a line of its own."""
+    return _TAIL.sub("", text.rstrip()).rstrip()
 
-    The verdict is WHOLE, CUT, CLOSING (cut unless the line is a closing line; a name with
-    dots at its very end must have been seen elsewhere, or it may be half a name) or LISTED
-    (to be judged by its closing words).
-    """
+
+def look(text: str) -> tuple[int, list[str], list[str]]:
+    """(verdict by form, closing tokens, tokens before these) of a text."""
     s = text.rstrip()
     if not s:
-        return WHOLE, "", []
+        return WHOLE, [], []
     line = s[s.rfind("\n") + 1 :].strip()
     if len(_FENCE.findall(s)) % 2:
-        return CUT, line, []
+        return CUT, [], []
     if _FENCE.match(line):
-        return WHOLE, line, []
-    if s.endswith("�") or _OPEN_TAG.search(line) or _OPEN_ENTITY.search(line):
-        return CUT, line, []
-    bare = _MARK.sub("", line)
-    if bare != line:
-        return (WHOLE if _CLOSED.search(bare) else CLOSING), line, []
+        return WHOLE, [], []
+    if s.endswith("\ufffd") or _OPEN_TAG.search(line) or _OPEN_ENTITY.search(line):
+        return CUT, [], []
+    s = ended(s)
+    line = s[s.rfind("\n") + 1 :].strip()
     if line.startswith("|"):
-        return (WHOLE if line.endswith("|") and len(line) > 1 else CUT), line, []
-    if _CLOSED.search(line):
-        return WHOLE, line, []
-    if _LIST.match(line):
-        return LISTED, line, tokens(line)[-RUN:]
-    return CLOSING, line, [t for t in tokens(line)[-1:] if _DOTTED.fullmatch(t)]
+        return (WHOLE if line.endswith("|") and len(line) > 1 else CUT), [], []
+    if not line or _CLOSED.search(line) or _FENCE.match(line):
+        return WHOLE, [], []
+    last = ["\n", *tokens(line)]
+    before = tokens(s[: -len(line)][-400:]) if len(last) < RUN + BEFORE else []
+    return (LISTED if _LIST.match(line) else PROSE), last[-RUN:], [*before, *last[:-RUN]][-BEFORE:]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -144,88 +145,127 @@ _P = 0x9E3779B97F4A7C15
 class _Hashes(dict):
     """Hashes by text, kept up to a bound; looked up without a call of Python code once known."""
 
-    def __init__(self, normal=None) -> None:
+    def __init__(self, make) -> None:
         super().__init__()
-        self.normal = normal
+        self.make = make
 
     def __missing__(self, raw: str) -> int:
         if len(self) > FLUSH:
             self.clear()
-        self[raw] = h = xxhash.xxh64_intdigest(self.normal(raw) if self.normal else raw)
+        self[raw] = h = self.make(raw)
         return h
 
 
-_TOKENS, _WORDS = _Hashes(token), _Hashes()
+def _token_hash(t: str) -> int:
+    """The kind of a token in the upper 32 bits, the token or its shape in the lower ones."""
+    return xxhash.xxh32_intdigest(kind(t)) << 32 | xxhash.xxh32_intdigest(token(t))
+
+
+_TOKENS, _WORDS = _Hashes(_token_hash), _Hashes(xxhash.xxh64_intdigest)
+_HALF, _NAMED = np.uint64(32), xxhash.xxh32_intdigest(NAME)
+_SHAPES = 0x94D049BB133111EB
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _mixed(h: int) -> int:
+    h = ((h ^ (h >> 31)) * _P) & _M64
+    return _signed(h ^ (h >> 29))
 
 
 def runs(last: list[str]) -> list[int]:
-    """Hashes of the last one, two, ... tokens; :func:`_run_keys` makes the same for all positions of a text."""
+    """Hashes of the kinds of the last one, two, ... tokens; :func:`_run_keys` makes the same for all positions of a text."""
     out = []
     for k in range(1, len(last) + 1):
         h = 0
         for t in last[-k:]:
-            h = (h * _P + xxhash.xxh64_intdigest(t)) & _M64
-        h = (h + k * 0xD1342543DE82EF95) & _M64
-        h = ((h ^ (h >> 31)) * _P) & _M64
-        h ^= h >> 29
-        out.append(h - (1 << 64) if h >> 63 else h)
+            h = (h * _P + (_TOKENS[t] >> 32)) & _M64
+        out.append(_mixed((h + k * 0xD1342543DE82EF95) & _M64))
     return out
 
 
+def shape_key(t: str) -> int | None:
+    """Key of an identifier's shape; None for other tokens."""
+    return _mixed((_TOKENS[t] + _SHAPES) & _M64) if _TOKENS[t] >> 32 == _NAMED else None
+
+
 def _run_keys(sums: np.ndarray, k: int) -> np.ndarray:
     return _mix(sums + np.uint64(k * 0xD1342543DE82EF95 & _M64)).view(np.int64)
 
 
-LOOK = "doc_id bigint, verdict int, line bigint, context bigint, runs array<bigint>"
+LOOK = "doc_id bigint, verdict int, context bigint, runs array<bigint>, before array<bigint>, whole boolean, word string, name bigint"
 
 
 def _looks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for doc, text in zip(b["doc_id"], b["text"]):
-            verdict, line, last = look(text or "")
-            closing = verdict == CLOSING
-            before = (text or "").rstrip()[: -len(line) or None].rstrip() if closing else ""
-            rows.append((doc, verdict, _hash(line_key(line)) if closing else None, _hash(*words(before[before.rfind("\n") + 1 :])) if closing else None, runs(last)))
+            verdict, last, before = look(text or "")
+            alone = last[-1] if len(last) == 2 and last[0] == "\n" else None  # the only word of its line
+            rows.append((doc, verdict, _hash(*before), runs(last), runs(last[:-1]), alone is not None, alone, shape_key(last[-1]) if last else None))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in LOOK.split(", ")], dtype=object)  # not float, which large hashes do not fit
-        yield out.astype({"doc_id": "Int64", "line": "Int64", "context": "Int64", "verdict": "int32"})
+        yield out.astype({"doc_id": "Int64", "context": "int64", "verdict": "int32", "name": "Int64"})
 
 
 _LINES = re.compile(_TOKEN.pattern + r"|\n")
-_NEWLINE = xxhash.xxh64_intdigest("\n")
+_NEWLINE = _token_hash("\n")
+
+
+def _known(*texts: str) -> np.ndarray:
+    return np.array([_token_hash(x) for x in texts], np.uint64)
+
+
+#: What follows a sentence's last word; the marks that a list entry begins with.
+_STOPS, _BULLETS = _known(".", "!", "?"), _known("-", "*", "•", "+")
+COUNTS = "run bigint, bare bigint, closes bigint, prose bigint, every bigint"
 
 
 def _counted(h: np.ndarray, bits: np.ndarray) -> pd.DataFrame:
-    """Counts of the runs in the bit map, over tokens of texts laid end to end; 0 stands between texts."""
+    """Counts of the runs in the bit map, over tokens of texts laid end to end; 0 stands between texts.
+
+    bare: in prose, before the end of a line; closes: before the end of a line or
+    sentence; prose and every: all occurrences, in prose and anywhere.
+    """
     line_end = (h == np.uint64(_NEWLINE)) | (h == 0)
     at = np.arange(len(h))
-    nth = at - np.maximum.accumulate(np.where(line_end, at, -1)) - 1  # place in the line
+    start = np.maximum.accumulate(np.where(line_end, at, -1)) + 1  # of the line
+    nth = at - start
+    bullet = np.append(np.isin(h, _BULLETS), [False, False])
+    listed = bullet[start] & ~bullet[start + 1]  # two dashes begin no list entry
     after = np.append(h[1:], np.uint64(0))
-    closing = (after == np.uint64(_NEWLINE)) | np.isin(after, np.array([xxhash.xxh64_intdigest(x) for x in sorted(_ENDING)], np.uint64))
-    alive = ~line_end & (after != 0)  # the end of a text is no evidence, as it may be a cut
-    sums, keys, closes = np.zeros(len(h), np.uint64), [], []
+    ends = after == np.uint64(_NEWLINE)
+    closing = ends | np.isin(after, _STOPS)
+    alive = ~line_end & (after != 0)  # ends of texts are counted apart
+    held = lambda key: ((bits[key % MAP_BITS >> 3] >> (key % MAP_BITS & 7).astype(np.uint8)) & 1).astype(bool)
+    named = at[alive & (h >> _HALF == np.uint64(_NAMED))]
+    shapes = _mix(h[named] + np.uint64(_SHAPES)).view(np.int64)
+    some = held(shapes)
+    keys, places = [shapes[some]], [named[some]]
+    h = np.where(h == 0, np.uint64(_NEWLINE), h) >> _HALF  # a line's beginning is the end of the line before
+    sums = np.zeros(len(h), np.uint64)
     for k in range(1, RUN + 1):
         sums = h + np.append(np.uint64(0), sums[:-1]) * np.uint64(_P) if k > 1 else h.copy()
         key = _run_keys(sums, k)
-        place = key % MAP_BITS
         # the map holds all shorter runs of a run, so beyond the first that it lacks no longer one is in it
-        alive = alive & (nth >= k - 1) & ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+        alive = alive & (nth >= k - 2) & held(key)
         keys.append(key[alive])
-        closes.append(closing[alive])
+        places.append(at[alive])
     found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    flag = np.concatenate(closes)
-    yes, every = np.bincount(inverse, weights=flag, minlength=len(found)), np.bincount(inverse, minlength=len(found))
-    return pd.DataFrame({"run": found, "closes": yes.astype(np.int64), "goes_on": (every - yes).astype(np.int64)})
+    where = np.concatenate(places)
+    count = lambda flag: np.bincount(inverse, weights=flag[where], minlength=len(found)).astype(np.int64)
+    return pd.DataFrame({"run": found, "bare": count(ends & ~listed), "closes": count(closing), "prose": count(~listed), "every": np.bincount(inverse, minlength=len(found))})
 
 
 def _count_runs(bits: np.ndarray):
-    """Counts, over all positions of all texts, of the runs in the bit map: those closing a sentence or line, and those going on."""
+    """Counts, over all positions of all texts, of the runs in the bit map."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[int] = [0]
         for b in batches:
             for text in b["text"]:
-                held += map(_TOKENS.__getitem__, _LINES.findall((text or "").rstrip().lower()))
+                held += map(_TOKENS.__getitem__, _LINES.findall(ended(text or "").lower()))
                 held.append(0)
                 if len(held) > CHUNK_TOKENS:
                     yield _counted(np.array(held, np.uint64), bits)
@@ -475,27 +515,57 @@ def cut_by_ending(documents: DataFrame) -> DataFrame:
     """doc_id of texts whose end does not close, by form and by the closing words of all texts."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     looks = materialize(docs.mapInPandas(_looks, LOOK), "looks")
-    least = max(CLOSING_LEAST, CLOSING_SHARE * looks.count())
-    # After how many different lines it stands: copies of one cut text make no closing line.
-    last = looks.filter(F.col("line").isNotNull()).select("line", "context").distinct().groupBy("line").agg(F.count("*").alias("n"))
-    closing = last.filter(F.col("n") >= least).select(F.col("line").alias("_line"))  # at most 1 / CLOSING_SHARE rows
-    doubt = looks.filter(F.col("verdict").isin(CLOSING, LISTED)).join(F.broadcast(closing), F.col("line") == F.col("_line"), "left")
-    doubt = doubt.withColumn("known", F.col("_line").isNotNull()).filter(~F.col("known") | (F.size("runs") > 0))
-    asks = F.when(F.col("known") | (F.col("verdict") == LISTED), F.col("runs")).otherwise(F.slice("runs", 1, 0))
-    doubt = materialize(doubt.select("doc_id", "known", asks.alias("runs")), "doubt")
-
-    wanted = doubt.select(F.explode("runs").alias("run")).distinct()
-    bits = _bit_map(wanted.withColumnRenamed("run", "key"))
-    counted = docs.select("text").mapInPandas(_count_runs(bits), "run bigint, closes bigint, goes_on bigint")
-    counted = counted.groupBy("run").agg(F.sum("closes").alias("closes"), F.sum("goes_on").alias("goes_on"))
-    seen = wanted.withColumnRenamed("run", "_run").join(counted, F.col("_run") == F.col("run")).select("run", "closes", "goes_on")
-    seen = seen.filter(F.col("closes") + F.col("goes_on") >= SEEN_LEAST)
-    asked = doubt.select("doc_id", "known", F.posexplode("runs").alias("k", "asked"))
-    longest = asked.join(seen, F.col("asked") == F.col("run")).groupBy("doc_id").agg(F.max(F.struct("k", "closes", "goes_on", "known")).alias("x"))
-    often = F.col("x.closes") + F.col("x.goes_on")
-    closes = longest.filter(F.col("x.known") | (F.col("x.closes") >= CLOSES * often)).select(F.col("doc_id").alias("_d"))
-    unclosed = doubt.join(closes, F.col("doc_id") == F.col("_d"), "left_anti").select("doc_id")
-    return looks.filter(F.col("verdict") == CUT).select("doc_id").unionAll(unclosed).distinct()
+    return looks.filter(F.col("verdict") == CUT).select("doc_id").unionAll(_unclosed(docs, looks)).distinct()
+
+
+def terminality(docs: DataFrame, looks: DataFrame) -> DataFrame:
+    """doc_id, closes, seen of every text in doubt: how often its closing words close, of how many times, at the longest run with enough evidence.
+
+    Of prose, the longest run is weighed against all places of the words before its last
+    one, with the ends of other texts; shorter runs against their own places inside texts.
+    A word alone on its line is weighed against lines that begin with it or with a longer
+    word of the same beginning. An identifier at the very end must be one, or of a shape,
+    that stands inside texts as often as at their ends, or that most texts with these
+    closing words end with: else it may be half of one, and the text gives no row.
+    """
+    doubt = looks.filter(F.col("verdict").isin(PROSE, LISTED))
+    asks = materialize(doubt.select("doc_id", "verdict", "context", "whole", "word", "name", F.posexplode("runs").alias("k", "asked"), F.size("runs").alias("n"), F.try_element_at("before", F.lit(-1)).alias("ahead")), "asks")
+    wanted = asks.select(F.col("asked").alias("key")).unionAll(doubt.select(F.explode("before"))).unionAll(doubt.select("name").filter("name is not null")).distinct()
+    counted = docs.select("text").mapInPandas(_count_runs(_bit_map(wanted)), COUNTS).groupBy("run").agg(*[F.sum(c).alias(c) for c in ("bare", "closes", "prose", "every")])
+    longest = (F.col("k") == F.col("n") - 1) & (F.col("verdict") == PROSE)
+    at_end = asks.filter(longest).groupBy(F.col("asked").alias("end"), F.col("context").alias("end_context")).agg(F.count("*").alias("same"))
+    at_end = materialize(at_end, "ends")
+    ends = at_end.groupBy(F.col("end").alias("all_end")).agg(F.sum("same").alias("ends"))
+    counted = materialize(wanted.join(counted, F.col("key") == F.col("run")).drop("run"), "counted")  # runs that the bit map let through by chance go
+    j = asks.join(counted, F.col("asked") == F.col("key"), "left").drop("key")
+    ahead = counted.select(F.col("key").alias("ahead_key"), F.col("prose").alias("ahead_prose"))
+    j = j.join(ahead, longest & (F.col("ahead") == F.col("ahead_key")), "left")
+    j = j.join(ends, longest & (F.col("asked") == F.col("all_end")), "left").join(at_end, longest & (F.col("asked") == F.col("end")) & (F.col("context") == F.col("end_context")), "left")
+    words = docs.select(F.explode(F.split(F.lower("text"), r"\s*\n\s*")).alias("l")).select(F.regexp_extract("l", r"^\s*([\p{L}\p{N}]+)", 1).alias("w")).filter("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+    begun = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring("w", F.lit(1), i))).alias("begun"), "n").groupBy("begun").agg(F.sum("n").alias("begun_n"))
+    j = j.join(begun, longest & F.col("whole") & (F.col("word") == F.col("begun")), "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    names = asks.filter((F.col("k") == F.col("n") - 1) & F.col("name").isNotNull()).groupBy("asked", "name").agg(F.count("*").alias("so"))
+    names = materialize(names, "names")
+    inside = names.groupBy("name").agg(F.sum("so").alias("at_end")).join(counted.select("key", "every"), F.col("name") == F.col("key"), "left")
+    rare = inside.filter(n("every") < F.col("at_end")).select(F.col("name").alias("rare"))
+    odd = names.join(names.groupBy(F.col("asked").alias("run")).agg(F.sum("so").alias("all_so")), F.col("asked") == F.col("run")).filter(F.col("so") < CLOSES * F.col("all_so"))
+    half = odd.join(rare, F.col("name") == F.col("rare"), "left_semi").select(F.col("asked").alias("half_run"), F.col("name").alias("half_name"))
+    halves = asks.join(half, (F.col("asked") == F.col("half_run")) & (F.col("name") == F.col("half_name")), "left_semi").select(F.col("doc_id").alias("half_id"))
+    j = j.join(halves, F.col("doc_id") == F.col("half_id"), "left_anti")
+    others = n("ends") - n("same")
+    closes = F.when(longest, n("bare") + others).when(F.col("verdict") == PROSE, n("bare")).otherwise(n("closes"))
+    seen = F.when(longest, F.when(F.col("whole"), F.greatest(n("begun_n") - n("same"), others)).otherwise(n("ahead_prose") - n("same"))).when(F.col("verdict") == PROSE, n("prose")).otherwise(n("every"))
+    j = j.select("doc_id", "k", closes.alias("closes"), seen.alias("seen"))
+    best = j.filter("seen > 0").groupBy("doc_id").agg(F.max(F.struct((F.col("seen") >= SEEN_LEAST).alias("enough"), "k", "closes", "seen")).alias("x"))
+    return best.select("doc_id", "x.closes", "x.seen")
+
+
+def _unclosed(docs: DataFrame, looks: DataFrame) -> DataFrame:
+    """doc_id of texts in doubt whose closing words do not close; of words never seen, that is taken for granted."""
+    close = terminality(docs, looks).filter(F.col("closes") >= CLOSES * F.col("seen")).select(F.col("doc_id").alias("_d"))
+    doubt = looks.filter(F.col("verdict").isin(PROSE, LISTED))
+    return doubt.join(close, F.col("doc_id") == F.col("_d"), "left_anti").select("doc_id")
 
 
 def cut_texts(documents: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from lakeloom.llm import truncation as T
     ("text", "verdict"),
     [
         ("", T.WHOLE), ("   \n", T.WHOLE), ("All is well.", T.WHOLE), ('He said "no."', T.WHOLE), ("Is it?", T.WHOLE), ("Code:\n```\nselect 1\n```", T.WHOLE), ("Code:\n```\nselect 1", T.CUT),
-        ("A tag <a hre", T.CUT), ("An entity &quo", T.CUT), ("Half a char �", T.CUT), ("| a | 1 |", T.WHOLE), ("| a | 1", T.CUT), ("It is a done thing. [more]", T.WHOLE), ("It is a do…", T.CLOSING),
-        ("Well.\n- one more thing", T.LISTED), ("It is a do", T.CLOSING), ("Well.\n\n-- night crew", T.CLOSING),
+        ("A tag <a hre", T.CUT), ("An entity &quo", T.CUT), ("Half a char �", T.CUT), ("| a | 1 |", T.WHOLE), ("| a | 1", T.CUT), ("It is a done thing. [more]", T.WHOLE), ("It is a do…", T.PROSE), ("It is done...", T.PROSE), ("Well. More soon [...]", T.PROSE), ("All is well.\n\n(end)", T.WHOLE), ("(end)", T.WHOLE),
+        ("Well.\n- one more thing", T.LISTED), ("It is a do", T.PROSE), ("Well.\n\n-- night crew", T.PROSE),
     ],
 )
 def test_verdict_by_form(text, verdict):
@@ -106,3 +106,58 @@ def test_a_closed_text_is_not_judged_by_a_cut_one_of_the_same_words(spark):
 
 def test_empty_table(spark):
     assert T.cut_texts(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_tokens_and_their_shapes():
+    assert [T.token(t) for t in ("loader", "v2", "a.b_c", "a.b_c_0042", "1234", "ab12cd34", "3141592653")] == ["loader", "<mixed 2>", "a.b_c", "a.a_a_0000", "0000", "<mixed 8>", "<mixed 10>"]
+    assert [T.kind(t) for t in ("loader", "17", "v2", "a.b_c", "valid_to", "3141592653", ".")] == ["loader", T.NUMBER, T.NAME, T.NAME, T.NAME, T.NAME, "."]
+    assert T.shape_key("loader") is None and T.shape_key("a.b_c_0042") == T.shape_key("x.yy_z_9999") != T.shape_key("x.yy_z_99")
+
+
+def test_verdicts_do_not_depend_on_how_often_the_corpus_is_copied(spark):
+    rows = corpus(random.Random(12), 400)
+    df = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id bigint, text string")
+    ids = lambda d: {r[0] for r in T.cut_texts(d).collect()}
+    one = ids(df)
+    many = ids(df.selectExpr("explode(sequence(0, 6)) AS copy", "doc_id", "text").selectExpr("doc_id + copy * 10000 AS doc_id", "text"))
+    assert {i for i in many if i < 10000} == one and len(many) == 7 * len(one)
+
+
+def test_recall_of_cut_near_copies(spark):
+    """Cut copies of texts that were edited elsewhere: at least nine in ten are found beside their whole, none that is whole."""
+    rng, rows, want = random.Random(5), [], set()
+    for i in range(150):
+        s = [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(6, 14))) for _ in range(14)]
+        whole = ". ".join(s) + "."
+        w = whole.split()
+        edited = w[:]
+        edited[rng.randint(40, len(w) - 1)] = "changed"
+        rows.append((i, " ".join(edited)))
+        at = rng.randint(30, len(w) - 2)
+        if w[at].endswith("."):
+            at -= 1
+        rows.append((1000 + i, " ".join(w[:at]) + " " + w[at][: rng.choice([1, 2, 50])]))
+        want.add(1000 + i)
+        rows.append((2000 + i, ". ".join(s[:7]) + "."))  # ends with a sentence: whole by its form
+    found = {r[0] for r in T.cut_by_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(found & want) >= 0.9 * len(want) and found <= want
+
+
+def test_sign_offs_links_and_names_at_the_end(spark):
+    rng, rows, want = random.Random(11), [], set()
+    ends = ["-- night crew", "Thanks, the team", "EOF", "More next week...", "See also: a.shop_items_{:06d}, b.desk_rows_{:06d}", "s3://lake/notes/{:010x}", "(end of note)"]
+    for i in range(600):
+        s = sentences(rng, rng.randint(3, 6))
+        if i % 4 == 0:
+            text = ". ".join(s)
+            at = rng.randint(len(text) - 40, len(text) - 2)
+            while not (text[at - 1].isalpha() and text[at].isalpha()):
+                at -= 1
+            text = text[:at]
+            want.add(i)
+        else:
+            e = ends[i % len(ends)]
+            text = ". ".join(s) + ".\n\n" + e.format(*[rng.randint(0, 900_000) for _ in range(e.count("{"))])
+        rows.append((i, text))
+    found = {r[0] for r in T.cut_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(found & want) >= 0.97 * len(want) and len(found - want) <= 0.02 * len(found)
