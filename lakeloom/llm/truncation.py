@@ -104,7 +104,9 @@ def tokens(line: str) -> list[str]:
 
 def ended(text: str) -> str:
     """A text up to its last words: without blanks, an ellipsis or a remark in brackets behind them, also on a line of its own."""
-    return _TAIL.sub("", text.rstrip()).rstrip()
+    s = text.rstrip()
+    m = _TAIL.search(s, max(0, len(s) - 40))  # a remark has 22 characters at most
+    return s[: m.start()].rstrip() if m else s
 
 
 def look(text: str) -> tuple[int, list[str], list[str]]:
@@ -113,7 +115,7 @@ def look(text: str) -> tuple[int, list[str], list[str]]:
     if not s:
         return WHOLE, [], []
     line = s[s.rfind("\n") + 1 :].strip()
-    if len(_FENCE.findall(s)) % 2:
+    if ("```" in s or "~~~" in s) and len(_FENCE.findall(s)) % 2:
         return CUT, [], []
     if _FENCE.match(line):
         return WHOLE, [], []
@@ -528,36 +530,42 @@ def terminality(docs: DataFrame, looks: DataFrame) -> DataFrame:
     that stands inside texts as often as at their ends, or that most texts with these
     closing words end with: else it may be half of one, and the text gives no row.
     """
-    doubt = looks.filter(F.col("verdict").isin(PROSE, LISTED))
-    asks = materialize(doubt.select("doc_id", "verdict", "context", "whole", "word", "name", F.posexplode("runs").alias("k", "asked"), F.size("runs").alias("n"), F.try_element_at("before", F.lit(-1)).alias("ahead")), "asks")
-    wanted = asks.select(F.col("asked").alias("key")).unionAll(doubt.select(F.explode("before"))).unionAll(doubt.select("name").filter("name is not null")).distinct()
-    counted = docs.select("text").mapInPandas(_count_runs(_bit_map(wanted)), COUNTS).groupBy("run").agg(*[F.sum(c).alias(c) for c in ("bare", "closes", "prose", "every")])
-    longest = (F.col("k") == F.col("n") - 1) & (F.col("verdict") == PROSE)
-    at_end = asks.filter(longest).groupBy(F.col("asked").alias("end"), F.col("context").alias("end_context")).agg(F.count("*").alias("same"))
-    at_end = materialize(at_end, "ends")
-    ends = at_end.groupBy(F.col("end").alias("all_end")).agg(F.sum("same").alias("ends"))
-    counted = materialize(wanted.join(counted, F.col("key") == F.col("run")).drop("run"), "counted")  # runs that the bit map let through by chance go
-    j = asks.join(counted, F.col("asked") == F.col("key"), "left").drop("key")
-    ahead = counted.select(F.col("key").alias("ahead_key"), F.col("prose").alias("ahead_prose"))
-    j = j.join(ahead, longest & (F.col("ahead") == F.col("ahead_key")), "left")
-    j = j.join(ends, longest & (F.col("asked") == F.col("all_end")), "left").join(at_end, longest & (F.col("asked") == F.col("end")) & (F.col("context") == F.col("end_context")), "left")
-    words = docs.select(F.explode(F.split(F.lower("text"), r"\s*\n\s*")).alias("l")).select(F.regexp_extract("l", r"^\s*([\p{L}\p{N}]+)", 1).alias("w")).filter("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
-    begun = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring("w", F.lit(1), i))).alias("begun"), "n").groupBy("begun").agg(F.sum("n").alias("begun_n"))
-    j = j.join(begun, longest & F.col("whole") & (F.col("word") == F.col("begun")), "left")
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    names = asks.filter((F.col("k") == F.col("n") - 1) & F.col("name").isNotNull()).groupBy("asked", "name").agg(F.count("*").alias("so"))
-    names = materialize(names, "names")
-    inside = names.groupBy("name").agg(F.sum("so").alias("at_end")).join(counted.select("key", "every"), F.col("name") == F.col("key"), "left")
-    rare = inside.filter(n("every") < F.col("at_end")).select(F.col("name").alias("rare"))
-    odd = names.join(names.groupBy(F.col("asked").alias("run")).agg(F.sum("so").alias("all_so")), F.col("asked") == F.col("run")).filter(F.col("so") < CLOSES * F.col("all_so"))
-    half = odd.join(rare, F.col("name") == F.col("rare"), "left_semi").select(F.col("asked").alias("half_run"), F.col("name").alias("half_name"))
-    halves = asks.join(half, (F.col("asked") == F.col("half_run")) & (F.col("name") == F.col("half_name")), "left_semi").select(F.col("doc_id").alias("half_id"))
-    j = j.join(halves, F.col("doc_id") == F.col("half_id"), "left_anti")
-    others = n("ends") - n("same")
-    closes = F.when(longest, n("bare") + others).when(F.col("verdict") == PROSE, n("bare")).otherwise(n("closes"))
-    seen = F.when(longest, F.when(F.col("whole"), F.greatest(n("begun_n") - n("same"), others)).otherwise(n("ahead_prose") - n("same"))).when(F.col("verdict") == PROSE, n("prose")).otherwise(n("every"))
-    j = j.select("doc_id", "k", closes.alias("closes"), seen.alias("seen"))
-    best = j.filter("seen > 0").groupBy("doc_id").agg(F.max(F.struct((F.col("seen") >= SEEN_LEAST).alias("enough"), "k", "closes", "seen")).alias("x"))
+    doubt = looks.filter(F.col("verdict").isin(PROSE, LISTED) & (F.size("runs") > 0))
+    last, key = F.element_at("runs", -1), lambda what, *c: F.xxhash64(F.lit(what), *c)
+    prose = F.col("verdict") == PROSE
+    # What each text asks for, as keys of one table of counts.
+    plain = F.transform("runs", lambda r, k: F.struct(F.lit("run").alias("role"), k.alias("k"), r.alias("key")))
+    ask = lambda role, c: F.struct(F.lit(role).alias("role"), F.lit(-1).alias("k"), c.alias("key"))
+    extra = [ask("ahead", F.try_element_at("before", F.lit(-1))), ask("ends", key("end", last)), ask("same", key("same", last, "context")), ask("begun", key("word", "word"))]
+    extra += [ask("name", F.col("name")), ask("named", key("named", "name")), ask("so", key("so", last, "name")), ask("all", key("all", last))]
+    wants = F.when(prose, F.array(*extra)).otherwise(F.array(*extra[4:]))
+    wants = F.filter(wants, lambda w: w["key"].isNotNull() & (~w["role"].isin("so", "all", "named") | F.col("name").isNotNull()) & ((w["role"] != "begun") | F.col("whole")))
+    asks = materialize(doubt.select("doc_id", "verdict", "whole", F.size("runs").alias("n"), F.explode(F.concat(plain, wants)).alias("w")).select("doc_id", "verdict", "whole", "n", "w.*"), "asks")
+
+    wanted = doubt.select(F.explode(F.concat("runs", "before", F.array_compact(F.array("name")))).alias("key")).distinct()
+    counted = docs.select("text").mapInPandas(_count_runs(_bit_map(wanted)), COUNTS).withColumnRenamed("run", "key").withColumn("n", F.lit(0).cast("bigint"))
+    none = [F.lit(0).cast("bigint").alias(c) for c in ("bare", "closes", "prose", "every")]
+    ends = asks.filter(F.col("role").isin("ends", "same", "named", "so", "all")).select("key", *none, F.lit(1).cast("bigint").alias("n"))
+    starts = docs.select(F.explode(F.split(F.lower("text"), "\n")).alias("l")).select(F.regexp_extract("l", r"^\s*([\p{L}\p{N}]+)", 1).alias("w")).filter("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+    begun = starts.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring("w", F.lit(1), i))).alias("begun"), "n")
+    begun = begun.select(key("word", "begun").alias("key"), *none, "n")
+    counts = counted.unionAll(ends).unionAll(begun).groupBy(F.col("key").alias("of")).agg(*[F.sum(c).alias(c + "_") for c in ("bare", "closes", "prose", "every", "n")])
+
+    j = asks.join(counts, F.col("key") == F.col("of"), "left")
+    v = lambda c: F.coalesce(F.col(c), F.lit(0))
+    of = lambda role, c: F.coalesce(F.max(F.when(F.col("role") == role, F.col(c))), F.lit(0))
+    longest = prose & (F.col("k") == F.col("n") - 1)
+    inner = (F.col("role") == "run") & ~longest
+    shorter = F.when(inner, F.struct((F.when(prose, v("prose_")).otherwise(v("every_")) >= SEEN_LEAST).alias("enough"), "k", F.when(prose, v("bare_")).otherwise(v("closes_")).alias("closes"), F.when(prose, v("prose_")).otherwise(v("every_")).alias("seen")))
+    g = j.groupBy("doc_id").agg(
+        F.max(F.when(shorter["seen"] > 0, shorter)).alias("x"), F.max(F.when(longest & (F.col("role") == "run"), v("bare_"))).alias("bare"), F.max("n").alias("n"), F.bool_or("whole").alias("whole"), F.bool_or(prose).alias("prose"),
+        *[of(r, "n_").alias(r) for r in ("ends", "same", "begun", "named", "so", "all")], of("ahead", "prose_").alias("ahead"), of("name", "every_").alias("inside"),
+    )
+    g = g.filter(~((F.col("inside") < F.col("named")) & (F.col("so") < CLOSES * F.col("all"))))  # the last name may be half of one
+    others = F.col("ends") - F.col("same")
+    seen = F.when(F.col("whole"), F.greatest(F.col("begun") - F.col("same"), others)).otherwise(F.col("ahead") - F.col("same"))
+    full = F.when(F.col("prose") & (seen > 0), F.struct((seen >= SEEN_LEAST).alias("enough"), (F.col("n") - 1).alias("k"), (F.coalesce("bare", F.lit(0)) + others).alias("closes"), seen.alias("seen")))
+    best = g.select("doc_id", F.greatest("x", full).alias("x")).filter("x is not null")
     return best.select("doc_id", "x.closes", "x.seen")
 
 
