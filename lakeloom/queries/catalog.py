@@ -117,21 +117,73 @@ changes AS (SELECT table_name, schema_id, previous_schema_id, field_id, 'added'
 
 @R.add("p4_found", _DRIFT + "SELECT table_name, schema_id, field_id, change_kind FROM changes")
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Every added, dropped, renamed or retyped field from each schema to the next."""
+    """Every added, dropped, renamed or retyped field: the edit scripts from each schema to the next, without their moves."""
     c = drift.schema_changes(table(spark, sf, "iceberg_metadata"))
     return c.filter("change_kind <> 'moved'").select("table_name", "schema_id", "field_id", "change_kind").distinct()
 
 
-@R.add("p4_changes", _DRIFT + "SELECT * FROM changes")
+@R.add(
+    "p4_changes",
+    _DRIFT + "SELECT * FROM changes UNION ALL SELECT c.table_name, c.schema_id, c.p, c.field_id, 'moved', o.parent_field_id::VARCHAR, c.parent_field_id::VARCHAR "
+    "FROM (SELECT v.table_name, v.schema_id, v.p, n.field_id, n.parent_field_id FROM v JOIN nodes n USING (table_name, schema_id) WHERE p IS NOT NULL) c "
+    "JOIN nodes o ON o.table_name = c.table_name AND o.schema_id = c.p AND o.field_id = c.field_id WHERE o.parent_field_id <> c.parent_field_id",
+)
 def p4_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """The edit scripts with what was before and after each change."""
-    return drift.schema_changes(table(spark, sf, "iceberg_metadata")).filter("change_kind <> 'moved'")
+    """The edit scripts, moves included, with what was before and after each change."""
+    return drift.schema_changes(table(spark, sf, "iceberg_metadata"))
+
 
+def _unified(spark: SparkSession, sf: str) -> DataFrame:
+    return drift.unify_rows(table(spark, sf, "raw_rows"), table(spark, sf, "iceberg_metadata"), keys=["raw_id", "path", "row_pos"])
 
-@R.add("p4_rows")
+
+_TARGETS = _NODES + """
+, newest AS (SELECT table_name, (m->>'$."current-schema-id"')::INT AS id FROM (SELECT table_name, metadata::JSON AS m, recorded_time, metadata_id FROM iceberg_metadata WHERE json_valid(metadata))
+ WHERE (m->>'$."current-schema-id"') IS NOT NULL QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY recorded_time DESC, metadata_id DESC, id DESC) = 1),
+versions AS (SELECT DISTINCT table_name, schema_id FROM nodes),
+target AS (SELECT v.table_name, coalesce(max(v.schema_id) FILTER (WHERE v.schema_id = c.id), max(v.schema_id))::INT AS latest_schema_id FROM versions v LEFT JOIN newest c USING (table_name) GROUP BY v.table_name)
+"""
+
+
+@R.add(
+    "p4_rows",
+    _TARGETS + "SELECT DISTINCT r.raw_id, r.table_name, r.path, r.row_pos, r.schema_id, t.latest_schema_id, "
+    "CASE WHEN json_valid(r.body) AND t.latest_schema_id IS NOT NULL THEN (SELECT count(*) FROM nodes n WHERE n.table_name = r.table_name AND n.schema_id = t.latest_schema_id AND n.parent_field_id = 0)::INT END AS fields, "
+    "coalesce(v.schema_id IS NULL AND json_valid(r.body), false) AS unknown_schema FROM raw_rows r LEFT JOIN target t USING (table_name) LEFT JOIN versions v ON v.table_name = r.table_name AND v.schema_id = r.schema_id",
+)
 def p4_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """All raw rows under the latest schema of their table."""
-    return drift.unify_rows(table(spark, sf, "raw_rows"), table(spark, sf, "iceberg_metadata"), keys=["raw_id", "path", "row_pos"]).distinct()
+    """All raw rows under the current schema of their table: which schema that is, and how many fields each row has."""
+    u = _unified(spark, sf)
+    return u.select("raw_id", "table_name", "path", "row_pos", "schema_id", "latest_schema_id", F.json_array_length(F.to_json(F.json_object_keys("row"))).alias("fields"), F.coalesce(F.contains("problem", F.lit("unknown schema")), F.lit(False)).alias("unknown_schema")).distinct()
+
+
+@R.add(
+    "p4_values",
+    _TARGETS + ", at_top AS (SELECT * FROM nodes WHERE parent_field_id = 0 AND type = 'string') "
+    "SELECT DISTINCT r.raw_id, w.field_id, w.name, json_extract_string(r.body, '$.\"' || o.name || '\"') AS value FROM raw_rows r JOIN target t USING (table_name) "
+    "JOIN at_top o ON o.table_name = r.table_name AND o.schema_id = r.schema_id JOIN at_top w ON w.table_name = r.table_name AND w.schema_id = t.latest_schema_id AND w.field_id = o.field_id "
+    "WHERE json_valid(r.body) AND json_extract_string(r.body, '$.\"' || o.name || '\"') IS NOT NULL",
+)
+def p4_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts at the top of the unified rows, whatever their field was called when they were written."""
+    nodes = nested.flatten_schemas(table(spark, sf, "iceberg_metadata")).filter("parent_field_id = 0 AND type = 'string'")
+    u = _unified(spark, sf).select("raw_id", "table_name", "schema_id", "latest_schema_id", F.explode(F.from_json("row", "map<string,string>")).alias("name", "value")).filter("value IS NOT NULL")
+    now = nodes.select(F.col("table_name").alias("t"), F.col("schema_id").alias("s"), "field_id", F.col("name").alias("n"))
+    then = nodes.select(F.col("table_name").alias("t2"), F.col("schema_id").alias("s2"), F.col("field_id").alias("f2"))
+    j = u.join(now, (F.col("table_name") == F.col("t")) & (F.col("latest_schema_id") == F.col("s")) & (F.col("name") == F.col("n")))
+    j = j.join(then, (F.col("table_name") == F.col("t2")) & (F.col("schema_id") == F.col("s2")) & (F.col("field_id") == F.col("f2")), "left_semi")
+    return j.select("raw_id", "field_id", "name", "value").distinct()
+
+
+@R.add(
+    "p4_table",
+    _TARGETS + "SELECT count(DISTINCT raw_id) AS n, (SELECT count(*) FROM nodes n JOIN target t ON t.table_name = n.table_name AND t.latest_schema_id = n.schema_id WHERE n.table_name = 'telemetry.device_pings' AND n.parent_field_id = 0)::INT AS fields "
+    "FROM raw_rows WHERE table_name = 'telemetry.device_pings'",
+)
+def p4_table(spark: SparkSession, sf: str) -> DataFrame:
+    """One table's rows, whatever version wrote them, as typed columns of its current schema."""
+    t = drift.unify_table(_unified(spark, sf), table(spark, sf, "iceberg_metadata"), "telemetry.device_pings", keys=["raw_id"])
+    return t.agg(F.count_distinct("raw_id").alias("n")).withColumn("fields", F.lit(len(t.columns) - 3))
 
 
 _SMALL = r"""

@@ -4,7 +4,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lakeloom.operators.drift import cast_value, compile_projection, edit_script, schema_changes, tree_of, unify_rows, unmoved
+from lakeloom.operators.drift import cast_value, compile_projection, edit_script, schema_changes, matches, tree_of, unify_rows, unify_table
 
 
 def struct(*fields):
@@ -44,7 +44,8 @@ def test_fewest_moves_by_brute_force(a, data):
 
     ids = range(1, len(a) + 1)
     best = max(n for n in range(len(a) + 1) for keep in itertools.combinations(ids, n) if restricted(old, set(keep)) == restricted(new, set(keep)))
-    kept = unmoved(old, new)
+    frozen = lambda kids, at=0: tuple((k, frozen(kids, k)) for k in kids.get(at, []))
+    kept, _ = matches(frozen(old), frozen(new))
     assert len(kept) == best and restricted(old, kept) == restricted(new, kept)
 
 
@@ -91,3 +92,46 @@ def test_values_that_fit_nowhere_come_out_beside_the_row(spark):
     rows = spark.createDataFrame([(1, "t", 0, '{"a": {"x": 1}}'), (2, "t", 1, '{"a": "u"}')], "raw_id int, table_name string, schema_id int, body string")
     out = {r["raw_id"]: (json.loads(r["row"]), r["rest"] and json.loads(r["rest"])["1"], r["problem"]) for r in unify_rows(rows, meta, keys=["raw_id"]).collect()}
     assert out == {1: ({"a": None}, {"x": 1}, "no fit: a"), 2: ({"a": "u"}, None, None)}
+
+
+def test_cheapest_script_by_brute_force_with_nodes_on_one_side():
+    import random
+
+    rng = random.Random(7)
+    for _ in range(150):
+        def grow():
+            ids = rng.sample(range(1, 8), rng.randint(1, 5))
+            kids = {}
+            for n, i in enumerate(sorted(ids)):
+                kids.setdefault(rng.choice([0, *sorted(ids)[:n]]), []).append(i)
+            return kids
+
+        old, new = grow(), grow()
+        frozen = lambda kids, at=0: tuple((k, frozen(kids, k)) for k in kids.get(at, []))
+
+        def restricted(kids, keep):
+            def walk(at):
+                return [x for k in kids.get(at, []) for x in ([(k, tuple(walk(k)))] if k in keep else walk(k))]
+
+            return walk(0)
+
+        both = sorted({i for k in old.values() for i in k} & {i for k in new.values() for i in k})
+        best = max(n for n in range(len(both) + 1) for keep in itertools.combinations(both, n) if restricted(old, set(keep)) == restricted(new, set(keep)))
+        kept, _ = matches(frozen(old), frozen(new))
+        assert len(kept) == best and kept <= set(both) and restricted(old, kept) == restricted(new, kept)
+
+
+def test_current_schema_dropped_fields_and_exact_numbers(spark):
+    v0 = struct((1, "a", "string"), (2, "n", "decimal(38,20)")) | {"schema-id": 0}
+    v1 = struct((1, "b", "string"), (2, "n", "decimal(38,20)"), (3, "extra", struct((4, "x", "int")))) | {"schema-id": 1}
+    docs = [(1, "t", json.dumps({"schemas": [v0, v1], "current-schema-id": 1})), (2, "t", json.dumps({"schemas": [v0, v1], "current-schema-id": 0})), (3, "t", json.dumps({"current-schema-id": 1})[:-3]), (1, "u", json.dumps({"schemas": [v0, v1]}))]
+    meta = spark.createDataFrame(docs, "metadata_id bigint, table_name string, metadata string")
+    body = '{"b": "x", "n": 123456789012345678.12345678901234567890, "extra": {"x": 5}}'
+    rows = spark.createDataFrame([(1, "t", 1, body), (2, "u", 0, '{"a": "y", "n": "1.50"}'), (3, None, 0, "{}"), (4, "t", None, '{"a": "z"}')], "raw_id bigint, table_name string, schema_id int, body string")
+    u = unify_rows(rows, meta, keys=["raw_id"])
+    got = {r["raw_id"]: r for r in u.collect()}
+    assert got[1]["latest_schema_id"] == 0 and json.loads(got[1]["row"]) == {"a": "x", "n": "123456789012345678.1234567890123456789"} and json.loads(got[1]["rest"]) == {"3": {"x": 5}} and got[1]["problem"] is None
+    assert got[2]["latest_schema_id"] == 1 and json.loads(got[2]["row"]) == {"b": "y", "n": "1.5", "extra": None} and got[3]["problem"] == "unknown table" and got[4]["problem"] == "unknown schema"
+    t = unify_table(u, meta, "u", keys=["raw_id"])
+    assert t.dtypes == [("raw_id", "bigint"), ("b", "string"), ("n", "decimal(38,20)"), ("extra", "struct<x:int>"), ("rest", "string"), ("problem", "string")]
+    assert t.first()["b"] == "y" and str(t.first()["n"]).startswith("1.5")
