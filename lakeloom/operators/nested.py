@@ -2,9 +2,11 @@
 
 Lists are flattened level by level: the offsets of a list array say how many children
 each row has, the parent-index kernel says whose they are, and the keys reach the
-children by one vectorised ``take``. No row is walked to emit its children. The work is
-a ``mapInArrow`` without shuffle, so it goes with the input's partitions; the only
-shuffle is the final removal of repeated rows, combined map-side.
+children by one vectorised ``take``. No row is walked to emit its children. JSON text is
+treated alike: its brackets and quotes are found in the whole buffer at once, which gives
+the same offsets (:class:`JsonArrays`). The work is a ``mapInArrow`` without shuffle, so it
+goes with the input's partitions; the only shuffle is the final removal of repeated rows,
+combined map-side.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -90,48 +93,205 @@ def type_name(t: object) -> str:
     return "".join(str(t).split()).lower()
 
 
-def _schema_nodes(owners: pa.Array, roots: list[object]) -> Iterator[pa.RecordBatch]:
-    """One batch per level of nesting: owner (position of the schema), field_id, parent_id, name, type."""
-    owner, parent, level = owners, pa.array([0] * len(roots), pa.int32()), roots
-    while level:
-        kids = [children_of(t) for t in level]
-        offsets = pa.array([0], pa.int32()) if not kids else pc.cumulative_sum(pa.array([0, *map(len, kids)], pa.int32()))
-        flat = [k for ks in kids for k in ks]
-        lists = pa.ListArray.from_arrays(offsets, pa.array([k[0] for k in flat], pa.int32()))
-        of = pc.list_parent_indices(lists)
-        ids, owner, above = pc.list_flatten(lists), pc.take(owner, of), pc.take(parent, of)
-        yield pa.RecordBatch.from_arrays([owner, ids, above, pa.array([k[1] for k in flat], pa.string()), pa.array([type_name(k[2]) for k in flat], pa.string())], ["owner", "field_id", "parent_id", "name", "type"])
-        deeper = pa.array([isinstance(k[2], dict) for k in flat], pa.bool_())
-        # a node without an id of its own passes the id around it to its children
-        parent, owner = pc.filter(pc.coalesce(ids, above), deeper), pc.filter(owner, deeper)
-        level = [k[2] for k in flat if isinstance(k[2], dict)]
-
+#: Bytes of JSON text whose structure is found at a time; bounds a worker's memory (about 100 bytes for each).
+CHUNK_BYTES = 1 << 20
 
 NODES = T.StructType(
     [T.StructField("table_name", T.StringType()), T.StructField("schema_id", T.IntegerType()), T.StructField("field_id", T.IntegerType()), T.StructField("parent_field_id", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("type", T.StringType())]
 )
 
 
+class JsonArrays:
+    """Where the values of JSON objects lie in the buffer of a string array, found by operations on whole arrays.
+
+    Texts must be valid. Brackets outside strings give each object and array its depth;
+    from that follow, by one search for all of them, what lies around each, which objects
+    an array holds (as offsets into one list), and for each object where the value of each
+    wanted key begins. No text is parsed on its own.
+    """
+
+    def __init__(self, texts: pa.Array, keys: tuple[str, ...]) -> None:
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        b = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        self.b, starts, n = b, ends - ends[0], len(b)
+        at = np.arange(n, dtype=np.int64)
+        quote = b == 34
+        slash = b == 92
+        if slash.any():  # a quote behind an odd number of backslashes is none
+            other = np.maximum.accumulate(np.where(slash, -1, at))
+            behind = np.append(np.int64(-1), other[:-1])
+            quote &= (at - 1 - behind) % 2 == 0
+        free = (np.cumsum(quote) % 2 == 0) & ~quote
+        self.quotes = np.flatnonzero(quote)
+        opening, closing = free & ((b == 123) | (b == 91)), free & ((b == 125) | (b == 93))
+        depth = np.cumsum(opening.astype(np.int32) - closing.astype(np.int32))
+        self.open = np.flatnonzero(opening)
+        level = depth[self.open].astype(np.int64)
+        order = np.argsort(level, kind="stable")
+        place = level[order] * n + self.open[order]
+        around = lambda p, d: order[np.searchsorted(place, d * n + p, side="right") - 1]
+        self.parent = np.where(level > 1, around(self.open, np.maximum(level - 1, 1)), -1) if len(self.open) else np.zeros(0, np.int64)
+        self.row = np.searchsorted(starts, self.open, side="right") - 1
+        self.roots = np.flatnonzero((level == 1) & (b[self.open] == 123))
+        self.stops = np.flatnonzero(free & ((b == 44) | (b == 125) | (b == 93) | (b == 32) | (b == 9) | (b == 10) | (b == 13)))
+        solid = ~((b == 32) | (b == 9) | (b == 10) | (b == 13))
+        following = np.minimum.accumulate(np.where(solid, at, n)[::-1])[::-1]
+        # objects inside each array, as one list with offsets
+        is_object = b[self.open] == 123
+        held = np.flatnonzero((self.parent >= 0) & is_object)
+        self.members = held[np.argsort(self.parent[held], kind="stable")]
+        self.offsets = np.searchsorted(self.parent[self.members], np.arange(len(self.open) + 1))
+        colons = np.flatnonzero(free & (b == 58))
+        end = self.quotes[np.searchsorted(self.quotes, colons) - 1] if len(colons) else colons
+        begin = self.quotes[np.searchsorted(self.quotes, colons) - 2] + 1 if len(colons) else colons
+        owner = around(colons, depth[colons].astype(np.int64)) if len(colons) else colons
+        value = following[colons + 1] if len(colons) else colons
+        self.value = {}
+        for k in keys:
+            raw = k.encode()
+            hit = np.flatnonzero(end - begin == len(raw))
+            for j, c in enumerate(raw):
+                hit = hit[b[begin[hit] + j] == c]
+            found = np.full(len(self.open), -1, np.int64)
+            found[owner[hit]] = value[hit]  # of a repeated key the last counts
+            self.value[k] = found
+
+    def container(self, at: np.ndarray, bracket: str) -> np.ndarray:
+        """Number of the object or array that begins at each place; -1 where none of that kind does."""
+        ok = at >= 0
+        ok[ok] = self.b[at[ok]] == ord(bracket)
+        out = np.full(len(at), -1, np.int64)
+        out[ok] = np.searchsorted(self.open, at[ok])
+        return out
+
+    def objects_in(self, arrays: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(objects inside the arrays, which of the arrays each lies in); -1 is an empty array."""
+        known = np.where(arrays >= 0, arrays, 0)
+        first = self.offsets[known] if len(self.open) else known
+        count = np.where(arrays >= 0, self.offsets[known + 1] - first, 0) if len(self.open) else known
+        of = np.repeat(np.arange(len(arrays)), count)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        return self.members[first[of] + nth], of
+
+    def text(self, at: np.ndarray) -> pa.Array:
+        """Strings, and other scalars as they are written; null where there is none, and for objects and arrays."""
+        begin, end = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        ok = at >= 0
+        first = np.zeros(len(at), np.uint8)
+        first[ok] = self.b[at[ok]]
+        string, scalar = first == 34, ok & ~np.isin(first, (34, 123, 91, 110))
+        begin[string] = at[string] + 1
+        end[string] = self.quotes[np.searchsorted(self.quotes, at[string]) + 1]
+        begin[scalar] = at[scalar]
+        end[scalar] = self.stops[np.searchsorted(self.stops, at[scalar])]
+        length = end - begin
+        offsets = np.append(0, np.cumsum(length)).astype(np.int32)
+        data = self.b[np.repeat(begin - offsets[:-1], length) + np.arange(offsets[-1])]
+        valid = string | scalar
+        bits = pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
+        out = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()), bits, int((~valid).sum()))
+        escaped = pc.fill_null(pc.match_substring(out, "\\"), False)
+        if pc.any(escaped).as_py():
+            plain_text = [json.loads(f'"{x}"') for x in out.filter(escaped).to_pylist()]
+            out = pc.replace_with_mask(out, escaped, pa.array(plain_text, pa.string()))
+        return out
+
+
+def _ids(texts: pa.Array) -> pa.Array:
+    """Ids given as numbers or as text; null for anything else."""
+    t = pc.utf8_trim_whitespace(texts)
+    ok = pc.fill_null(pc.match_substring_regex(t, r"^[-+]?\d{1,9}\d?(\.0*)?$"), False)
+    n = pc.cast(pc.if_else(ok, pc.replace_substring_regex(t, r"^\+|\.0*$", ""), pa.scalar(None, pa.string())), pa.int64())
+    return pc.cast(pc.if_else(pc.less(pc.abs(n), 1 << 31), n, pa.scalar(None, pa.int64())), pa.int32())
+
+
+_KEYS = ("schemas", "schema", "schema-id", "fields", "id", "name", "type", "element-id", "element", "key-id", "key", "value-id", "value")
+
+
+def _type_names(j: JsonArrays, at: np.ndarray) -> pa.Array:
+    """Names of the types that begin at these places: struct, list or map for nested ones, else without blanks in lower case."""
+    inner = j.container(at, "{")
+    while len(inner) and (deeper := j.container(np.where(inner >= 0, j.value["type"][inner], -1), "{")).max() >= 0:  # wrappers around the type
+        inner = np.where(deeper >= 0, deeper, inner)
+    nested = inner >= 0
+    said = j.text(np.where(nested, j.value["type"][inner], at) if len(j.open) else at)
+    said = pc.coalesce(pc.utf8_lower(pc.replace_substring_regex(said, r"\s", "")), pa.scalar("none"))
+    fields = nested & (j.value["fields"][inner] >= 0) if len(j.open) else nested
+    return pc.if_else(pa.array(fields), pa.scalar("struct"), said)
+
+
+def _schema_nodes(tables: pa.Array, texts: pa.Array) -> Iterator[pa.Table]:
+    """One table per level of nesting, as NODES, of metadata documents."""
+    j = JsonArrays(texts, _KEYS)
+    if not len(j.open):
+        return
+    v = j.value
+    listed, _ = j.objects_in(j.container(v["schemas"][j.roots], "["))
+    single = j.container(v["schema"][j.roots], "{")
+    types = np.concatenate([listed, single[single >= 0]])
+    sid = _ids(j.text(v["schema-id"][types]))
+    sid = pc.if_else(pa.array(v["schema-id"][types] < 0), pa.scalar(0, pa.int32()), sid)
+    known = np.asarray(pc.is_valid(sid))
+    types, sid = types[known], sid.filter(pa.array(known))
+    table, parent = pc.take(tables, pa.array(j.row[types])), pa.array(np.zeros(len(types), np.int32))
+    while len(types):
+        wrapped = j.container(v["type"][types], "{")
+        kind = pc.utf8_lower(pc.utf8_trim_whitespace(pc.fill_null(j.text(v["type"][types]), "")))
+        is_list, is_map = (np.asarray(pc.equal(kind, k)) & (wrapped < 0) for k in ("list", "map"))
+        other = ~is_list & ~is_map & (wrapped < 0)
+        members, of = j.objects_in(np.where(other, j.container(v["fields"][types], "["), -1))
+        w, li, m = np.flatnonzero(wrapped >= 0), np.flatnonzero(is_list), np.flatnonzero(is_map)
+        of = np.concatenate([of, w, li, m, m])  # whose child each is: the keys follow by take
+        none = np.full(len(w), -1, np.int64)
+        ids = _ids(j.text(np.concatenate([v["id"][members], none, v["element-id"][types[li]], v["key-id"][types[m]], v["value-id"][types[m]]])))
+        fixed = pa.array(["element"] * len(li) + ["key"] * len(m) + ["value"] * len(m), pa.string())
+        name = pa.concat_arrays([j.text(v["name"][members]), pa.nulls(len(w), pa.string()), fixed])
+        at = np.concatenate([v["type"][members], v["type"][types[w]], v["element"][types[li]], v["key"][types[m]], v["value"][types[m]]])
+        of = pa.array(of)
+        table, sid, parent = pc.take(table, of), pc.take(sid, of), pc.take(parent, of)
+        t = pa.table([table, sid, ids, parent, name, _type_names(j, at)], names=NODES.names)
+        yield t.filter(pc.is_valid(ids))
+        inner = j.container(at, "{")
+        deeper = pa.array(inner >= 0)
+        # a node without an id of its own passes the id around it to its children
+        table, sid, parent, types = table.filter(deeper), sid.filter(deeper), pc.coalesce(ids, parent).filter(deeper), inner[inner >= 0]
+
+
+def _decoded(x: object) -> object:
+    x = plain(x)
+    return {k: _decoded(y) for k, y in x.items()} if isinstance(x, dict) else [_decoded(y) for y in x] if isinstance(x, list) else x
+
+
 def flatten_schemas(metadata: DataFrame, table_col: str = "table_name", json_col: str = "metadata", columns: list[str] | None = None) -> DataFrame:
     """Every node with an id of every schema: table_name, schema_id, field_id, parent_field_id (0 at the top), name, type.
 
-    Rows are distinct, over ``columns`` if given. Defined cases: text that is null or no JSON object holds no
-    schema; ids given as text count as numbers; nodes without a usable id give no row,
-    their children hang from the next node around them; a null table name stays null;
-    an empty table gives an empty result.
+    Rows are distinct, over ``columns`` if given. Texts are taken in pieces of
+    ``CHUNK_BYTES``, as they stand in the Arrow buffer; a document in which objects were
+    written as JSON text inside a string is decoded first, the only ones to be parsed.
+
+    Defined cases: text that is null or no JSON object holds no schema; ids given as text
+    count as numbers; a schema without an id has 0; nodes without a usable id give no row,
+    their children hang from the next node around them; a null table name stays null; an
+    empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(i, sid, s) for i, text in enumerate(b.column(1).to_pylist()) for sid, s in schemas_of(text)]
-            row, sid = pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32())
-            for level in _schema_nodes(pa.array(range(len(found)), pa.int32()), [f[2] for f in found]):
-                own = level.column(0)
-                t = pa.table([pc.take(b.column(0), pc.take(row, own)), pc.take(sid, own), *level.columns[1:]], names=NODES.names)
-                t = t.filter(pc.is_valid(t["field_id"])).group_by(NODES.names).aggregate([])  # repeats within the batch
-                yield from t.select(NODES.names).to_batches()
-
-    two = metadata.select(F.col(table_col).cast("string"), F.col(json_col).cast("string"))
+            tables, texts = pc.cast(b.column(0), pa.string()), pc.cast(b.column(1), pa.string())
+            coded = pc.match_substring_regex(texts, r'"\s*[\[{]')
+            if pc.any(coded).as_py():
+                texts = pc.replace_with_mask(texts, coded, pa.array([json.dumps(_decoded(json.loads(x))) for x in texts.filter(coded).to_pylist()], pa.string()))
+            size = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+            cuts = np.searchsorted(size, np.arange(0, (size[-1] if len(size) else 0) + CHUNK_BYTES, CHUNK_BYTES), side="right")
+            for first, last in zip([0, *cuts], [*cuts, len(size)]):
+                if first < last:
+                    levels = [*_schema_nodes(tables.slice(first, last - first), texts.slice(first, last - first))]
+                    if levels:
+                        t = pa.concat_tables(levels).group_by(NODES.names).aggregate([])  # repeats within the piece
+                        yield from t.select(NODES.names).to_batches()
+
+    text = F.col(json_col).cast("string")
+    two = metadata.select(F.col(table_col).cast("string"), text.alias("doc")).filter(F.json_object_keys("doc").isNotNull())
     return two.mapInArrow(run, NODES).select(columns or NODES.names).distinct()
 
 

@@ -18,6 +18,42 @@ def test_flatten_schemas_edge_cases(spark):
     assert flatten_schemas(df.limit(0)).count() == 0 and schemas_of("17") == []
 
 
+def test_types_of_any_depth_against_a_walk(spark):
+    import random
+
+    from lakeloom.operators.nested import as_int, children_of, type_name
+
+    rng, ids = random.Random(3), iter(range(1, 100_000))
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice(["int", "String", " decimal( 9, 2)"])
+        kind = rng.choice(["struct", "list", "map", "struct"])
+        if kind == "list":
+            t = {"type": "list", "element-id": next(ids), "element": grow(depth - 1)}
+        elif kind == "map":
+            t = {"type": "MAP ", "key-id": str(next(ids)), "key": "string", "value-id": float(next(ids)), "value": grow(depth - 1)}
+        else:
+            t = {"type": "struct", "fields": [{"id": next(ids) if rng.random() < 0.9 else None, "name": f"n{k} \"é\"", "type": grow(depth - 1)} for k in range(rng.randint(0, 3))] + [7]}
+        return json.dumps(t) if rng.random() < 0.2 else {"type": t} if rng.random() < 0.1 else t
+
+    def walk(t, parent, out):
+        for i, name, kind, _ in children_of(t):
+            if i is not None:
+                out.add((i, parent, name, type_name(kind)))
+            walk(kind, parent if i is None else i, out)
+
+    docs, want = [], set()
+    for n in range(40):
+        schema = {"schema-id": n, "type": "struct", "fields": [{"id": next(ids), "name": "top", "type": grow(n % 12)}]}
+        docs.append((f"t{n % 3}", json.dumps({"schemas": [schema, None, 3]}) if n % 2 else json.dumps({"schema": schema})))
+        out = set()
+        walk(schema, 0, out)
+        want |= {(f"t{n % 3}", n, *x) for x in out}
+    got = {tuple(r) for r in flatten_schemas(spark.createDataFrame(docs, "table_name string, metadata string")).collect()}
+    assert got == want and as_int("5") == 5
+
+
 SCHEMA = "k int, name string, a array<struct<x:int, s:struct<y:string>, b:array<struct<z:int>>>>, w struct<u:int, c:array<struct<k:int>>>"
 
 
