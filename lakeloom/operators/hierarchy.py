@@ -32,7 +32,11 @@ from lakeloom.shared import materialize
 FRAGMENT_ROWS = 200_000
 
 
-def _contract(pdf: pd.DataFrame, paths: bool) -> pd.DataFrame:
+#: Path entries that a worker holds at a time; the paths of one fragment leave it in pieces of about that size.
+PATH_ENTRIES = 1_000_000
+
+
+def _contract(pdf: pd.DataFrame, paths: bool) -> Iterator[pd.DataFrame]:
     """Follow every chain inside one fragment; the rows keep their form, with the link that leaves the fragment."""
     n = len(pdf)
     codes, _ = pd.factorize(pdf["g"], use_na_sentinel=False)
@@ -55,11 +59,43 @@ def _contract(pdf: pd.DataFrame, paths: bool) -> pd.DataFrame:
     out["wl"] = np.where(cyclic, 0, d + wl[nxt])
     out["cyc"] = cyclic
     if paths:
-        own, seg = pdf["seg"].tolist(), [None] * n
-        for i in np.argsort(np.where(cyclic, -1, d), kind="stable"):
-            seg[i] = [] if cyclic[i] else list(own[i]) if par[i] < 0 else [*own[i], *seg[par[i]]]
-        out["seg"] = seg
-    return out
+        yield from _with_paths(out, pdf["seg"].to_numpy(), np.where(cyclic, -1, par), np.where(cyclic, -1, d), cyclic)
+    else:
+        yield out
+
+
+def _with_paths(out: pd.DataFrame, own: np.ndarray, par: np.ndarray, d: np.ndarray, cyclic: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The rows with the path inside the fragment, in pieces.
+
+    From the deepest rows on, each chain that is not yet covered is laid out once; the
+    path of every row on it is a view of its end, so a chain takes as much memory as it
+    has links, and only what leaves in one piece is spelt out.
+    """
+    done, rows, segs, held = cyclic.copy(), [], [], 0
+    if cyclic.any():
+        yield out[cyclic].assign(seg=[np.zeros(0, np.int64)] * int(cyclic.sum()))
+    for i in np.argsort(-d, kind="stable"):
+        if done[i]:
+            continue
+        chain, fresh = [], 0
+        at = i
+        while at >= 0:
+            chain.append(at)
+            fresh += not done[at]
+            at = par[at]
+        flat = np.concatenate([np.asarray(own[c], np.int64) for c in chain])
+        place = 0
+        for c in chain[:fresh]:  # rows above a covered one are covered
+            done[c] = True
+            rows.append(c)
+            segs.append(flat[place:])
+            held += len(flat) - place
+            place += len(own[c])
+            if held >= PATH_ENTRIES:
+                yield out.iloc[rows].assign(seg=segs)
+                rows, segs, held = [], [], 0
+    if rows:
+        yield out.iloc[rows].assign(seg=segs)
 
 
 def _fragments(batches: Iterator[pd.DataFrame], rows: int, paths: bool) -> Iterator[pd.DataFrame]:
@@ -68,10 +104,10 @@ def _fragments(batches: Iterator[pd.DataFrame], rows: int, paths: bool) -> Itera
         held.append(b)
         count += len(b)
         if count >= rows:
-            yield _contract(pd.concat(held, ignore_index=True), paths)
+            yield from _contract(pd.concat(held, ignore_index=True), paths)
             held, count = [], 0
     if held:
-        yield _contract(pd.concat(held, ignore_index=True), paths)
+        yield from _contract(pd.concat(held, ignore_index=True), paths)
 
 
 def _contracted(nodes: DataFrame, rows: int, paths: bool) -> DataFrame:

@@ -55,6 +55,25 @@ def limit_by_query(df: DataFrame, order: list[Column], n: DataFrame) -> DataFram
     return df.orderBy(*order).limit(int(rows[0][0]))
 
 
+def percentiles(df: DataFrame, by: list[str], value: str, fractions: list[float], name: str = "q") -> DataFrame:
+    """percentile_cont of several fractions per group, as an array: lo + part * (hi - lo) between the two nearest values.
+
+    Equal values are counted before the shuffle, so a group's window sees each value once
+    and is sorted on disk if need be. Nulls are left out; a group of nulls alone gives no
+    row; without ``by`` there is one group.
+    """
+    if not all(0 <= f <= 1 for f in fractions):
+        raise ValueError("fractions lie between 0 and 1")
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    placed = counted.withColumns({"_to": F.sum("_n").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(group)})
+    at = lambda f: F.lit(float(f)) * (F.col("_all") - 1)
+    here = lambda i: F.max(F.when((F.col("_to") - F.col("_n") <= i) & (i < F.col("_to")), F.col("_v")))
+    found = placed.groupBy(*by).agg(F.max("_all").alias("_all"), *[x for k, f in enumerate(fractions) for x in (here(F.floor(at(f))).alias(f"_lo{k}"), here(F.ceil(at(f))).alias(f"_hi{k}"))])
+    q = [F.col(f"_lo{k}") + (at(f) - F.floor(at(f))) * (F.col(f"_hi{k}") - F.col(f"_lo{k}")) for k, f in enumerate(fractions)]
+    return found.select(*by, F.array(*q).alias(name))
+
+
 def window_exclude(value: Column, how: str, exclude: str, partition: list[str], order: list[str], start: int = Window.unboundedPreceding, end: int = Window.unboundedFollowing) -> Column:
     """An aggregate over a frame ``ROWS BETWEEN start AND end`` with EXCLUDE CURRENT ROW, GROUP, TIES or NO OTHERS.
 

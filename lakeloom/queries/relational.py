@@ -75,7 +75,14 @@ S("agg_stats", "SELECT l_returnflag, round(stddev(l_quantity), 6) AS sd, round(s
 S("agg_corr_covar", "SELECT l_returnflag, round(corr(l_extendedprice, l_quantity), 6) AS c, round(covar_pop(l_extendedprice, l_quantity), 2) AS cp, round(covar_samp(l_extendedprice, l_quantity), 2) AS cs FROM lineitem GROUP BY l_returnflag")
 S("agg_regr", "SELECT l_returnflag, round(regr_avgx(l_extendedprice, l_quantity), 5) AS ax, round(regr_avgy(l_extendedprice, l_quantity), 3) AS ay, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n, round(regr_intercept(l_extendedprice, l_quantity), 3) AS i, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(regr_slope(l_extendedprice, l_quantity), 4) AS s, round(regr_sxx(l_extendedprice, l_quantity), 1) AS sxx, round(regr_sxy(l_extendedprice, l_quantity), 0) AS sxy, round(regr_syy(l_extendedprice, l_quantity) / 1e6, 1) AS syy FROM lineitem GROUP BY l_returnflag")
 S("agg_percentile", "SELECT o_orderstatus, percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice) AS med, percentile_disc(0.9) WITHIN GROUP (ORDER BY o_totalprice) AS p90 FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, quantile_cont(o_totalprice, 0.5) AS med, quantile_disc(o_totalprice, 0.9) AS p90 FROM orders GROUP BY o_orderstatus")
-S("agg_percentile_array", "SELECT o_orderstatus, percentile(o_totalprice, array(0.25, 0.5, 0.75)) AS q FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) AS q FROM orders GROUP BY o_orderstatus")
+
+
+@R.add("agg_percentile_array", "SELECT o_orderstatus, quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) AS q FROM orders GROUP BY o_orderstatus")
+def agg_percentile_array(spark: SparkSession, sf: str) -> DataFrame:
+    """Several percentiles of each group at once."""
+    return rel.percentiles(table(spark, sf, "orders"), ["o_orderstatus"], "o_totalprice", [0.25, 0.5, 0.75])
+
+
 S("agg_mode", "SELECT c_nationkey, mode(c_mktsegment, true) AS m FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, arg_min(c_mktsegment, (-n, c_mktsegment)) AS m FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) GROUP BY c_nationkey")
 S("agg_bool", "SELECT l_returnflag, bool_and(l_quantity > 0) AS every, bool_or(l_discount > 0.09) AS some FROM lineitem GROUP BY l_returnflag")
 S("agg_any_value", "SELECT n_regionkey, any_value(n_regionkey) AS a, max(n_name) AS m, min(n_name) AS l FROM nation GROUP BY n_regionkey")

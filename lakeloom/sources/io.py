@@ -47,6 +47,13 @@ def check_url(path: str) -> str:
     return path
 
 
+def _quoted_breaks(spark: SparkSession, paths: list[str], quote: str) -> bool:
+    """Whether a quoted field of the files goes over several lines: a line then has an odd number of quotes. One scan, which ends at the first such line of each task."""
+    lines = spark.read.text(paths)
+    odd = (F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))) % 2 == 1
+    return not lines.filter(odd).limit(1).isEmpty()
+
+
 def sniff_csv(spark: SparkSession, path: str, sample_lines: int = 200) -> dict[str, str]:
     """Delimiter, quote and header of CSV files, from their first lines."""
     lines = [r[0] for r in spark.read.text(path).limit(sample_lines).collect() if r[0]]
@@ -72,7 +79,9 @@ def sniff_csv(spark: SparkSession, path: str, sample_lines: int = 200) -> dict[s
 def read(spark: SparkSession, path: str | list[str], format: str | None = None, *, schema: T.StructType | str | None = None, filename: bool = False, compression: str | None = None, **options: object) -> DataFrame:  # noqa: A002
     """Read files of one format (a path, a glob or a list). ``filename`` adds ``_filename``, on which filters prune files.
 
-    Options: header, delimiter, quote, escape, null for CSV; array for JSON files that hold
+    Options: header, delimiter, quote, escape, null and multiline for CSV; files are split
+    among tasks unless a quoted field holds a line break, which is looked for where
+    ``multiline`` does not say so; array for JSON files that hold
     one array; log_format for logs. Without a schema, types are inferred.
     """
     paths = [check_url(p) for p in ([path] if isinstance(path, str) else path)]
@@ -96,7 +105,9 @@ def read(spark: SparkSession, path: str | list[str], format: str | None = None,
         if f == "csv":
             said = {"sep": options.get("delimiter"), "quote": options.get("quote"), "header": options.get("header"), "escape": options.get("escape"), "nullValue": options.get("null")}
             found = sniff_csv(spark, paths[0]) if any(said[k] is None for k in ("sep", "quote", "header")) else {}
-            opts = {"escape": '"', "multiLine": "false", "inferSchema": str(schema is None).lower(), "preferDate": "true"} | found | {k: str(v).lower() if isinstance(v, bool) else v for k, v in said.items() if v is not None}
+            quote = str(said["quote"] if said["quote"] is not None else found.get("quote", '"'))
+            breaks = options["multiline"] if options.get("multiline") is not None else bool(quote) and _quoted_breaks(spark, paths, quote)
+            opts = {"escape": '"', "multiLine": str(bool(breaks)).lower(), "inferSchema": str(schema is None).lower(), "preferDate": "true"} | found | {k: str(v).lower() if isinstance(v, bool) else v for k, v in said.items() if v is not None}
             df = r.options(**opts).csv(paths)
         elif f == "json":
             df = r.option("multiLine", str(bool(options.get("array"))).lower()).json(paths)

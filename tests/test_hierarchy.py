@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -85,3 +86,29 @@ def test_descendants_on_and_below_cycles(spark, k):
     got = all_descendants(df, "id", "up", "t", fragment_rows=k).collect()
     assert len(got) == len(pairs) and {tuple(r)[:4] for r in got} == {(*key, n) for key, n in pairs.items()}
     assert pairs["a", 3, 4] == 1 and all(r["in_cycle"] == ((r["t"], r["ancestor"]) in ring) for r in got)
+
+
+def test_a_chain_of_a_million_and_long_paths_in_bounded_memory(spark):
+    import resource
+
+    import numpy as np
+    import pandas as pd
+
+    from lakeloom.operators import hierarchy
+
+    n = 1_000_000
+    chain = spark.range(n).select(F.lit("t").alias("g"), F.col("id").alias("n"), F.when(F.col("id") > 0, F.col("id") - 1).alias("p"))
+    r = hierarchy.resolve_hierarchy(chain, "n", "p", "g")
+    assert tuple(r.agg(F.count("*"), F.max("depth"), F.sum("depth"), F.max("root")).first()) == (n, n - 1, n * (n - 1) // 2, 0)
+
+    k = 16_000  # 128 million path entries leave one fragment, a million at a time
+    ids = np.arange(k)
+    pdf = pd.DataFrame({"g": "t", "n": ids, "p": np.maximum(ids - 1, 0), "linked": ids > 0, "last": ids, "wl": 0, "cyc": False, "seg": [np.array([i]) for i in ids]})
+    before, rows, entries = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, 0, 0
+    for piece in hierarchy._contract(pdf, True):
+        rows += len(piece)
+        size = sum(map(len, piece["seg"]))
+        assert size < hierarchy.PATH_ENTRIES + k
+        entries += size
+    assert rows == k and entries == k * (k + 1) // 2
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000  # KB
