@@ -163,6 +163,33 @@ def _transform(g, source: str, target: str):
     return g if a == b else G.mapped(g, lambda p: G.web_mercator(p, a == "merc"))
 
 
+def _loops(ring: list) -> list[list]:
+    """The simple loops of a ring, which is cut wherever it meets itself."""
+    sides = [(p[:2], q[:2]) for p, q in zip(ring, ring[1:]) if p[:2] != q[:2]]
+    walk, out = [], []
+    for p, q in sides:
+        cuts = {e for piece in G._cut([(p, q)], [s for s in sides if s != (p, q)]) for e in piece}
+        for v in sorted(cuts - {q}, key=lambda e: (e[0] - p[0]) ** 2 + (e[1] - p[1]) ** 2):
+            if v in walk:
+                out.append([*walk[walk.index(v) :], v])
+                walk = walk[: walk.index(v)]
+            walk.append(v)
+    out.append([*walk, walk[0]] if walk else [])
+    return [r for r in out if len(r) > 3]
+
+
+def _made_valid(g):
+    """A valid geometry as it is; of another surface, the area that an odd number of its loops goes round."""
+    if G.is_valid(g) or g[0] not in ("Polygon", "MultiPolygon"):
+        return g
+    done = ("Polygon", [])
+    for _, rings in G.parts(g):
+        for loop in (x for r in rings for x in _loops(r)):
+            one = ("Polygon", [loop])
+            done = one if G.is_empty(done) else G.combine(G.combine(done, one, "difference"), G.combine(one, done, "difference"), "union")
+    return done
+
+
 # Input and output
 st_geomfromtext = _udf(lambda t: G.to_wkb(G.from_wkt(t)), "binary", 1)
 st_geometryfromtext = st_geomfromtext
@@ -219,6 +246,7 @@ st_buffer = _udf(_wkb(_buffer), "binary", 2, 1)
 st_intersection = _udf(_wkb(lambda a, b, *_: G.combine(a, b, "intersection")), "binary", 2, 1)
 st_difference = _udf(_wkb(lambda a, b, *_: G.combine(a, b, "difference")), "binary", 2, 1)
 st_union = _udf(_wkb(lambda a, b: G.combine(a, b, "union")), "binary", 2)
+st_makevalid = _udf(_wkb(_made_valid), "binary", 1)
 st_linemerge = _udf(_wkb(lambda g, *_: G.merged_lines(g)), "binary", 1, 1)
 st_transform = _udf(_wkb(_transform), "binary", 3)
 postgis_transform_geometry = _udf(_wkb(lambda g, source, target, *_: _transform(g, source, target)), "binary", 3, 1)
