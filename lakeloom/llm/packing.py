@@ -17,11 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.operators.ordered import pieces
 from lakeloom.shared import materialize
 
 CAPACITY = 536_870_912
 PRECISION = 10
+#: Into how many parts the items of one length are dealt before they are ranked; a fixed number, so that the result does not depend on the session.
+SUBGROUPS = 64
 
 PLAN = "bin bigint, lo bigint, hi bigint, container bigint, each bigint"
 
@@ -101,7 +102,7 @@ def pack(items: DataFrame, group: str, size: str, key: str, *, capacity: int = C
     cut = src.withColumn("piece", F.explode(parts))
     cut = cut.withColumn("s", F.when(known, F.least(F.lit(capacity).cast("bigint"), F.col("whole") - F.col("piece") * capacity)))
     cut = cut.withColumn("bin", F.when(F.col("s").isNotNull(), F.least(F.lit(capacity).cast("bigint"), rounded_up(F.col("s"), precision))))  # least skips nulls
-    cut = cut.withColumn("sub", F.pmod(F.xxhash64("k", "piece"), F.lit(pieces(items))))
+    cut = cut.withColumn("sub", F.pmod(F.xxhash64("k", "piece"), F.lit(SUBGROUPS)))
     cut = materialize(cut.select("g", "k", "piece", "s", "bin", "sub"), "packing")
 
     counts = cut.filter(F.col("bin").isNotNull()).groupBy("g", "bin", "sub").agg(F.count("*").alias("c"))

@@ -80,3 +80,19 @@ def test_hot_group_and_ties(spark):
     for t in ("hot", "cold"):
         sizes = [r[2] for r in rows if r[0] == t]
         assert len([k for k in load if k[0] == t]) == plain_best_fit(sizes, 100)
+
+
+def test_containers_do_not_depend_on_the_number_of_shuffle_partitions(spark):
+    import random
+
+    from lakeloom.llm.packing import pack
+
+    rng = random.Random(1)
+    df = spark.createDataFrame([("t", i, rng.choice([10, 20, 30, 70, 250])) for i in range(500)], "g string, k bigint, size bigint")
+    got, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("3", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        r = pack(df, "g", "k", "size", capacity=300)
+        got.append(sorted(map(str, r.collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
