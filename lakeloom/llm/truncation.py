@@ -52,13 +52,13 @@ FLUSH = 200_000
 #: Tokens counted at a time; bounds the memory of a worker.
 CHUNK_TOKENS = 300_000
 #: Words sketched at a time.
-CHUNK_WORDS = 50_000
+CHUNK_WORDS = 16_000
 #: A run seen less often is asked only if no shorter one was seen so often.
 SEEN_LEAST = 3
 #: Longest run of closing tokens (the beginning of the line counts as one), and how many tokens before it tell one text's end from another's.
 RUN, BEFORE = 6, 12
 
-_TOKEN = re.compile(r"[^\W\d_]\w*(?:\.[^\W\d_]\w*)+|\w+(?:['’]\w+)*['’]?|[^\w\s]")
+_TOKEN = re.compile(r"\w+(?:[.'’][^\W\d_]\w*)*|[^\w\s]")
 _DIGIT = re.compile(r"\d")
 _PART = re.compile(r"[^\W_]+")
 _IDENTIFIER = re.compile(r"\w.*[._]|\d")
@@ -240,20 +240,25 @@ def _counted(h: np.ndarray, bits: np.ndarray) -> pd.DataFrame:
     ends = after == np.uint64(_NEWLINE)
     closing = ends | np.isin(after, _STOPS)
     alive = ~line_end & (after != 0)  # ends of texts are counted apart
-    held = lambda key: ((bits[key % MAP_BITS >> 3] >> (key % MAP_BITS & 7).astype(np.uint8)) & 1).astype(bool)
+    def held(key: np.ndarray) -> np.ndarray:
+        place = key & (MAP_BITS - 1)
+        return ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+
     named = at[alive & (h >> _HALF == np.uint64(_NAMED))]
     shapes = _mix(h[named] + np.uint64(_SHAPES)).view(np.int64)
     some = held(shapes)
     keys, places = [shapes[some]], [named[some]]
     h = np.where(h == 0, np.uint64(_NEWLINE), h) >> _HALF  # a line's beginning is the end of the line before
-    sums = np.zeros(len(h), np.uint64)
+    sums, left = np.zeros(len(h), np.uint64), np.flatnonzero(alive)
     for k in range(1, RUN + 1):
         sums = h + np.append(np.uint64(0), sums[:-1]) * np.uint64(_P) if k > 1 else h.copy()
-        key = _run_keys(sums, k)
+        left = left[nth[left] >= k - 2]
+        key = _run_keys(sums[left], k)
         # the map holds all shorter runs of a run, so beyond the first that it lacks no longer one is in it
-        alive = alive & (nth >= k - 2) & held(key)
-        keys.append(key[alive])
-        places.append(at[alive])
+        some = held(key)
+        left = left[some]
+        keys.append(key[some])
+        places.append(left)
     found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     where = np.concatenate(places)
     count = lambda flag: np.bincount(inverse, weights=flag[where], minlength=len(found)).astype(np.int64)

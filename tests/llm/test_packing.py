@@ -92,7 +92,7 @@ def test_containers_do_not_depend_on_the_number_of_shuffle_partitions(spark):
     got, before = [], spark.conf.get("spark.sql.shuffle.partitions")
     for n in ("3", "7"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
-        r = pack(df, "g", "k", "size", capacity=300)
+        r = pack(df, "g", "size", "k", capacity=300)
         got.append(sorted(map(str, r.collect())))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0] == got[1]
