@@ -129,7 +129,7 @@ def write(df: DataFrame, path: str, format: str | None = None, *, compression: s
     if partition_by:
         w = w.partitionBy(*partition_by)
     if f == "csv":
-        w = w.options(header=str(options.get("header", False)).lower(), sep=str(options.get("delimiter", ",")), quote=str(options.get("quote", '"')), escape=str(options.get("escape", '"')), nullValue=str(options.get("null", "")), emptyValue='""')
+        w = w.options(header=str(options.get("header", False)).lower(), sep=str(options.get("delimiter", ",")), quote=str(options.get("quote", '"')), escape=str(options.get("escape", '"')), nullValue=str(options.get("null", "")), emptyValue='""', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
         w.csv(path)
     elif f == "json":
         w.option("ignoreNullFields", "false").json(path)

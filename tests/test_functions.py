@@ -157,3 +157,20 @@ def test_parts_of_intervals(spark):
     cut = one(spark, lambda: D.date_trunc_interval("hour", D.interval(14, 3, 7_300_000_000)))
     assert tuple(cut) == (14, 3, 7_200_000_000) and tuple(one(spark, lambda: D.date_trunc_interval("year", D.interval(14, 3, 7)))) == (12, 0, 0)
     assert one(spark, lambda: D.time_in_utc(F.lit("00:30:00"), F.lit(60))) == "23:30:00.000000"
+
+
+def test_percentiles_of_groups(spark):
+    import numpy as np
+    import pytest
+
+    from lakeloom.operators.relational import percentiles
+
+    rows = [(g, None if i % 9 == 0 else float((i * 7) % 23)) for g in ("a", "b", None) for i in range(40)] + [("only", 5.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r["q"] for r in percentiles(df, ["g"], "v", [0.0, 0.33, 0.5, 1.0]).collect()}
+    assert set(got) == {"a", "b", None, "only"} and got["only"] == [5.0] * 4
+    for g in ("a", "b", None):
+        assert np.allclose(got[g], np.percentile([v for k, v in rows if k == g and v is not None], [0, 33, 50, 100]))
+    assert percentiles(df, [], "v", [0.5]).count() == 1 and percentiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+    with pytest.raises(ValueError):
+        percentiles(df, ["g"], "v", [1.5])

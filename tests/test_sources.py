@@ -104,3 +104,15 @@ def test_recursion_with_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5)], "a int, b int")
     reach = rel.recursive_union(spark.createDataFrame([(1,)], "n int"), lambda d: d.join(edges, F.col("n") == F.col("a")).select(F.col("b").alias("n")))
     assert sorted(r[0] for r in reach.collect()) == [1, 2, 3]
+
+
+def test_csv_fields_with_line_breaks_come_back_as_written(spark, tmp_path):
+    from lakeloom.sources import io
+
+    rows = [(1, 'a\nb "q", c'), (2, "plain"), (3, None), (4, "\n\n")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    for name, header in (("a.csv", True), ("b.csv.gz", False)):
+        path = f"file://{tmp_path}/{name}"
+        io.write(df, path, header=header)
+        got = io.read(spark, path, schema=df.schema, header=header, delimiter=",", quote='"')
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
