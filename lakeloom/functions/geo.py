@@ -10,37 +10,73 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.functions import boxes
 from lakeloom.functions import geometry as G
+from lakeloom.shared import materialize
 
 
-def _udf(f: Callable, kind: str, inputs: int, optional: int = 0):
-    """A function of geometries and values; null in, null out."""
+#: Arrow types of results.
+_ARROW = {"binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "int": pa.int32(), "smallint": pa.int16(), "boolean": pa.bool_(), "struct<x0:double,y0:double,x1:double,y1:double,box:boolean>": boxes.BOUNDS}
 
-    def call(*cols: pd.Series) -> pd.Series:
+
+def _distinct(cols: tuple[pa.Array, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each combination of values, and each row's combination."""
+    code = np.zeros(len(cols[0]), np.int64)
+    for c in cols:
+        c = c.view(pa.int64()) if pa.types.is_float64(c.type) else c
+        e = c.dictionary_encode()
+        code = code * (len(e.dictionary) + 1) + e.indices.cast(pa.int64()).fill_null(len(e.dictionary)).to_numpy()
+        _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    return first, code
+
+
+def _udf(f: Callable, kind: str, inputs: int, optional: int = 0, quick: Callable | None = None):
+    """A function of geometries and values; null in, null out.
+
+    ``quick`` judges what rows of a batch it can, all at once; ``f`` is called for each
+    combination of values among the others.
+    """
+
+    def by_row(cols: tuple[pa.Array, ...]) -> pa.Array:
+        if any(c.null_count == len(c) for c in cols):
+            return pa.nulls(len(cols[0]), _ARROW[kind])
+        first, back = _distinct(cols)
         out = []
-        for row in zip(*cols):
+        for row in zip(*(c.take(pa.array(first)).to_pylist() for c in cols)):
             if any(v is None or (isinstance(v, float) and v != v) for v in row):
                 out.append(None)
                 continue
-            out.append(f(*[G.from_wkb(bytes(v)) if isinstance(v, (bytes, bytearray, memoryview)) else v for v in row]))
-        return pd.Series(out, dtype=object)
+            out.append(f(*[G.from_wkb(v) if isinstance(v, bytes) else v for v in row]))
+        return pa.array(out, _ARROW[kind]).take(pa.array(back))
+
+    def call(*cols: pa.Array) -> pa.Array:
+        if quick is None:
+            return by_row(cols)
+        done, known = quick(*cols)
+        if done.all():
+            return known
+        rest = pa.array(np.flatnonzero(~done))
+        return pc.if_else(pa.array(done), known, by_row(tuple(c.take(rest) for c in cols)).take(pa.array(np.cumsum(~done) - 1, mask=done)))
 
     def run(*args: object) -> Column:
         cols = [a if isinstance(a, Column) else F.col(a) if isinstance(a, str) else F.lit(a) for a in args]
         if not inputs <= len(cols) <= inputs + optional:
             raise TypeError(f"takes {inputs} to {inputs + optional} arguments, not {len(cols)}")
         shapes = {1: _one, 2: _two, 3: _three, 4: _four, 5: _five}
-        return F.pandas_udf(shapes[len(cols)](call), kind)(*cols)
+        return F.arrow_udf(shapes[len(cols)](call), kind)(*cols)
 
     return run
 
 
 def _hints(run, names: tuple[str, ...]):
-    run.__annotations__ = {n: pd.Series for n in names} | {"return": pd.Series}
+    run.__annotations__ = {n: pa.Array for n in names} | {"return": pa.Array}
     return run
 
 
@@ -201,7 +237,7 @@ st_asbinary = st_geomfromwkb
 bytea = st_geomfromwkb
 geography = st_geomfromwkb
 st_point = _udf(lambda x, y: G.to_wkb(("Point", (x, y))), "binary", 2)
-st_makeenvelope = _udf(lambda a, b, c, d, *_: G.to_wkb(G.rectangle(a, b, c, d)), "binary", 4, 1)
+st_makeenvelope = _udf(lambda a, b, c, d, *_: G.to_wkb(G.rectangle(a, b, c, d)), "binary", 4, 1, boxes.made)
 # Parts
 geometrytype = _udf(lambda g: g[0].upper(), "string", 1)
 st_dimension = _udf(G.dimension, "int", 1)
@@ -281,7 +317,8 @@ def _boxes(a, b) -> bool:
 
 
 bbox_intersects = _udf(_boxes, "boolean", 2)
-_bbox = _udf(lambda g: list(G.bbox(g) or ()), "array<double>", 1)
+#: Corners of the bounding box, null for an empty geometry, and whether the geometry is a box or a point, i.e. all of what its corners span.
+_bounds = _udf(lambda g: (b := G.bbox(g)) and {**dict(zip(("x0", "y0", "x1", "y1"), b)), "box": False}, "struct<x0:double,y0:double,x1:double,y1:double,box:boolean>", 1, 0, boxes.bounds)
 
 
 def union_agg(df: DataFrame, group: list[str], geom: str, salts: int = 16) -> DataFrame:
@@ -310,18 +347,32 @@ def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom:
 
     Both sides are put into the grid cells (of side ``cell``) that their boxes touch and
     meet in an equi-join; a pair is tested in the one cell where the lower left corner of
-    the boxes' intersection lies, so no pair comes twice. Column names of the two sides
-    must differ.
+    the boxes' intersection lies, so no pair comes twice. For ``st_intersects``, pairs of
+    boxes or points are settled by that; only pairs with another geometry go to Python.
+    Column names of the two sides must differ.
     """
 
-    def gridded(df: DataFrame, geom: str, p: str) -> DataFrame:
-        df = df.withColumn(f"_{p}b", _bbox(F.col(geom))).filter(F.size(f"_{p}b") == 4)
-        b = [F.col(f"_{p}b")[i] for i in range(4)]
-        xs, ys = (F.sequence(F.floor(b[i] / cell), F.floor(b[i + 2] / cell)) for i in (0, 1))
-        return df.withColumn(f"_{p}x", F.explode(xs)).withColumn(f"_{p}y", F.explode(ys))
-
-    j = gridded(left, left_geom, "l").join(gridded(right, right_geom, "r"), (F.col("_lx") == F.col("_rx")) & (F.col("_ly") == F.col("_ry")))
-    lb, rb = F.col("_lb"), F.col("_rb")
-    meet = (lb[0] <= rb[2]) & (rb[0] <= lb[2]) & (lb[1] <= rb[3]) & (rb[1] <= lb[3])
-    mine = (F.floor(F.greatest(lb[0], rb[0]) / cell) == F.col("_lx")) & (F.floor(F.greatest(lb[1], rb[1]) / cell) == F.col("_ly"))
-    return j.filter(meet & mine).filter(predicate(F.col(left_geom), F.col(right_geom))).drop("_lb", "_rb", "_lx", "_ly", "_rx", "_ry")
+    def bounded(df: DataFrame, geom: str, p: str) -> DataFrame:
+        return df.withColumn(f"_{p}b", _bounds(F.col(geom)))
+
+    def gridded(df: DataFrame, p: str) -> DataFrame:
+        b = F.col(f"_{p}b")
+        for axis in "xy":
+            df = df.withColumn(f"_{p}{axis}", F.explode(F.sequence(F.floor(b[f"{axis}0"] / cell), F.floor(b[f"{axis}1"] / cell))))
+        return df
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        j = gridded(left, "l").join(gridded(right, "r"), (F.col("_lx") == F.col("_rx")) & (F.col("_ly") == F.col("_ry")))
+        lb, rb = F.col("_lb"), F.col("_rb")
+        meet = (lb["x0"] <= rb["x1"]) & (rb["x0"] <= lb["x1"]) & (lb["y0"] <= rb["y1"]) & (rb["y0"] <= lb["y1"])
+        mine = (F.floor(F.greatest(lb["x0"], rb["x0"]) / cell) == F.col("_lx")) & (F.floor(F.greatest(lb["y0"], rb["y0"]) / cell) == F.col("_ly"))
+        return j.filter(meet & mine).drop("_lb", "_rb", "_lx", "_ly", "_rx", "_ry")
+
+    a, b = bounded(left, left_geom, "l"), bounded(right, right_geom, "r")
+    test = predicate(F.col(left_geom), F.col(right_geom))
+    if predicate is not st_intersects:
+        return met(a, b).filter(test)
+    a, b = materialize(a, "bounds"), materialize(b, "bounds")
+    la, lb = F.col("_lb")["box"], F.col("_rb")["box"]
+    other = met(a.filter(la), b.filter(~lb)).unionByName(met(a.filter(~la), b))
+    return met(a.filter(la), b.filter(lb)).unionByName(other.filter(test))

@@ -1,10 +1,14 @@
 import math
+import struct
+import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from lakeloom.functions import geo
+from lakeloom.functions import boxes, geo
 from lakeloom.functions import geometry as G
 
 W = G.from_wkt
@@ -88,3 +92,34 @@ def test_buffers_and_simplification(spark):
     row = spark.createDataFrame([("POINT(0 0)", "LINESTRING(0 0,10 0)", "POLYGON((0 0,4 0,4 4,2 1,0 4,0 0))")], "p string, l string, c string")
     a = row.select(*[geo.st_area(geo.st_buffer(geo.st_geomfromtext(x), 1.0, 64)).alias(x) for x in "plc"], geo.st_area(geo.st_simplifypreservetopology(geo.st_geomfromtext("c"), 50.0)).alias("s")).first()
     assert math.isclose(a["p"], math.pi, rel_tol=1e-3) and math.isclose(a["l"], 20 + math.pi, rel_tol=1e-3) and a["c"] > 10 + 4 * 3 and a["s"] > 0
+
+
+def test_spatial_join_of_many_boxes(spark):
+    """Three million pairs of boxes that lie in one place: no pair of boxes may go to Python."""
+    box = lambda: geo.st_makeenvelope(F.lit(1.0), F.lit(1.0), F.lit(2.0) + F.col("id") % 2, F.lit(2.0))
+    a, b = spark.range(3000).select(F.col("id").alias("i"), box().alias("ga")), spark.range(1000).select(F.col("id").alias("j"), box().alias("gb"))
+    began = time.monotonic()
+    assert geo.spatial_join(a, b, "ga", "gb", geo.st_intersects, 10.0).count() == 3_000_000 and time.monotonic() - began < 60
+
+
+def test_spatial_join_of_all_kinds(spark):
+    texts = ["POLYGON((0 0,2 0,2 2,0 2,0 0))", "POLYGON((2 2,4 2,4 4,2 4,2 2))", "POLYGON((0 0,9 0,9 9,0 0))", "POLYGON((5 5,5 5,5 8,5 8,5 5))", "POLYGON((0 0,9 0,9 9,0 9,0 0),(1 1,8 1,8 8,1 8,1 1))", "POINT(2 2)", "POINT(7 3)", "POINT Z (1 1 5)", "POINT EMPTY", "LINESTRING(0 5,9 5)", "LINESTRING(0 9,1 4)", "MULTIPOINT(1 1,7 1)", "POLYGON EMPTY"]
+    shapes = [(i, G.to_wkb(W(t))) for i, t in enumerate(texts)] + [(len(texts), None)]
+    a, b = spark.createDataFrame(shapes, "i int, ga binary"), spark.createDataFrame(shapes, "j int, gb binary")
+    for f, rule in ((geo.st_intersects, G.intersects), (geo.st_contains, G.contains), (geo.bbox_intersects, geo._boxes)):
+        got = [(r["i"], r["j"]) for r in geo.spatial_join(a, b, "ga", "gb", f, 4.0).collect()]
+        want = [(i, j) for i, g in enumerate(texts) for j, h in enumerate(texts) if rule(W(g), W(h))]
+        assert sorted(got) == want and want
+
+
+def test_bounds_of_columns():
+    ring = lambda *p: G.to_wkb(("Polygon", [list(p)]))
+    big = struct.pack(">BIII10d", 0, 3, 1, 5, 0, 0, 0, 1, 1, 1, 1, 0, 0, 0)
+    col = [ring((0, 0), (0, 1), (2, 1), (2, 0), (0, 0)), None, ring((2, 1), (0, 1), (0, 0), (2, 0), (2, 1)), ring((0, 0), (2, 1), (2, 0), (0, 1), (0, 0)), ring((0, 0), (0, 0), (2, 0), (2, 0), (0, 0)), ring((0, 0), (1, 0), (2, 0), (1, 0), (0, 0)), ring((0, 0), (0, 1), (2, 1), (2, 0), (0, 0.5)), ring((0, 0), (0, 1), (math.nan, 1), (2, 0), (0, 0)), big, G.to_wkb(W("POINT(3 4)")), G.to_wkb(W("POINT EMPTY"))]
+    for at in (0, 2):
+        done, got = boxes.bounds(pa.array(col, pa.binary())[at:])
+        assert [i + at for i, d in enumerate(done) if d] == [i for i in (0, 2, 9) if i >= at]
+        assert all(tuple(got[i].as_py()[n] for n in ("x0", "y0", "x1", "y1")) == G.bbox(G.from_wkb(col[i + at])) for i, d in enumerate(done) if d)
+    done, got = boxes.made(*(pa.array(v) for v in ([0, None, 2], [0.0, 0.0, math.nan], [2.0, 1.0, 1.0], [1, 1, 1])))
+    assert done.tolist() == [True, False, False] and got[0].as_py() == G.to_wkb(G.rectangle(0.0, 0.0, 2.0, 1.0))
+    assert not boxes.bounds(pa.array([], pa.binary()))[0].size
