@@ -1,17 +1,21 @@
 """Boxes as arrays: numpy over the buffers of WKB columns.
 
-A whole Arrow batch is done at once. Each function returns which rows it has done, and an
-array of results; rows of other geometries are the kernel's.
+How two boxes lie is told by their corners, so a whole Arrow batch is judged at once.
+Each function returns which rows it has judged, and an array of results; rows of other
+geometries, and of corners that are near each other but not the same, are the kernel's.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 
-BOX, POINT = struct.pack("<BIII", 1, 3, 1, 5), struct.pack("<BI", 1, 1)
+BOX, LINE, POINT = struct.pack("<BIII", 1, 3, 1, 5), struct.pack("<BII", 1, 2, 2), struct.pack("<BI", 1, 1)
+#: Corners nearer than this, times the largest coordinate, might be the same to the kernel; it takes up to 1e-9.
+NEAR = 1e-8
 BOUNDS = pa.struct([*((n, pa.float64()) for n in ("x0", "y0", "x1", "y1")), ("box", pa.bool_())])
 
 
@@ -44,6 +48,72 @@ def boxes(col: pa.Array) -> np.ndarray:
     return _set(len(col), rows, p[:, 0], p[:, 2], ok)
 
 
+def lines(col: pa.Array) -> np.ndarray:
+    """x0, y0, x1, y1 of each row; NaN where that is no line of two points along an axis."""
+    rows, p = _plain(col, LINE, 2)
+    same = p[:, 0] == p[:, 1]
+    return _set(len(col), rows, p[:, 0], p[:, 1], same[:, 0] != same[:, 1])
+
+
+def _clear(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Where corners are the same or well apart, so that exact comparison says what the kernel says."""
+    far = NEAR * np.maximum(1.0, np.abs(np.concatenate([p, q], axis=1)).max(axis=1, initial=0.0))[:, None]
+    d = np.abs(p[:, [0, 0, 2, 2, 1, 1, 3, 3]] - q[:, [0, 2, 0, 2, 1, 3, 1, 3]])
+    sides = np.concatenate([p[:, 2:] - p[:, :2], q[:, 2:] - q[:, :2]], axis=1)
+    return ((d == 0) | (d > far)).all(axis=1) & ((sides == 0) | (sides > far)).all(axis=1)
+
+
+def meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a[:, :2] <= b[:, 2:]) & (b[:, :2] <= a[:, 2:])).all(axis=1)
+
+
+def inside_meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a[:, :2] < b[:, 2:]) & (b[:, :2] < a[:, 2:])).all(axis=1)
+
+
+def cover(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a[:, :2] <= b[:, :2]) & (b[:, 2:] <= a[:, 2:])).all(axis=1)
+
+
+def cover_inside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a[:, :2] < b[:, :2]) & (b[:, 2:] < a[:, 2:])).all(axis=1)
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return inside_meet(a, b) & ~cover(a, b) & ~cover(b, a)
+
+
+def related(rule: Callable) -> Callable:
+    """A relation of two boxes."""
+
+    def judge(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        p, q = boxes(a), boxes(b)
+        return _clear(p, q), pa.array(rule(p, q))
+
+    return judge
+
+
+def crosses(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Lines and boxes, in either order: a line crosses where it is inside and outside."""
+    done, out = np.zeros(len(a), bool), np.zeros(len(a), bool)
+    for line, box in ((a, b), (b, a)):
+        p, q = lines(line), boxes(box)
+        mine = _clear(p, q)
+        done |= mine
+        out |= mine & inside_meet(p, q) & ~cover(q, p)
+    return done, pa.array(out)
+
+
+def within_distance(a: pa.Array, b: pa.Array, d: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Boxes beside each other; of those that lie askew the kernel measures the corners."""
+    p, q = boxes(a), boxes(b)
+    if not pa.types.is_float64(d.type):
+        return np.zeros(len(a), bool), pa.array(np.zeros(len(a), bool))
+    most = d.to_numpy(zero_copy_only=False)
+    gap = np.maximum(np.maximum(p[:, :2] - q[:, 2:], q[:, :2] - p[:, 2:]), 0.0)
+    return _clear(p, q) & (gap.min(axis=1, initial=np.inf) == 0) & ~np.isnan(most), pa.array(gap.max(axis=1, initial=0.0) <= most)
+
+
 def _numbers(*cols: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Which rows have a number in all columns, and the numbers."""
     if not all(pa.types.is_floating(c.type) or pa.types.is_integer(c.type) for c in cols):

@@ -291,24 +291,24 @@ st_area = _udf(G.area, "double", 1)
 st_length = _udf(G.length, "double", 1)
 st_perimeter = _udf(G.perimeter, "double", 1)
 st_distance = _udf(lambda a, b: (s := G.shortest(a, b)) and s[0], "double", 2)
-st_dwithin = _udf(lambda a, b, d: (s := G.shortest(a, b)) is not None and s[0] <= d, "boolean", 3)
+st_dwithin = _udf(lambda a, b, d: (s := G.shortest(a, b)) is not None and s[0] <= d, "boolean", 3, 0, boxes.within_distance)
 st_shortestline = _udf(_wkb(lambda a, b: (s := G.shortest(a, b)) and ("LineString", [s[1], s[2]])), "binary", 2)
 st_area_spheroid = _udf(G.spheroid_area, "double", 1)
 st_length_spheroid = _udf(G.spheroid_length, "double", 1)
 st_perimeter_spheroid = _udf(lambda g: G.spheroid_length(g, rings=True), "double", 1)
 st_distance_spheroid = _udf(lambda a, b: G.spheroid_distance(a[1], b[1]) if a[0] == b[0] == "Point" else None, "double", 2)
 # Relations
-st_intersects = _udf(G.intersects, "boolean", 2)
-st_disjoint = _udf(lambda a, b: not G.intersects(a, b), "boolean", 2)
-st_contains = _udf(G.contains, "boolean", 2)
-st_containsproperly = _udf(G.contains_properly, "boolean", 2)
-st_within = _udf(lambda a, b: G.contains(b, a), "boolean", 2)
-st_covers = _udf(G.covers, "boolean", 2)
-st_coveredby = _udf(lambda a, b: G.covers(b, a), "boolean", 2)
-st_crosses = _udf(G.crosses, "boolean", 2)
-st_overlaps = _udf(G.overlaps, "boolean", 2)
-st_touches = _udf(G.touches, "boolean", 2)
-st_equals = _udf(G.equals, "boolean", 2)
+st_intersects = _udf(G.intersects, "boolean", 2, 0, boxes.related(boxes.meet))
+st_disjoint = _udf(lambda a, b: not G.intersects(a, b), "boolean", 2, 0, boxes.related(lambda a, b: ~boxes.meet(a, b)))
+st_contains = _udf(G.contains, "boolean", 2, 0, boxes.related(boxes.cover))
+st_containsproperly = _udf(G.contains_properly, "boolean", 2, 0, boxes.related(boxes.cover_inside))
+st_within = _udf(lambda a, b: G.contains(b, a), "boolean", 2, 0, boxes.related(lambda a, b: boxes.cover(b, a)))
+st_covers = _udf(G.covers, "boolean", 2, 0, boxes.related(boxes.cover))
+st_coveredby = _udf(lambda a, b: G.covers(b, a), "boolean", 2, 0, boxes.related(lambda a, b: boxes.cover(b, a)))
+st_crosses = _udf(G.crosses, "boolean", 2, 0, boxes.crosses)
+st_overlaps = _udf(G.overlaps, "boolean", 2, 0, boxes.related(boxes.overlap))
+st_touches = _udf(G.touches, "boolean", 2, 0, boxes.related(lambda a, b: boxes.meet(a, b) & ~boxes.inside_meet(a, b)))
+st_equals = _udf(G.equals, "boolean", 2, 0, boxes.related(lambda a, b: boxes.cover(a, b) & boxes.cover(b, a)))
 
 
 def _boxes(a, b) -> bool:
